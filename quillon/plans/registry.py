@@ -1,4 +1,10 @@
 """All registered queries of the library and their SQL."""
 
+from quillon.plans import catalog, corpus, operations, retrieval
+from quillon.streaming import tasks
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (retrieval, corpus, catalog, operations, tasks):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
