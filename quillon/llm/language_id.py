@@ -21,6 +21,8 @@ from quillon.llm.common import packed, small, unpacked
 HIDDEN, STEPS, LANES = 8, 64, 2048
 #: Bound of the training sample: rows of each language.
 ROWS_PER_LANGUAGE = 400
+#: Range of the hash that draws the sample.
+SPREAD = 1 << 31
 #: A document whose pooled probability is lower is rejected by `accepted`.
 FLOOR = 0.3
 UNKNOWN = "und"
@@ -178,13 +180,18 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> dict:
     """Train on at most `rows` rows of each language, chosen by a hash of the id over all rows.
 
-    Rows without id, language or text, and held-out rows, are not used. Without a labelled row the
+    The rows of least hash are taken; a language's count tells below which hash about four times as
+    many lie, so only those meet in the task that ranks a language. Rows without id, language or
+    text, and held-out rows, are not used. Without a labelled row the
     network knows no language and every text is `und`.
     """
     docs = docs.select("doc_id", "text", "lang")
     usable = docs.filter("doc_id is not null and lang is not null and text is not null and text <> ''").filter(~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
+    keyed = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).alias("key"))
+    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
+    likely = keyed.join(small(counts), "lang").filter(F.col("key") <= F.lit(4.0 * rows * SPREAD) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy("key", "doc_id")
+    chosen = likely.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
     chosen = chosen.select("doc_id").distinct()
     sample = usable.join(small(chosen), "doc_id", "left_semi")
     found = sorted((r["lang"], r["doc_id"], r["text"]) for r in sample.collect())
