@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.llm.common import checkpointed
+
 #: Default vocabulary; a path that the driver can read.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern by which this vocabulary's texts are split before merging.
@@ -65,10 +67,10 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     length, n_docs, n_tokens; docs_up_to and tokens_up_to count documents of this length at most,
     docs_over those beyond; truncated_tokens is the total when each document is cut to `length`.
     Sums are taken within buckets of lengths and over bucket totals, so no task reads more than a
-    bucket or one row for each bucket. An empty table gives an empty histogram.
+    bucket or one row for each bucket. The counts are written once, since two sums read them. An empty table gives an empty histogram.
     """
     h = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs"))
-    h = h.withColumns({"n_tokens": F.col("length") * F.col("n_docs"), "bucket": F.floor(F.col("length") / BUCKET)})
+    h = checkpointed(h).withColumns({"n_tokens": F.col("length") * F.col("n_docs"), "bucket": F.floor(F.col("length") / BUCKET)})
     totals = h.groupBy("bucket").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     after = Window.orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
