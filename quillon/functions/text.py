@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that a search ignores, and words that say nothing about a claim.
-SEARCH_STOP = ("a", "an", "and", "are", "as", "at", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")
-CLAIM_STOP = ("a", "an", "and", "for", "in", "of", "the", "to", "with")
+SEARCH_STOP = ("and", "or", "not", "near", "a", "an", "the", "to", "of", "in", "for", "on", "is", "are", "as", "at", "be", "by", "was", "were")
+CLAIM_STOP = ("the", "and", "that", "with", "this", "from", "have", "were", "which")
 MAX_TOKENS = 24
 
 
@@ -64,41 +64,42 @@ def chunk_score(text: Column, kind: Column) -> Column:
     n = F.length(text)
     score = (
         F.lit(0.55)
-        + F.when(text.rlike("[.!?。！？]"), 0.15).otherwise(0.0)
-        - F.when((kind == "references") & (n > 1200), 0.25).otherwise(0.0)
-        + F.when(text.rlike("[$=∑∫]"), 0.1).otherwise(0.0)
+        + F.when(text.rlike("[。．.!?？]"), 0.15).otherwise(0.0)
+        - F.when((kind == "references") & (n > 200), 0.25).otherwise(0.0)
+        + F.when(kind.isin("theorem", "definition", "proof") & text.rlike("[$\\\\]"), 0.1).otherwise(0.0)
         - F.when(n > 8000, 0.1).otherwise(0.0)
     )
-    return F.round(F.when(n < 40, 0.2).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))), 6)
+    return F.round(F.when(n < 40, 0.2).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))), 4)
 
 
-#: Class of a chunk and the words that tell it, in order of precedence.
+#: Class of a chunk and the words that tell it, in order of precedence.
 CHUNK_TYPES = (
-    ("references", "references|bibliography"),
-    ("abstract", "abstract|summary"),
-    ("introduction", "introduction|background"),
-    ("method", "method|methods|algorithm"),
-    ("theorem", "theorem|lemma|proof"),
-    ("experiment", "experiment|experiments|evaluation"),
-    ("result", "result|results"),
-    ("discussion", "discussion|limitations"),
-    ("conclusion", "conclusion|conclusions"),
-    ("table", "table|figure"),
+    ("references", "references|bibliography|参考文献|引用文献|works cited"),
+    ("abstract", "abstract|摘要"),
+    ("introduction", "introduction|引言|前言"),
+    ("conclusion", "conclusion|conclusions|结论"),
+    ("method", "method|methods|methodology|方法"),
+    ("experiment", "experiment|experiments|实验|数值"),
+    ("discussion", "discussion|讨论"),
 )
+#: Words of mathematical blocks; the first one found tells the class.
+MATH_WORDS = "definition|lemma|proposition|theorem|corollary|remark|proof|example"
+EDGE = "[^\\p{L}\\p{N}_]"
 
 
 def chunk_type(path: Column, text: Column) -> Column:
     head = F.lower(F.concat_ws(" ", path, F.substring(text, 1, 400)))
-    out = F.lit("unknown")
+    word = F.regexp_extract(head, f"(?:^|{EDGE})({MATH_WORDS})(?:$|{EDGE})", 1)
+    out = F.when(word == "", "unknown").when(word.isin("proof", "definition"), word).otherwise("theorem")
     for kind, told in reversed(CHUNK_TYPES):
-        out = F.when(head.rlike(f"(^|[^\\p{{L}}\\p{{N}}_])({told})($|[^\\p{{L}}\\p{{N}}_])"), kind).otherwise(out)
+        out = F.when(head.rlike(f"(^|{EDGE})({told})($|{EDGE})"), kind).otherwise(out)
     return out
 
 
 def search_tokens(text: Column) -> Column:
     """At most 24 distinct tokens: ASCII words of two characters or more that are no stop words, then other runs."""
     ascii_ = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 2) & ~w.isin(*SEARCH_STOP))
-    other = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[^\\x00-\\x7F]+"), F.lit(0)), lambda w: F.length(w) >= 2)
+    other = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[^\\x00-\\x7F\\s。，、；：？！（）]+"), F.lit(0)), lambda w: F.length(w) >= 2)
     return F.slice(F.array_distinct(F.concat(ascii_, F.transform(other, lambda w: F.substring(w, 1, 24)))), 1, MAX_TOKENS)
 
 
@@ -141,3 +142,65 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(F.lit(0.0))
+
+
+def quality_score(length: Column, sections: Column, rich: Column, garbled: Column, fragments: Column, references: Column) -> Column:
+    """Score of a parsed text from 0 to 1: length, structure, formulas and tables, less what looks broken."""
+    base = 0.35 * F.least(F.lit(1.0), length / 12000) + 0.35 * F.least(F.lit(1.0), sections / 8) + 0.2 * F.least(F.lit(1.0), rich / 20) + 0.1
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - F.least(F.lit(0.5), garbled * 8 + fragments * 0.8)))
+    return F.when(references, F.least(F.lit(1.0), score + 0.03)).otherwise(score)
+
+
+def split_claims(text: Column) -> Column:
+    """Sentences of an answer that say enough; a fragment of references alone joins the claim before it."""
+    whole = strip(F.coalesce(text, F.lit("")))
+    parts = F.filter(F.transform(F.split(whole, "(?<=[。！？.!?])\\s*"), strip), lambda s: s != "")
+    has_ref = lambda s: s.rlike("\\[[0-9]+\\]")
+
+    def step(claims: Column, s: Column) -> Column:
+        joined = F.concat(F.slice(claims, 1, F.greatest(F.lit(0), F.size(claims) - 1)), F.array(F.concat_ws(" ", F.element_at(claims, -1), s)))
+        drop = (F.length(s) < 8) | ((F.length(s) < 12) & ~has_ref(s)) | s.startswith("（注：") | s.startswith("(Note:")
+        return F.when(s.rlike("^(\\[[0-9]+\\])+$") & (F.size(claims) > 0), joined).when(drop, claims).otherwise(F.concat(claims, F.array(s)))
+
+    claims = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when((F.size(claims) == 0) & (F.length(whole) >= 12), F.array(whole)).otherwise(claims)
+
+
+def strip_refs(text: Column, refs: Column) -> Column:
+    """text without the reference marks of the given numbers."""
+    return F.aggregate(refs, text, lambda t, r: F.replace(t, F.concat(F.lit("["), r.cast("string"), F.lit("]")), F.lit("")))
+
+
+def repetition(text: Column) -> Column:
+    """Whether a block of 80 characters or more at the end of a text stands three times in its last 1200."""
+    tail = F.substring(text, -1200, 1200)
+    last = F.least(F.lit(400), F.floor(F.length(tail) / 3).cast("int")) - 1
+    thrice = lambda p: (F.length(tail) - F.length(F.replace(tail, F.right(tail, p), F.lit("")))) / p >= 3
+    return F.when((F.length(text) >= 500) & (last >= 80), F.exists(F.sequence(F.lit(80), last), thrice)).otherwise(False)
+
+
+def query_json(raw: Column, *names: str) -> Column:
+    """The first field of these names in a lenient JSON text: fenced, embedded in prose, or only near JSON."""
+    body = F.regexp_extract(raw, "(?s)(\\{.*\\})", 1)
+    fields = [F.nullif(F.trim(F.get_json_object(body, f"$.{n}")), F.lit("")) for n in names]
+    loose = F.regexp_extract(raw, f"(?i)[\"']?(?:{'|'.join(names)})[\"']?\\s*[:=]\\s*[\"']([^\"']+)[\"']", 1)
+    return F.coalesce(*fields, F.nullif(F.trim(loose), F.lit("")))
+
+
+def page_range(start: Column, end: Column) -> Column:
+    """Label of a page range; empty without pages."""
+    one = F.coalesce(start, end)
+    return F.when(one.isNull(), "").when(start != end, F.concat(F.lit("第 "), start, F.lit("–"), end, F.lit(" 页"))).otherwise(F.concat(F.lit("第 "), one, F.lit(" 页")))
+
+
+def path_parts(raw: Column) -> Column:
+    """Parts of a section path given as a JSON list, joined by slashes, or alone."""
+    parts = F.when(F.trim(raw).startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, " / "))
+    return F.filter(F.transform(F.coalesce(parts, F.array(raw)), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def rebase_assets(text: Column, prefix: Column) -> Column:
+    """Relative image links of Markdown and HTML get a prefix; absolute ones, anchors and rebased ones stay."""
+    relative = "(?!https?:|data:|/|#|assets/)"
+    text = F.regexp_replace(text, F.lit(f"(!\\[[^\\]]*\\]\\(){relative}"), F.concat(F.lit("$1"), prefix))
+    return F.regexp_replace(text, F.lit(f"(?i)(<img[^>]*\\ssrc=[\"']){relative}"), F.concat(F.lit("$1"), prefix))

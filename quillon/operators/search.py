@@ -76,3 +76,21 @@ def paper_quota(rows: DataFrame, per_paper: int = 3, n_papers: int = 8, limit: i
     rows = rows.withColumn("_p", F.dense_rank().over(Window.partitionBy("query_id").orderBy("_first"))).filter(F.col("_p") <= n_papers)
     rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("bigint"))
     return rows.filter(F.col("place") <= limit).drop("_n", "_first", "_p")
+
+
+def synonyms(queries: DataFrame, rules: DataFrame, most: int = 4) -> DataFrame:
+    """(query_id, variant): queries with the first hit of a rule's term replaced by each alternative.
+
+    Rules (term, alt) meet queries by the term's first word, so only likely pairs are tried; the whole
+    term must then stand between word boundaries. At most `most` variants of a query are kept, which
+    is the limit of the feature.
+    """
+    word = "[\\p{L}\\p{N}_]+"
+    asked = queries.select("query_id", "query", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit(word), F.lit(0)))).alias("w"))
+    told = rules.filter("lower(alt) <> lower(term)").withColumn("w", F.regexp_extract(F.lower("term"), word, 0))
+    hit = F.concat(F.lit("(?is)^(.*?)(?<![\\p{L}\\p{N}_])\\Q"), F.col("term"), F.lit("\\E(?![\\p{L}\\p{N}_])"))
+    met = asked.join(broadcast_if_small(told), "w").filter(F.regexp_like("query", hit))
+    safe = F.replace(F.replace(F.col("alt"), F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
+    made = met.select("query_id", "term", "alt", F.regexp_replace("query", hit, F.concat(F.lit("$1"), safe)).alias("variant"))
+    first = made.groupBy("query_id", "variant").agg(F.min(F.struct("term", "alt")).alias("o"))
+    return first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("o"))).filter(F.col("n") <= most).select("query_id", "variant")

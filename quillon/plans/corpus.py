@@ -16,7 +16,10 @@ query = registrar(QUERIES, ORACLES)
 
 STRIPPED = r"regexp_replace(x, '^\s+|\s+$', '', 'g')"
 NONBLANK = rf"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {STRIPPED}), lambda x: x <> '')"
-TYPES = " ".join(f"WHEN regexp_matches(h, '(^|[^\\p{{L}}\\p{{N}}_])({told})($|[^\\p{{L}}\\p{{N}}_])') THEN '{kind}'" for kind, told in T.CHUNK_TYPES)
+EDGE = r"[^\p{L}\p{N}_]"
+TYPES = " ".join(f"WHEN regexp_matches(h, '(^|{EDGE})({told})($|{EDGE})') THEN '{kind}'" for kind, told in T.CHUNK_TYPES)
+TYPED = f"""typed AS (SELECT * EXCLUDE (h, m), CASE {TYPES} WHEN m IN ('proof', 'definition') THEN m WHEN m <> '' THEN 'theorem' ELSE 'unknown' END AS chunk_type
+  FROM (SELECT *, regexp_extract(h, '(?:^|{EDGE})({T.MATH_WORDS})(?:$|{EDGE})', 1) AS m FROM (SELECT *, lower('全文 ' || substr(body, 1, 400)) AS h FROM chunks)))"""
 
 
 def docs(spark, sf_dir):
@@ -37,17 +40,21 @@ def dedupe_chunks(spark, sf_dir):
     return chunking.dedupe_chunks(chunks(spark, sf_dir)).select("paper_id", "chunk_index", "chunk_id")
 
 
-@query(f"WITH {CHUNKS} SELECT chunk_id, CASE {TYPES} ELSE 'unknown' END AS chunk_type FROM (SELECT chunk_id, lower('全文 ' || substr(body, 1, 400)) AS h FROM chunks)")
+def typed(spark, sf_dir):
+    return chunks(spark, sf_dir).withColumn("chunk_type", T.chunk_type(F.col("path"), F.col("body")))
+
+
+@query(f"WITH {CHUNKS}, {TYPED} SELECT chunk_id, chunk_type FROM typed")
 def chunk_type(spark, sf_dir):
-    return chunks(spark, sf_dir).select("chunk_id", T.chunk_type(F.col("path"), F.col("body")).alias("chunk_type"))
+    return typed(spark, sf_dir).select("chunk_id", "chunk_type")
 
 
 @query(
-    f"""WITH {CHUNKS} SELECT chunk_id, round(CASE WHEN length(body) < 40 THEN 0.2 ELSE greatest(0, least(1, 0.55 + CASE WHEN regexp_matches(body, '[.!?。！？]') THEN 0.15 ELSE 0 END
-  + CASE WHEN regexp_matches(body, '[$=∑∫]') THEN 0.1 ELSE 0 END)) END::DOUBLE, 6) AS score FROM chunks"""
+    rf"""WITH {CHUNKS}, {TYPED} SELECT chunk_id, round(CASE WHEN length(body) < 40 THEN 0.2 ELSE greatest(0, least(1, 0.55 + CASE WHEN regexp_matches(body, '[。．.!?？]') THEN 0.15 ELSE 0 END
+  - CASE WHEN chunk_type = 'references' AND length(body) > 200 THEN 0.25 ELSE 0 END + CASE WHEN chunk_type IN ('theorem', 'definition', 'proof') AND regexp_matches(body, '[$\\]') THEN 0.1 ELSE 0 END)) END::DOUBLE, 4) AS score FROM typed"""
 )
 def chunk_score(spark, sf_dir):
-    return chunks(spark, sf_dir).select("chunk_id", T.chunk_score(F.col("body"), F.lit("unknown")).alias("score"))
+    return typed(spark, sf_dir).select("chunk_id", T.chunk_score(F.col("body"), F.col("chunk_type")).alias("score"))
 
 
 @query(

@@ -18,7 +18,7 @@ ASKED = "queries AS (SELECT item_id AS query_id, substr(text, 1, 200) AS query F
 TERMS = rf"""terms AS (SELECT query_id, unnest(t) AS term FROM (SELECT query_id, list_distinct(ws) AS d, (
     SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(ws) AS x, unnest(range(len(ws))) AS i) GROUP BY x ORDER BY i LIMIT 24)) AS t FROM (
   SELECT query_id, list_concat(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOP})),
-    list_transform(list_filter(regexp_extract_all(lower(query), '[^\x00-\x7F]+'), lambda w: length(w) >= 2), lambda w: substr(w, 1, 24))) AS ws FROM queries)))"""
+    list_transform(list_filter(regexp_extract_all(lower(query), '[^\x00-\x7F\s。，、；：？！（）]+'), lambda w: length(w) >= 2), lambda w: substr(w, 1, 24))) AS ws FROM queries)))"""
 INDEX = r"""words AS (SELECT chunk_id, paper_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS w FROM chunks),
 postings AS (SELECT term, chunk_id, paper_id, any_value(dl) AS dl, count(*) AS tf FROM (SELECT chunk_id, paper_id, len(w) AS dl, unnest(w) AS term FROM words) GROUP BY term, chunk_id, paper_id),
 stats AS (SELECT count(*) AS n_chunks, avg(len(w)) AS mean_length FROM words)"""
@@ -43,11 +43,11 @@ def chunks(spark, sf_dir):
     return chunking.chunks(read(spark, sf_dir, "documents"))
 
 
-def lexical(spark, sf_dir, k=40):
+def lexical(spark, sf_dir, k=40, ask=None):
     """The k best chunks of each query by BM25; statistics cover the whole index."""
     index = search.postings(chunks(spark, sf_dir))
     lengths = chunks(spark, sf_dir).select(F.size(T.index_tokens(F.col("body"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("m")).first()
-    scored = search.bm25(index, search.query_terms(asked(spark, sf_dir)), lengths["n"], lengths["m"] or 1.0)
+    scored = search.bm25(index, search.query_terms(asked(spark, sf_dir) if ask is None else ask), lengths["n"], lengths["m"] or 1.0)
     return search.ranked(scored, F.col("score"), k)
 
 
