@@ -172,11 +172,14 @@ def strip_refs(text: Column, refs: Column) -> Column:
 
 
 def repetition(text: Column) -> Column:
-    """Whether a block of 80 characters or more at the end of a text stands three times in its last 1200."""
+    """Whether a block of 80 characters or more at the end of a text stands three times in its last 1200.
+
+    Each such block ends with the last 80 characters, so texts that don't repeat these need no search.
+    """
     tail = F.substring(text, -1200, 1200)
     last = F.least(F.lit(400), F.floor(F.length(tail) / 3).cast("int")) - 1
     thrice = lambda p: (F.length(tail) - F.length(F.replace(tail, F.right(tail, p), F.lit("")))) / p >= 3
-    return F.when((F.length(text) >= 500) & (last >= 80), F.exists(F.sequence(F.lit(80), last), thrice)).otherwise(False)
+    return F.when((F.length(text) < 500) | (last < 80), False).when(~thrice(F.lit(80)), False).otherwise(F.exists(F.sequence(F.lit(80), F.greatest(last, F.lit(80))), thrice))
 
 
 def query_json(raw: Column, *names: str) -> Column:

@@ -38,12 +38,12 @@ def report(spark, sf_dir):
     return rows.select("doc_id", score.alias("score"), "text_length", "sections", "rich", "garbled", "ocr")
 
 
-@query(f"WITH {REPORT} SELECT doc_id, round(score, 4) AS score, text_length, sections, rich, concat_ws(',', CASE WHEN text_length < 800 THEN 'markdown_too_short' END, CASE WHEN garbled > 0.02 THEN 'high_garbled_ratio' END, CASE WHEN ocr > 0.25 THEN 'high_ocr_fragment_ratio' END, CASE WHEN sections < 2 AND text_length > 5000 THEN 'few_sections' END) AS warnings FROM report")
+@query(f"WITH {REPORT} SELECT doc_id, round(score, 9) AS score, text_length, sections, rich, concat_ws(',', CASE WHEN text_length < 800 THEN 'markdown_too_short' END, CASE WHEN garbled > 0.02 THEN 'high_garbled_ratio' END, CASE WHEN ocr > 0.25 THEN 'high_ocr_fragment_ratio' END, CASE WHEN sections < 2 AND text_length > 5000 THEN 'few_sections' END) AS warnings FROM report")
 def parse_report(spark, sf_dir):
     warn = lambda when, name: F.when(when, name)
     n, s = F.col("text_length"), F.col("sections")
     warnings = F.concat_ws(",", warn(n < 800, "markdown_too_short"), warn(F.col("garbled") > 0.02, "high_garbled_ratio"), warn(F.col("ocr") > 0.25, "high_ocr_fragment_ratio"), warn((s < 2) & (n > 5000), "few_sections"))
-    return report(spark, sf_dir).select("doc_id", F.round("score", 4).alias("score"), "text_length", "sections", "rich", warnings.alias("warnings"))
+    return report(spark, sf_dir).select("doc_id", F.round("score", 9).alias("score"), "text_length", "sections", "rich", warnings.alias("warnings"))
 
 
 MODES = ("layout", "plain_text", "layout_fallback", "invalid")
