@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def squeeze_blank(text: Column) -> Column:
     return F.regexp_replace(text, "\\n{4,}", "\n\n\n")
 
 
+def clean_markdown(text: Column) -> Column:
+    """Hyphens joined, page numbers and references dropped, blank lines squeezed, one final newline."""
+    return F.concat(strip(squeeze_blank(trim_references(drop_page_numbers(fix_hyphens(text))))), F.lit("\n"))
+
+
 def garbled_ratio(text: Column) -> Column:
     odd = F.length(F.regexp_replace(text, "[^\\x00-\\x08\\uE000-\\uF8FF]", ""))
     return F.when(F.length(text) > 0, odd / F.length(text)).otherwise(F.lit(0.0))
@@ -103,9 +110,28 @@ def search_tokens(text: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(ascii_, F.transform(other, lambda w: F.substring(w, 1, 24)))), 1, MAX_TOKENS)
 
 
+def _marked_letters() -> tuple[str, str]:
+    """Lower-case letters of the Latin blocks that are an ASCII letter with marks, and those letters."""
+    letters = [c for c in map(chr, (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))) if c == c.lower()]
+    pairs = [(c, d[0]) for c in letters if len(d := unicodedata.normalize("NFD", c)) > 1 and d[0].isascii() and d[0].isalpha() and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
+MARKED, BARE = _marked_letters()
+
+
+def folded(text: Column) -> Column:
+    """A lower-case text whose Latin letters carry no diacritics."""
+    return F.translate(text, MARKED, BARE)
+
+
+def folded_sql(text: str) -> str:
+    return f"translate({text}, '{MARKED}', '{BARE}')"
+
+
 def index_tokens(text: Column) -> Column:
-    """All words of a text in order, lower case; a run of letters and digits is one word."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
+    """All words of a text in order, lower case without diacritics; a run of letters and digits is one word."""
+    return F.regexp_extract_all(folded(F.lower(text)), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
 def citation_refs(text: Column) -> Column:

@@ -29,6 +29,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def bm25(index: DataFrame, terms: DataFrame, n_chunks: int, mean_length: float) -> DataFrame:
     """(query_id, chunk_id, paper_id, score): BM25 summed over the terms of a query."""
+    terms = terms.select("query_id", T.folded(F.col("term")).alias("term")).distinct()
     asked = broadcast_if_small(terms.select("term").distinct())
     hit = index.join(asked, "term", "left_semi")
     df = hit.groupBy("term").agg(F.count("*").alias("n"))
@@ -55,6 +56,20 @@ def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     return each.select("b.query_id", "chunk_id", "paper_id", F.round(T.cosine(F.col("b.q"), F.col("vector")), 6).alias("score"))
 
 
+def containing(queries: DataFrame, rows: DataFrame, text: Column, keep: list[str], block: int = 512) -> DataFrame:
+    """(query_id, keep): rows whose text contains any of a query's tokens (query_id, tokens).
+
+    The stated query set meets all rows in blocks: a row is joined with each block of about `block`
+    queries and reads its tokens there, so only hits leave the task.
+    """
+    n = max(1, -(-queries.count() // block))
+    blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("no")).agg(F.collect_list(F.struct("query_id", "tokens")).alias("block"))
+    dealt = rows.select(*keep, text.alias("_text")).withColumn("no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    met = dealt.join(broadcast_if_small(blocks, 64), "no")
+    hit = F.filter("block", lambda q: F.exists(q["tokens"], lambda t: F.contains(F.col("_text"), t)))
+    return met.select(*keep, F.explode(hit).alias("q")).select("q.query_id", *keep)
+
+
 def fuse(lists: DataFrame) -> DataFrame:
     """Reciprocal rank fusion of (query_id, list_no, rank, chunk_id); ties go to who appears first."""
     summed = lists.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1 / (F.lit(FUSION) + F.col("rank"))), 9).alias("fused"), F.min(F.struct("list_no", "rank")).alias("seen"))

@@ -78,8 +78,7 @@ def fix_hyphens(spark, sf_dir):
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(regexp_replace(coalesce(text, ''), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), chr(10)),
   lambda x: NOT regexp_matches(x, '^\s*[0-9]{1,4}\s*$')), chr(10)), '(?is)(^|\n)#*\s*(references|bibliography)\s*(\n.*)?$', ''), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) AS text FROM documents""")
 def clean_markdown(spark, sf_dir):
-    text = T.squeeze_blank(T.trim_references(T.drop_page_numbers(T.fix_hyphens(F.col("text")))))
-    return docs(spark, sf_dir).select("doc_id", F.concat(T.strip(text), F.lit("\n")).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", T.clean_markdown(F.col("text")).alias("text"))
 
 
 @query(rf"""SELECT doc_id, round(CASE WHEN t = '' THEN 0 ELSE length(regexp_replace(t, '[^\x{{0}}-\x{{8}}\x{{E000}}-\x{{F8FF}}]', '', 'g')) / length(t) END, 9) AS garbled,

@@ -19,11 +19,11 @@ TERMS = rf"""terms AS (SELECT query_id, unnest(t) AS term FROM (SELECT query_id,
     SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(ws) AS x, unnest(range(len(ws))) AS i) GROUP BY x ORDER BY i LIMIT 24)) AS t FROM (
   SELECT query_id, list_concat(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOP})),
     list_transform(list_filter(regexp_extract_all(lower(query), '[^\x00-\x7F\s。，、；：？！（）]+'), lambda w: length(w) >= 2), lambda w: substr(w, 1, 24))) AS ws FROM queries)))"""
-INDEX = r"""words AS (SELECT chunk_id, paper_id, regexp_extract_all(lower(body), '[\p{L}\p{N}]+') AS w FROM chunks),
+INDEX = rf"""words AS (SELECT chunk_id, paper_id, regexp_extract_all({T.folded_sql('lower(body)')}, '[\p{{L}}\p{{N}}]+') AS w FROM chunks),
 postings AS (SELECT term, chunk_id, paper_id, any_value(dl) AS dl, count(*) AS tf FROM (SELECT chunk_id, paper_id, len(w) AS dl, unnest(w) AS term FROM words) GROUP BY term, chunk_id, paper_id),
 stats AS (SELECT count(*) AS n_chunks, avg(len(w)) AS mean_length FROM words)"""
-SCORED = """scored AS (SELECT query_id, chunk_id, paper_id, round(sum(greatest(1e-6, ln((n_chunks - n + 0.5) / (n + 0.5))) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean_length))), 6) AS score
-  FROM terms JOIN postings USING (term) JOIN (SELECT term, count(*) AS n FROM postings GROUP BY term) USING (term), stats GROUP BY ALL)"""
+SCORED = f"""scored AS (SELECT query_id, chunk_id, paper_id, round(sum(greatest(1e-6, ln((n_chunks - n + 0.5) / (n + 0.5))) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean_length))), 6) AS score
+  FROM (SELECT DISTINCT query_id, {T.folded_sql('term')} AS term FROM terms) JOIN postings USING (term) JOIN (SELECT term, count(*) AS n FROM postings GROUP BY term) USING (term), stats GROUP BY ALL)"""
 LEXICAL = f"WITH {ASKED}, {CHUNKS}, {TERMS}, {INDEX}, {SCORED}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored QUALIFY rank <= 40)"
 DENSE = """, dense AS (SELECT a.vec_id AS query_id, b.vec_id::VARCHAR AS chunk_id, b.label::VARCHAR AS paper_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0)"""
 

@@ -68,3 +68,39 @@ def biblio_tables(spark: SparkSession, root: str, required: tuple[str, ...], opt
             if name in required:
                 raise ValueError(f"missing table: {name}") from e
     return out
+
+
+def resolve_paths(rows: DataFrame, inventory: DataFrame, old: str, new: str, root: str) -> DataFrame:
+    """(id, path): of the candidates of each row (id, path) the first that the inventory (path) holds, else null.
+
+    Candidates are the path itself, the path with its prefix `old` replaced by `new`, and folder and
+    name under `root`. They are looked up in one join.
+    """
+    p = F.col("path")
+    tail = F.regexp_extract("path", "/storage/([A-Za-z0-9]{8}/[^/]+)$", 1)
+    swapped = F.when(p.startswith(old), F.concat(F.lit(new), F.substring(p, F.lit(len(old) + 1), F.length(p))))
+    candidates = F.array(p, swapped, F.when(tail != "", F.concat(F.lit(f"{root}/"), tail)))
+    each = rows.select("id", F.posexplode(candidates).alias("order", "path"))
+    found = each.join(inventory.select("path").distinct().withColumn("there", F.lit(True)), "path", "left")
+    return found.groupBy("id").agg(F.min(F.when(F.col("there"), F.struct("order", "path")))["path"].alias("path"))
+
+
+def biblio_tables(spark: SparkSession, url: str, required: tuple[str, ...], options: dict | None = None, splits: dict[str, tuple[str, int, int, int]] | None = None) -> dict[str, DataFrame]:
+    """The required tables of a database behind JDBC; a missing one is an error that names it.
+
+    `splits` gives a table's numeric key, its range and a number of partitions, so that it is read by
+    several tasks; filters and columns are pushed to the database.
+    """
+    out, missing = {}, []
+    for name in required:
+        reader = spark.read.format("jdbc").options(url=url, dbtable=name, **(options or {}))
+        if splits and name in splits:
+            key, low, high, n = splits[name]
+            reader = reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=n)
+        try:
+            out[name] = reader.load()
+        except Exception as e:  # noqa: BLE001 - each driver raises its own kinds
+            missing.append(f"{name} ({type(e).__name__})")
+    if missing:
+        raise ValueError("tables that can't be read: " + ", ".join(missing))
+    return out

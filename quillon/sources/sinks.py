@@ -53,6 +53,23 @@ def write_vectors(spark: SparkSession, rows: DataFrame, path: str, buckets: int
     replace_papers(spark, rows.filter("vector is not null"), path, rows, buckets)
 
 
+def vector_outcome(papers: DataFrame, rows: DataFrame) -> DataFrame:
+    """(paper_id, ok, n_rows) of each listed paper: ok if it has a vector."""
+    counts = rows.groupBy("paper_id").agg(F.count("vector").alias("n_rows"))
+    out = papers.select("paper_id").distinct().join(counts, "paper_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("bigint")))
+    return out.select("paper_id", (F.col("n_rows") > 0).alias("ok"), "n_rows")
+
+
+def backfill_vectors(spark: SparkSession, papers: DataFrame, rows: DataFrame, path: str, errors: int = 20) -> dict:
+    """Writes the vectors that rows keep of the listed papers; papers without any are errors, of which the first are named."""
+    outcome = vector_outcome(papers, rows)
+    good = outcome.filter("ok").select("paper_id")
+    write_vectors(spark, rows.join(good, "paper_id", "left_semi"), path)
+    total = outcome.agg(F.count("*").alias("matched"), F.count_if("ok").alias("synced"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("rows")).first()
+    bad = [r["paper_id"] for r in outcome.filter("not ok").orderBy("paper_id").limit(errors).collect()]
+    return {**total.asDict(), "failed": total["matched"] - total["synced"], "errors": bad}
+
+
 def append(rows: DataFrame, path: str) -> None:
     """Reports and citations are only ever added."""
     rows.write.mode("append").parquet(path)

@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import text as T
+from quillon.operators import chunking
 from quillon.plans.base import registrar
+from quillon.plans.operations import PHASES
+from quillon.sources import sinks
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -53,3 +60,60 @@ def stream_throughput(spark, sf_dir):
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, sf_dir):
     return drained(stream(spark, sf_dir).dropDuplicatesWithinWatermark(["user_id", "event_type"]).select("user_id", "event_type"), "append")
+
+
+SPAN = "user_id bigint, span bigint, phase string, started_at timestamp, ended_at timestamp, n bigint"
+
+
+def _close_spans(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Closes a span when the phase changes; the open one stays in the state."""
+    span, phase, began, n = state.get if state.exists else (0, None, None, 0)
+    closed = []
+    rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+    for ts, kind in zip(rows["ts"], rows["event_type"], strict=True):
+        if span == 0 or kind != phase:
+            if span:
+                closed.append((key[0], span, phase, began, ts, n))
+            span, phase, began, n = span + 1, kind, ts, 0
+        n += 1
+    state.update((span, phase, began, n))
+    yield pd.DataFrame(closed, columns=["user_id", "span", "phase", "started_at", "ended_at", "n"])
+
+
+def phase_spans(events: DataFrame) -> DataFrame:
+    """Closed spans of equal phases of each user from a stream of events (user_id, ts, event_id, event_type).
+
+    A user's state is the open span only. Within a batch events are put in order; a later batch is
+    taken to hold later events, as spans once closed are never opened again.
+    """
+    state = "span bigint, phase string, began timestamp, n bigint"
+    return events.select("user_id", "ts", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(_close_spans, SPAN, state, "append", "NoTimeout")
+
+
+@query("WITH " + PHASES.lstrip(", ") + " SELECT user_id, span::BIGINT AS span, phase, started_at, lead(started_at) OVER (PARTITION BY user_id ORDER BY span) AS ended_at, n FROM g QUALIFY ended_at IS NOT NULL")
+def stream_phase_history(spark, sf_dir):
+    """Spans that are closed; the batch form is phase_history."""
+    return drained(phase_spans(stream(spark, sf_dir)), "append").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "ended_at")})
+
+
+def stream_inventory(scans: DataFrame, path: str, checkpoint: str):
+    """Runs scans of files (root, path, size, mtime, sha256) into a table of roots; a root's new scan replaces its old one.
+
+    Everything there is is taken, batch by batch; a batch that runs again gives the same table.
+    """
+
+    def take(rows: DataFrame, _: int) -> None:
+        sinks.replace_papers(rows.sparkSession, rows.withColumn("paper_id", F.col("root")), path)
+
+    return scans.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_index(docs: DataFrame, path: str, checkpoint: str):
+    """Runs a stream of texts (doc_id, text) into an index of chunks; a paper that comes again replaces its chunks."""
+
+    def take(rows: DataFrame, _: int) -> None:
+        last = rows.groupBy("doc_id").agg(F.max("text").alias("text"))
+        made = chunking.indexed(last.select("doc_id", T.clean_markdown(F.coalesce("text", F.lit(""))).alias("text")))
+        sinks.replace_papers(rows.sparkSession, made, path, last.select(F.col("doc_id").cast("string").alias("paper_id")))
+
+    return docs.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
