@@ -10,7 +10,7 @@ import base64
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import checkpointed
@@ -87,18 +87,19 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def at_limits(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """For any limits: (limit, docs_up_to, tokens_up_to, docs_over, truncated_tokens), read off the histogram."""
-    spark = histogram.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "limit bigint")
-    joined = asked.join(histogram, F.lit(True), "left")
-    short = F.col("length") <= F.col("limit")
-    sums = [F.coalesce(F.sum(F.when(c, x)), F.lit(0)).alias(n) for c, x, n in ((short, F.col("n_docs"), "docs_up_to"), (short, F.col("n_tokens"), "tokens_up_to"), (~short, F.col("n_docs"), "docs_over"))]
-    return joined.groupBy("limit").agg(*sums).withColumn("truncated_tokens", F.col("tokens_up_to") + F.col("limit") * F.col("docs_over"))
+    """For any limits: (limit, docs_up_to, tokens_up_to, docs_over, truncated_tokens), in one pass over the histogram."""
+
+    def answer(limit: int) -> Column:
+        short = F.col("length") <= limit
+        total = lambda c, x: F.coalesce(F.sum(F.when(c, F.col(x))), F.lit(0))
+        tokens, over = total(short, "n_tokens"), total(~short, "n_docs")
+        return F.struct(F.lit(limit).cast("bigint").alias("limit"), total(short, "n_docs").alias("docs_up_to"), tokens.alias("tokens_up_to"), over.alias("docs_over"), (tokens + limit * over).alias("truncated_tokens"))
+
+    return histogram.agg(F.array(*[answer(int(x)) for x in limits]).alias("a")).select(F.inline("a"))
 
 
 def quantiles(histogram: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, length): the least length that at least this share of the documents does not exceed."""
-    spark = histogram.sparkSession
-    asked = spark.createDataFrame([(float(x),) for x in shares], "share double")
-    reached = F.col("docs_up_to") >= F.ceil(F.col("share") * (F.col("docs_up_to") + F.col("docs_over")))
-    return asked.join(histogram, reached & (F.col("docs_up_to") > 0), "left").groupBy("share").agg(F.min("length").alias("length"))
+    """(share, length): the least length that at least this share of the documents does not exceed; null without documents."""
+    reached = lambda share: F.col("docs_up_to") >= F.ceil(F.lit(share) * (F.col("docs_up_to") + F.col("docs_over")))
+    least = [F.struct(F.lit(float(x)).alias("share"), F.min(F.when(reached(float(x)) & (F.col("docs_up_to") > 0), F.col("length"))).alias("length")) for x in shares]
+    return histogram.agg(F.array(*least).alias("a")).select(F.inline("a"))
