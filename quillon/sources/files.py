@@ -85,7 +85,7 @@ def resolve_paths(rows: DataFrame, inventory: DataFrame, old: str, new: str, roo
     return found.groupBy("id").agg(F.min(F.when(F.col("there"), F.struct("order", "path")))["path"].alias("path"))
 
 
-def biblio_tables(spark: SparkSession, url: str, required: tuple[str, ...], options: dict | None = None, splits: dict[str, tuple[str, int, int, int]] | None = None) -> dict[str, DataFrame]:
+def jdbc_tables(spark: SparkSession, url: str, required: tuple[str, ...], options: dict | None = None, splits: dict[str, tuple[str, int, int, int]] | None = None) -> dict[str, DataFrame]:
     """The required tables of a database behind JDBC; a missing one is an error that names it.
 
     `splits` gives a table's numeric key, its range and a number of partitions, so that it is read by

@@ -52,10 +52,10 @@ def test_paths_resolve_in_order(spark):
 def test_tables_of_a_database(spark):
     url, driver = "jdbc:derby:memory:biblio;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     spark.range(10).write.format("jdbc").options(url=url, dbtable="items", **driver).mode("overwrite").save()
-    read = files.biblio_tables(spark, url, ("items",), driver, {"items": ("id", 0, 10, 3)})
+    read = files.jdbc_tables(spark, url, ("items",), driver, {"items": ("id", 0, 10, 3)})
     assert read["items"].count() == 10 and read["items"].rdd.getNumPartitions() == 3
     with pytest.raises(ValueError, match="tags"):
-        files.biblio_tables(spark, url, ("items", "tags"), driver)
+        files.jdbc_tables(spark, url, ("items", "tags"), driver)
 
 
 def test_vectors_are_backfilled(spark, tmp_path):
