@@ -72,7 +72,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    return packing.pack(table(spark, sf_dir, "documents"), token_counts.encoded_length("text"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

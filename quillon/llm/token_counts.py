@@ -38,8 +38,8 @@ class _Lengths(dict):
         return n
 
 
-def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) for every row; null and empty texts have 0 tokens, whatever looks like a special token is text.
+def encoded_length(text: str | Column, vocabulary: str = VOCABULARY) -> Column:
+    """Tokens of a text; null and empty texts have 0 tokens, whatever looks like a special token is text.
 
     A text is split whole by the vocabulary's pattern; merges never cross its pieces, so the length
     of a text is the sum of the lengths of its pieces.
@@ -58,7 +58,12 @@ def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         for batch in batches:
             yield pa.array([sum(map(length, pieces(t.as_py()))) if t.is_valid else 0 for t in batch], pa.int64())
 
-    return docs.select("doc_id", count("text").alias("n_tokens"))
+    return count(text)
+
+
+def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens) for every row."""
+    return docs.select("doc_id", encoded_length("text", vocabulary).alias("n_tokens"))
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 """What the operators once left out, against brute force on small rows."""
 
+import pytest
+
 import corpus_pipeline
+from quillon.llm import packing, queries, token_counts
 from tests.llm.test_operators import WORD, docs, prose
 
 
@@ -32,3 +35,19 @@ def test_pipeline_keeps_one_of_near_copies_at_five_words(spark):
     assert len(between) >= 4
     kept = corpus_pipeline.near_duplicates(spark, docs(spark, texts), "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(low))
+
+
+def test_packing_query_measures_tokens(spark, tmp_path):
+    pytest.importorskip("tiktoken")
+    texts = [prose(1), "漢字" * 3000, "QUJD" * 2000, None, "", "a b c", prose(2, 3000)]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    want = {r["doc_id"]: r["n_tokens"] for r in token_counts.encoded_lengths(docs(spark, texts)).collect()}
+    assert want[1] > 2048 and want[2] > 2048 and want[3] == want[4] == 0
+    rows = queries.op8_best_fit_packing(spark, str(tmp_path)).collect()
+    assert {i: sum(r["length"] for r in rows if r["doc_id"] == i) for i in want} == want
+    used = {}
+    for r in rows:
+        if r["length"]:
+            used.setdefault((r["shard"], r["bin"], r["capacity"]), []).append(r["length"])
+    assert all(sum(n) <= size for (_, _, size), n in used.items()) and len({k[:2] for k in used}) == len(used)
+    assert sum(k[2] for k in used) < sum(want.values()) + 2 * max(packing.CAPACITIES)
