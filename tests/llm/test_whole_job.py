@@ -1,9 +1,11 @@
 """What the operators once left out, against brute force on small rows."""
 
+import datetime as dt
+
 import pytest
 
 import corpus_pipeline
-from quillon.llm import packing, queries, token_counts
+from quillon.llm import packing, queries, token_counts, url_filter
 from tests.llm.test_operators import WORD, docs, prose
 
 
@@ -51,3 +53,20 @@ def test_packing_query_measures_tokens(spark, tmp_path):
             used.setdefault((r["shard"], r["bin"], r["capacity"]), []).append(r["length"])
     assert all(sum(n) <= size for (_, _, size), n in used.items()) and len({k[:2] for k in used}) == len(used)
     assert sum(k[2] for k in used) < sum(want.values()) + 2 * max(packing.CAPACITIES)
+
+
+def test_url_filter_matches_any_number_of_labels(spark):
+    day = lambda n: dt.date(2024, 1, 1) + dt.timedelta(n)
+    entries = [("localhost", "block", day(0)), ("x.b.c.d.e.f.com", "allow", day(5)), ("f.com", "block", day(0)), ("a.b.c.d.e.g.org", "block", day(0)), ("zone", "block", day(0))]
+    hosts = ["localhost", "x.b.c.d.e.f.com", "y.x.b.c.d.e.f.com", "b.c.d.e.f.com", "a.b.c.d.e.g.org", "b.c.d.e.g.org", "any.where.zone", "notzone"]
+    captures = [(f"http://{h}/", h, day(n)) for h in hosts for n in (1, 9)]
+    df = spark.createDataFrame(captures, "url string, host string, fetched date")
+    listed = spark.createDataFrame(entries, "domain string, action string, day date")
+    for bound in (1000, 0):
+        rows = url_filter.judge(df, listed, bound=bound).collect()
+        assert len(rows) == len(captures)
+        for r in rows:
+            host, when = r["capture"]["host"], r["capture"]["fetched"]
+            best = max(((len(d), d, a) for d, a, since in entries if (host == d or host.endswith("." + d)) and since <= when), default=(0, None, None))
+            assert (r["host"], r["matched_domain"], r["action"], r["blocked"]) == (host, *best[1:], best[2] == "block")
+    assert not any(r["blocked"] for r in url_filter.judge(df, listed.limit(0)).collect())
