@@ -109,8 +109,71 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def _any_windows(tokens: DataFrame, keep: list[str], at: str, lengths: list[int]) -> DataFrame:
+    """(keep, at, hash, light) of all windows of the given lengths in `t`, the structs of with_tokens.
+
+    A first word that is a placeholder only because of the word before it also counts as a plain
+    word, as it does at the start of an item. Windows with more placeholders than words are not
+    light: they are hashed by their plain words.
+    """
+    place = F.sequence(F.lit(0), F.size("t") - 1)
+    each = tokens.filter(F.size("t") > 0).select(*keep, "t", F.explode_outer(place).alias(at))
+    each = each.select(*keep, at, (F.size("t") - F.col(at)).alias("left"), *[F.get("t", F.col(at) + k)[c].alias(f"{c}{k}") for k in range(max(lengths)) for c in ("canon", "word")])
+    slot = lambda w: F.when(w.isin(NUMBER, UNIT, NAME), 1).otherwise(0)
+    bare = F.when(F.col("canon0").isin(UNIT, NAME), F.col("word0")).otherwise(F.col("canon0"))
+
+    def window(n: int, first: Column) -> Column:
+        canon = [first, *[F.col(f"canon{k}") for k in range(1, n)]]
+        light = 2 * sum((slot(w) for w in canon), F.lit(0)) <= n
+        hashed = F.when(light, F.xxhash64(F.lit(n), *canon)).otherwise(F.xxhash64(F.lit(-n), *[F.col(f"word{k}") for k in range(n)]))
+        return F.when(F.col("left") >= n, F.struct(hashed.alias("hash"), light.alias("light")))
+
+    made = each.withColumn("made", F.array(*[window(n, first) for n in lengths for first in (F.col("canon0"), bare)]))
+    return made.select(*keep, at, F.explode_outer("made").alias("m")).filter("m is not null").select(*keep, at, "m.hash", "m.light")
+
+
+def held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(text_hash, item_id) of texts that hold an item, beyond what op2's query finds by its SQL.
+
+    Items shorter than WIDTH words are found inside longer texts, an item's first word is read alike
+    wherever it stands, windows of mostly placeholders match by their plain words, and every run
+    that is long enough is judged: one whose slots correspond one way is enough. A run needs RUN
+    windows or all of the item, counted over all windows or over those that are light.
+    """
+    items = checkpointed(with_tokens(benchmark.select("item_id", F.col("text").alias("item_text")), "item_text", "t").select("item_id", "t").filter(F.size("t") > 0))
+    lengths = sorted(r["n"] for r in items.select(F.least(F.size("t"), F.lit(WIDTH)).alias("n")).distinct().collect()) or [WIDTH]
+    own = items.withColumn("n", F.least(F.size("t"), F.lit(WIDTH)))
+    wanted = None
+    for n in lengths:
+        one = _any_windows(own.filter(F.col("n") == n), ["item_id"], "item_pos", [n]).distinct()
+        wanted = one if wanted is None else wanted.unionByName(one)
+    wanted = checkpointed(wanted)
+    needs = wanted.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_all"), F.count_distinct(F.when(F.col("light"), F.col("item_pos"))).alias("n_light"))
+    texts = docs.select(text_or_empty("text").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    rows = with_tokens(texts, "text", "t").select("text_hash", "t")
+    marks = wanted.join(needs, "item_id")
+    hits = _any_windows(rows, ["text_hash"], "pos", lengths).drop("light").join(small(marks), "hash")
+    hits = hits.select("text_hash", "item_id", "n_all", "n_light", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "light")
+    matched = hits.groupBy("text_hash", "item_id", "shift", "n_all", "n_light", "item_pos").agg(F.bool_or("light").alias("light"))
+    runs = matched.groupBy("text_hash", "item_id", "shift", "n_all", "n_light").agg(F.count("*").alias("n"), F.count_if("light").alias("m"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
+    enough = (F.col("n") >= F.least("n_all", F.lit(RUN))) | ((F.col("n_light") > 0) & (F.col("m") >= F.least("n_light", F.lit(RUN))))
+    runs = checkpointed(runs.filter(enough).groupBy("text_hash", "item_id").agg(F.collect_list(F.struct("first", "last", "shift")).alias("runs")))
+
+    found = texts.join(small(runs.select(F.col("text_hash").alias("h")).distinct()), F.col("text_hash") == F.col("h"), "left_semi").dropDuplicates(["text_hash"])
+    read = with_tokens(found, "text", "d").select(F.col("text_hash").alias("h"), "d")
+    both = runs.join(read, F.col("text_hash") == F.col("h")).join(small(items.withColumnRenamed("t", "i")), "item_id")
+
+    def consistent(r: Column) -> Column:
+        size = r["last"] - r["first"] + WIDTH
+        pairs = F.zip_with(F.slice("i", r["first"] + 1, size), F.slice("d", r["first"] + r["shift"] + 1, size), lambda i, d: F.struct(i["canon"].alias("canon"), i["word"].alias("item"), F.when(d["canon"] == i["canon"], d["word"]).alias("doc")))
+        slots = F.filter(pairs, lambda p: p["canon"].isin(NUMBER, UNIT, NAME) & p["doc"].isNotNull())
+        return F.size(F.array_distinct(slots)) == F.size(F.array_distinct(F.transform(slots, lambda p: F.struct(p["canon"], p["item"]))))
+
+    return both.filter(F.exists("runs", consistent)).select("text_hash", "item_id")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (all columns) without those that leak an item."""
-    found = checkpointed(leaks(docs, benchmark).filter("leak").select("text_hash").distinct())
+    """docs (all columns) without those that hold an item."""
+    found = checkpointed(held(docs, benchmark).select("text_hash").distinct())
     rows = packed(docs).withColumn("_h", F.xxhash64(text_or_empty("_row.text")))
     return unpacked(rows.join(small(found), rows["_h"] == found["text_hash"], "left_anti"), docs.columns)

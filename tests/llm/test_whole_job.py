@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 
 import corpus_pipeline
-from quillon.llm import packing, queries, token_counts, url_filter
+from quillon.llm import decontaminate, packing, queries, token_counts, url_filter
 from tests.llm.test_operators import WORD, docs, prose
 
 
@@ -70,3 +70,26 @@ def test_url_filter_matches_any_number_of_labels(spark):
             best = max(((len(d), d, a) for d, a, since in entries if (host == d or host.endswith("." + d)) and since <= when), default=(0, None, None))
             assert (r["host"], r["matched_domain"], r["action"], r["blocked"]) == (host, *best[1:], best[2] == "block")
     assert not any(r["blocked"] for r in url_filter.judge(df, listed.limit(0)).collect())
+
+
+def test_clean_finds_short_first_word_and_placeholder_items(spark):
+    short, middle = "Which river crosses the old town?", "Which river crosses the old town near that long bridge"
+    sums = "12 + 7 = 19 and 19 - 4 = 15 and 15 * 2 = 30"
+    told = "On the table there are 12 apples and 7 pears which weigh 12 kg when put together by old farmers today"
+    twice = told.replace("12 apples", "31 apples")
+    texts = [
+        f"{prose(1)} {short} {prose(2)}",
+        f"{prose(3)} heading {middle} {prose(4)}",
+        f"{prose(5)} {sums} {prose(6)}",
+        f"{twice}. {prose(7)}. {told.replace('12', '40')}",
+        f"{prose(8)} 1 2 3 4 5 6 7 8 9 {prose(9)}",
+        f"{prose(10)} {twice}",
+        prose(11), None, "", "Which river crosses",
+    ]
+    bench = spark.createDataFrame([(1, short), (2, middle), (3, sums), (4, told), (5, None), (6, "")], "item_id bigint, text string")
+    kept = decontaminate.clean(docs(spark, texts), bench)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [4, 5, 6, 7, 8, 9]
+    for k, item in enumerate((short, middle, sums, told), 1):  # each by itself
+        left = decontaminate.clean(docs(spark, texts), bench.filter(f"item_id = {k}"))
+        assert k - 1 not in {r["doc_id"] for r in left.collect()}, item
+    assert decontaminate.clean(docs(spark, texts), bench.limit(0)).count() == len(texts)
