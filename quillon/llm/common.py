@@ -7,13 +7,12 @@ projections and computes the array again for every element.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Rows up to which a small side is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Rows and bytes up to which a small side is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = "[\\x20\\x09-\\x0D]"
@@ -24,16 +23,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder (a temporary one where none is set, as in tests)."""
+    """Materialise in the shared checkpoint folder.
+
+    A local session without one gets a folder under its warehouse; on a cluster a missing
+    spark.checkpoint.dir is an error, since a folder of the driver's machine is not shared.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if shared is None and sc.master.startswith("local"):
+            import tempfile
+
+            shared = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        if shared is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(shared)
     return df.checkpoint()
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else df itself (a shuffle join)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(value: Column, kind: DataType) -> Column:
+    """About the bytes that a value takes in a hashed relation."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
+    if isinstance(kind, StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, (StringType, BinaryType, StructType, ArrayType)):
+            return F.coalesce(F.aggregate(value, F.lit(16), lambda a, x: a + _bytes(x, kind.elementType)), F.lit(16))
+        return F.coalesce(F.size(value), F.lit(0)) * 8 + 16
+    return F.lit(8)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows and about `most` bytes, else df itself (a shuffle join).
+
+    The size is one aggregate over df, so df should be materialised or cheap.
+    """
+    each = sum((_bytes(df[f"`{f.name}`"], f.dataType).cast("bigint") for f in df.schema.fields), F.lit(16).cast("bigint"))
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(each), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
 
 
 def text_or_empty(col: str | Column) -> Column:

@@ -1,42 +1,50 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame expressions only.
 
 Numbers, names and units become typed placeholders; windows of WIDTH template words are hashed and
-joined with the windows of the benchmark. Matches of one alignment form a run; over the run, the
+joined with the windows of the benchmark. Matches of one alignment form a run; over a run, the
 values in the slots of item and document must correspond one way, so a question asked again with
 other numbers or names is caught, and an accidental likeness of templates is not.
+
+A word's placeholder depends on the word alone (a unit also on the number before it), so an item
+gives the same windows wherever it stands. Windows of almost nothing but placeholders would match
+any list of numbers; they are matched by their plain words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, checkpointed, packed, small, text_or_empty, unpacked
+from quillon.llm.common import checkpointed, packed, small, text_or_empty, unpacked
 
-#: Words of a window; windows that a run needs (all of a shorter item); placeholders a benchmark window may have.
-WIDTH, RUN, SLOTS = 8, 6, 4
+#: Words of a window (a shorter item is one window of all its words); windows that a run needs.
+WIDTH, RUN = 8, 6
+#: Words beside placeholders that a window needs to match by its template, if it has WIDTH words and if it has fewer.
+TELLING, SHORT_TELLING = 2, 4
 #: Words that count as units after a number.
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "ft", "feet", "foot", "yard", "yards", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "pound", "pounds", "ton", "tons",
     "ml", "l", "liter", "liters", "litre", "litres", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks",
     "month", "months", "year", "years", "percent", "dollar", "dollars", "usd", "euro", "euros", "eur", "cent", "cents", "mph", "kmh", "hz", "w", "kw", "v", "c", "f", "k",
 )
-#: Placeholders: private-use characters, which no letter or digit class holds.
-NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
+#: Placeholders: private-use characters, which no letter or digit class holds; in texts they count as white space.
+NUMBER, UNIT, NAME = "", "", ""
+GAP = f"[\\x20\\x09-\\x0D{NUMBER}-{NAME}]"
 
 
-def _flat(text: str) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " ")
+def telling(n: int) -> int:
+    """Words beside placeholders that a window of n words needs to match by its template."""
+    return TELLING if n == WIDTH else min(n, SHORT_TELLING)
 
 
 def _canonical(flat: Column) -> Column:
     """The template of a text with single spaces, word by word: placeholders, else lower case without punctuation.
 
-    A name is a capitalised word after a word that ends no sentence; a number is a word whose first
-    letter or digit is a digit; a unit is a listed word after a number. Words stay in place, words of
-    punctuation alone become empty.
+    A name is a word that begins with a capital; a number is a word whose first letter or digit is a
+    digit; a unit is a listed word after a number. Words stay in place, words of punctuation alone
+    become empty.
     """
-    named = F.regexp_replace(flat, "(?<=[^ .!?:] )[\\p{Lu}\\p{Lt}][^ ]*", NAME)
+    named = F.regexp_replace(flat, "(?<![^ ])[\\p{Lu}\\p{Lt}][^ ]*", NAME)
     counted = F.regexp_replace(named, "(?<![^ ])[^\\p{L}\\p{N} ]*[0-9][^ ]*", NUMBER)
     mark = "[^\\p{L}\\p{N} ]*"
     united = F.regexp_replace(counted, f"(?i)(?<={NUMBER} ){mark}(?:{'|'.join(UNITS)}){mark}(?![^ ])", UNIT)
@@ -44,136 +52,126 @@ def _canonical(flat: Column) -> Column:
     return F.lower(F.regexp_replace(filled, f"[^\\p{{L}}\\p{{N}} {NUMBER}-{NAME}]+", ""))
 
 
-def with_templates(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: the template words of a text."""
-    return df.withColumn(out, F.filter(F.split(_canonical(_flat(text)), " ", -1), lambda x: x != ""))
-
+def with_tokens(df: DataFrame, text: str, lengths: list[int] | None = None) -> DataFrame:
+    """df with `w`, the template words of a text, and `p`, the plain words behind them.
 
-def with_tokens(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: structs (word, canon) of the words behind the template words."""
-    plain = F.lower(F.regexp_replace("_flat", "[^\\p{L}\\p{N} ]+", ""))
-    df = df.withColumn("_flat", _flat(text))
-    both = F.arrays_zip(F.split(plain, " ", -1).alias("word"), F.split(_canonical(F.col("_flat")), " ", -1).alias("canon"))
-    return df.withColumn(out, F.filter(both, lambda x: x["canon"] != "")).drop("_flat")
+    If only windows of the given lengths are asked for, p is null where none of them needs it: a
+    window of WIDTH words that is matched by its plain words has four placeholders in a row.
+    """
+    held = lambda x: F.filter(F.split(x, " ", -1), lambda y: y != "")
+    df = df.withColumn("_flat", F.regexp_replace(text_or_empty(text), f"{GAP}+", " ")).withColumn("_canon", _canonical(F.col("_flat")))
+    plain = held(F.lower(F.regexp_replace("_flat", "[^\\p{L}\\p{N} ]+", "")))
+    if lengths == [WIDTH]:
+        plain = F.when(F.col("_canon").rlike(f"(?:[{NUMBER}-{NAME}] +){{3}}[{NUMBER}-{NAME}]"), plain)
+    return df.withColumns({"w": held(F.col("_canon")), "p": plain}).drop("_flat", "_canon")
 
 
-def windows(df: DataFrame, words: str, keep: list[str], at: str) -> DataFrame:
-    """(keep, at, hash, slots) of every window of WIDTH words; a shorter text is one window, a text without words has none.
+def windows(tokens: DataFrame, keep: list[str], at: str, lengths: list[int]) -> DataFrame:
+    """(keep, at, hash) of every window of each of the given lengths in `w`; texts without a word have none.
 
     Places are exploded and words are read by position, so that hashes are computed in compiled code.
     """
-    place = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - WIDTH))
-    each = df.select(*keep, words, F.explode_outer(place).alias(at)).filter(F.get(words, at).isNotNull())
-    near = [F.get(words, F.col(at) + k) for k in range(WIDTH)]
-    slots = sum((F.when(w.isin(NUMBER, UNIT, NAME), 1).otherwise(0) for w in near), F.lit(0))
-    return each.select(*keep, at, F.xxhash64(*near).alias("hash"), slots.alias("slots"))
+    place = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - min(lengths)))
+    each = tokens.select(*keep, "w", "p", F.explode_outer(place).alias(at)).filter(F.get("w", F.col(at) + (min(lengths) - 1)).isNotNull())
+    hashes = [_hash(at, n)[0] for n in lengths]
+    if len(lengths) == 1:
+        return each.select(*keep, at, hashes[0].alias("hash"))
+    many = F.explode_outer(F.array(*[F.when(F.get("w", F.col(at) + (n - 1)).isNotNull(), h) for n, h in zip(lengths, hashes, strict=True)]))
+    return each.select(*keep, at, many.alias("hash")).filter("hash is not null")
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, item_pos, hash, need, n_windows) of the windows that may match: not mostly placeholders."""
-    each = windows(with_templates(benchmark.select("item_id", "text"), "text", "w"), "w", ["item_id"], "item_pos").filter(F.col("slots") <= SLOTS)
-    counts = each.groupBy("item_id").agg(F.count("*").alias("n_windows"))
-    hashed = each.select("item_id", "item_pos", "hash")
-    return hashed.join(counts, "item_id").withColumn("need", F.least("n_windows", F.lit(RUN)))
+def _hash(at: str, n: int) -> tuple[Column, Column]:
+    """The hash of the window of n words from `at`, and whether it stands for the template."""
+    near = [F.get("w", F.col(at) + k) for k in range(n)]
+    light = sum((F.when(w.isin(NUMBER, UNIT, NAME), 0).otherwise(1) for w in near), F.lit(0)) >= telling(n)
+    plain = F.xxhash64(F.lit(-n), *[F.get("p", F.col(at) + k) for k in range(n)])
+    return F.when(light, F.xxhash64(F.lit(n), *near)).otherwise(plain), light
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, text_hash, n_matched, n_windows, n_slots, n_changed, leak), one row for each document and item with a long enough run.
+def item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
+    """(item_id, item_pos, hash, n, need, rare) of the windows of items (item_id, w, p).
 
-    leak is true if the slots of the run correspond one way: equal values of the item always meet
-    equal values of the document. n_changed counts slots whose value differs (0 for a verbatim copy).
-    Null and empty texts match nothing; items without text are never matched; rows that repeat a
-    document give one row. Rows with a null doc_id take part. Other columns are ignored.
+    A first word that would be a unit after a number gives its window in both forms. A run needs
+    RUN windows or all that match by template, if any do, else all. Of n windows of which `need` must be met, any
+    n - need + 1 hold one that is: the rarest in the benchmark are marked, and find the candidates.
     """
-    docs = docs.select("doc_id", text_or_empty("text").alias("text"))
-    wanted = checkpointed(item_windows(benchmark))
-    rows = with_templates(docs.withColumn("text_hash", F.xxhash64("text")), "text", "w")
-    hits = windows(rows, "w", ["doc_id", "text_hash"], "pos").drop("slots").join(small(wanted), "hash")
-    hits = hits.select("doc_id", "text_hash", "item_id", "need", "n_windows", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos").distinct()
-    runs = hits.groupBy("doc_id", "text_hash", "item_id", "shift", "need", "n_windows").agg(F.count("*").alias("n_matched"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
-    best = runs.filter("n_matched >= need").groupBy("doc_id", "text_hash", "item_id", "n_windows").agg(F.max(F.struct("n_matched", (-F.col("shift")).alias("back"), "first", "last")).alias("r"))
-    best = checkpointed(best.select("doc_id", "text_hash", "item_id", "n_windows", "r.*"))
-
-    items = with_tokens(benchmark.select("item_id", F.col("text").alias("item_text")), "item_text", "i").select("item_id", "i")
-    texts = docs.withColumn("h", F.xxhash64("text")).join(small(best.select(F.col("text_hash").alias("h")).distinct()), "h", "left_semi").select("h", "text").dropDuplicates(["h"])
-    read = with_tokens(texts, "text", "d").select("h", "d")
-    both = best.join(read, best["text_hash"] == read["h"]).join(small(items), "item_id")
-    at, size = F.col("first") + 1, F.col("last") - F.col("first") + WIDTH
-    pairs = F.zip_with(F.slice("i", at, size), F.slice("d", at - F.col("back"), size), lambda i, d: F.struct(i["canon"].alias("canon"), i["word"].alias("item"), F.when(d["canon"] == i["canon"], d["word"]).alias("doc")))
-    slots = F.filter(pairs, lambda p: p["canon"].isin(NUMBER, UNIT, NAME) & p["doc"].isNotNull())
-    out = both.withColumn("s", slots)
-    return out.select(
-        "doc_id", "item_id", "text_hash", "n_matched", "n_windows", F.size("s").cast("bigint").alias("n_slots"),
-        F.size(F.filter("s", lambda p: p["item"] != p["doc"])).cast("bigint").alias("n_changed"),
-        (F.size(F.array_distinct("s")) == F.size(F.array_distinct(F.transform("s", lambda p: F.struct(p["canon"], p["item"]))))).alias("leak"),
-    )
-
-
-def _any_windows(tokens: DataFrame, keep: list[str], at: str, lengths: list[int]) -> DataFrame:
-    """(keep, at, hash, light) of all windows of the given lengths in `t`, the structs of with_tokens.
-
-    A first word that is a placeholder only because of the word before it also counts as a plain
-    word, as it does at the start of an item. Windows with more placeholders than words are not
-    light: they are hashed by their plain words.
+    first = items.filter(F.get("w", F.lit(0)).isin(*UNITS)).withColumn("w", F.concat(F.array(F.lit(UNIT)), F.slice("w", 2, F.size("w"))))
+    parts = []
+    for n in lengths:
+        own = lambda df, n=n: df.filter(F.least(F.size("w"), F.lit(WIDTH)) == n)
+        for df, places in ((own(items), F.sequence(F.lit(0), F.size("w") - n)), (own(first), F.array(F.lit(0)))):
+            hash_, light = _hash("item_pos", n)
+            parts.append(df.select("item_id", "w", "p", F.explode_outer(places).alias("item_pos")).select("item_id", "item_pos", hash_.alias("hash"), light.alias("light"), F.lit(n).alias("n")))
+    each = parts[0]
+    for part in parts[1:]:
+        each = each.unionByName(part)
+    each = checkpointed(each)
+    needs = each.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_windows"), F.count_distinct(F.when(F.col("light"), F.col("item_pos"))).alias("n_light"))
+    needs = needs.withColumn("need", F.least(F.when(F.col("n_light") > 0, F.col("n_light")).otherwise(F.col("n_windows")), F.lit(RUN)))
+    often = each.groupBy("hash").agg(F.count("*").alias("often"))
+    places = each.join(often, "hash").groupBy("item_id", "item_pos").agg(F.max("often").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("item_id").orderBy("often", "item_pos"))
+    places = places.withColumn("rank", rank).join(needs, "item_id").select("item_id", "item_pos", "n_windows", "need", (F.col("rank") <= F.col("n_windows") - F.col("need") + 1).alias("rare"))
+    return each.drop("light").join(places, ["item_id", "item_pos"])
+
+
+def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(text_hash, item_id, shift, n_matched, n_windows, n_slots, n_changed, leak) of every long enough run of a text.
+
+    Candidates come from the rarest windows of an item, so a stem that many items share does not
+    pair every text that holds it with each of them; then all windows of a candidate are counted.
+    Whole runs are read again word by word, so equal hashes of different windows do no harm.
     """
-    place = F.sequence(F.lit(0), F.size("t") - 1)
-    each = tokens.filter(F.size("t") > 0).select(*keep, "t", F.explode_outer(place).alias(at))
-    each = each.select(*keep, at, (F.size("t") - F.col(at)).alias("left"), *[F.get("t", F.col(at) + k)[c].alias(f"{c}{k}") for k in range(max(lengths)) for c in ("canon", "word")])
-    slot = lambda w: F.when(w.isin(NUMBER, UNIT, NAME), 1).otherwise(0)
-    bare = F.when(F.col("canon0").isin(UNIT, NAME), F.col("word0")).otherwise(F.col("canon0"))
-
-    def window(n: int, first: Column) -> Column:
-        canon = [first, *[F.col(f"canon{k}") for k in range(1, n)]]
-        light = 2 * sum((slot(w) for w in canon), F.lit(0)) <= n
-        hashed = F.when(light, F.xxhash64(F.lit(n), *canon)).otherwise(F.xxhash64(F.lit(-n), *[F.col(f"word{k}") for k in range(n)]))
-        return F.when(F.col("left") >= n, F.struct(hashed.alias("hash"), light.alias("light")))
-
-    made = each.withColumn("made", F.array(*[window(n, first) for n in lengths for first in (F.col("canon0"), bare)]))
-    return made.select(*keep, at, F.explode_outer("made").alias("m")).filter("m is not null").select(*keep, at, "m.hash", "m.light")
+    items = with_tokens(benchmark.select("item_id", "text"), "text").select("item_id", "w", "p")
+    items = checkpointed(items.filter(F.size("w") > 0))
+    lengths = sorted(r["n"] for r in items.select(F.least(F.size("w"), F.lit(WIDTH)).alias("n")).distinct().collect()) or [WIDTH]
+    wanted = checkpointed(item_windows(items, lengths))
+    texts = docs.select(text_or_empty("text").alias("text")).withColumn("text_hash", F.md5("text"))
+    read = windows(with_tokens(texts, "text", lengths), ["text_hash"], "pos", lengths)
+    met = checkpointed(read.join(small(wanted.select("hash").distinct()), "hash", "left_semi").distinct())
+    rare = wanted.filter("rare").select("hash", "item_id", "item_pos")
+    tried = met.join(small(rare), "hash").select("text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()
+    asked = tried.join(small(wanted.drop("rare")), "item_id").withColumn("pos", F.col("item_pos") + F.col("shift"))
+    hits = asked.join(met, ["text_hash", "pos", "hash"])
+    runs = hits.groupBy("text_hash", "item_id", "shift", "n", "n_windows", "need").agg(F.count_distinct("item_pos").alias("n_matched"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
+    runs = checkpointed(runs.filter("n_matched >= need"))
+
+    held = texts.join(small(runs.select("text_hash").distinct()), "text_hash", "left_semi").dropDuplicates(["text_hash"])
+    held = with_tokens(held, "text").select("text_hash", F.col("w").alias("dw"), F.col("p").alias("dp"))
+    both = runs.join(held, "text_hash").join(small(items), "item_id")
+    size = F.col("last") - F.col("first") + F.col("n")
+    of_item, of_doc = F.col("first") + 1, F.col("first") + F.col("shift") + 1
+    item = F.arrays_zip(F.slice("w", of_item, size).alias("canon"), F.slice("p", of_item, size).alias("word"))
+    doc = F.arrays_zip(F.slice("dw", of_doc, size).alias("canon"), F.slice("dp", of_doc, size).alias("word"))
+    both = both.withColumn("pairs", F.zip_with(item, doc, lambda i, d: F.struct(i["canon"].alias("canon"), i["word"].alias("item"), d["word"].alias("doc"), (i["canon"] == d["canon"]).alias("same"))))
+    both = both.withColumn("s", F.transform(F.filter("pairs", lambda x: x["same"] & x["canon"].isin(NUMBER, UNIT, NAME)), lambda x: F.struct(x["canon"].alias("canon"), x["item"].alias("item"), x["doc"].alias("doc"))))
+    alike = F.size(F.filter("pairs", lambda x: x["same"] | (x["item"] == x["doc"]))) >= F.col("n_matched") + F.col("n") - 1
+    return both.filter(alike).select(
+        "text_hash", "item_id", "shift", "n_matched", "n_windows", F.size("s").cast("bigint").alias("n_slots"),
+        F.size(F.filter("s", lambda x: x["item"] != x["doc"])).cast("bigint").alias("n_changed"),
+        (F.size(F.array_distinct("s")) == F.size(F.array_distinct(F.transform("s", lambda x: F.struct(x["canon"], x["item"]))))).alias("leak"),
+    )
 
 
-def held(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(text_hash, item_id) of texts that hold an item, beyond what op2's query finds by its SQL.
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, text_hash, n_matched, n_windows, n_slots, n_changed, leak), one row for each document and item with a long enough run.
 
-    Items shorter than WIDTH words are found inside longer texts, an item's first word is read alike
-    wherever it stands, windows of mostly placeholders match by their plain words, and every run
-    that is long enough is judged: one whose slots correspond one way is enough. A run needs RUN
-    windows or all of the item, counted over all windows or over those that are light.
+    leak is true if the slots of a run correspond one way: equal values of the item always meet
+    equal values of the document. Of several runs one that leaks counts, then the longest, then the first.
+    n_changed counts slots whose value differs (0 for a verbatim copy). Null and empty texts match
+    nothing; items without text are never matched; rows that repeat a document give one row. Rows
+    with a null doc_id take part. Other columns are ignored; an empty table on either side gives no rows.
     """
-    items = checkpointed(with_tokens(benchmark.select("item_id", F.col("text").alias("item_text")), "item_text", "t").select("item_id", "t").filter(F.size("t") > 0))
-    lengths = sorted(r["n"] for r in items.select(F.least(F.size("t"), F.lit(WIDTH)).alias("n")).distinct().collect()) or [WIDTH]
-    own = items.withColumn("n", F.least(F.size("t"), F.lit(WIDTH)))
-    wanted = None
-    for n in lengths:
-        one = _any_windows(own.filter(F.col("n") == n), ["item_id"], "item_pos", [n]).distinct()
-        wanted = one if wanted is None else wanted.unionByName(one)
-    wanted = checkpointed(wanted)
-    needs = wanted.groupBy("item_id").agg(F.count_distinct("item_pos").alias("n_all"), F.count_distinct(F.when(F.col("light"), F.col("item_pos"))).alias("n_light"))
-    texts = docs.select(text_or_empty("text").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    rows = with_tokens(texts, "text", "t").select("text_hash", "t")
-    marks = wanted.join(needs, "item_id")
-    hits = _any_windows(rows, ["text_hash"], "pos", lengths).drop("light").join(small(marks), "hash")
-    hits = hits.select("text_hash", "item_id", "n_all", "n_light", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "light")
-    matched = hits.groupBy("text_hash", "item_id", "shift", "n_all", "n_light", "item_pos").agg(F.bool_or("light").alias("light"))
-    runs = matched.groupBy("text_hash", "item_id", "shift", "n_all", "n_light").agg(F.count("*").alias("n"), F.count_if("light").alias("m"), F.min("item_pos").alias("first"), F.max("item_pos").alias("last"))
-    enough = (F.col("n") >= F.least("n_all", F.lit(RUN))) | ((F.col("n_light") > 0) & (F.col("m") >= F.least("n_light", F.lit(RUN))))
-    runs = checkpointed(runs.filter(enough).groupBy("text_hash", "item_id").agg(F.collect_list(F.struct("first", "last", "shift")).alias("runs")))
-
-    found = texts.join(small(runs.select(F.col("text_hash").alias("h")).distinct()), F.col("text_hash") == F.col("h"), "left_semi").dropDuplicates(["text_hash"])
-    read = with_tokens(found, "text", "d").select(F.col("text_hash").alias("h"), "d")
-    both = runs.join(read, F.col("text_hash") == F.col("h")).join(small(items.withColumnRenamed("t", "i")), "item_id")
-
-    def consistent(r: Column) -> Column:
-        size = r["last"] - r["first"] + WIDTH
-        pairs = F.zip_with(F.slice("i", r["first"] + 1, size), F.slice("d", r["first"] + r["shift"] + 1, size), lambda i, d: F.struct(i["canon"].alias("canon"), i["word"].alias("item"), F.when(d["canon"] == i["canon"], d["word"]).alias("doc")))
-        slots = F.filter(pairs, lambda p: p["canon"].isin(NUMBER, UNIT, NAME) & p["doc"].isNotNull())
-        return F.size(F.array_distinct(slots)) == F.size(F.array_distinct(F.transform(slots, lambda p: F.struct(p["canon"], p["item"]))))
-
-    return both.filter(F.exists("runs", consistent)).select("text_hash", "item_id")
+    runs = judged(docs, benchmark)
+    best = runs.groupBy("text_hash", "item_id", "n_windows").agg(F.max(F.struct("leak", "n_matched", (-F.col("shift")).alias("back"), "n_slots", "n_changed")).alias("r"))
+    best = checkpointed(best.select("text_hash", "item_id", "n_windows", "r.*"))
+    rows = docs.select("doc_id", F.md5(text_or_empty("text")).alias("text_hash"))
+    out = rows.join(small(best), "text_hash").select("doc_id", "item_id", "text_hash", "n_matched", "n_windows", "n_slots", "n_changed", "leak")
+    return out.distinct()
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs (all columns) without those that hold an item."""
-    found = checkpointed(held(docs, benchmark).select("text_hash").distinct())
-    rows = packed(docs).withColumn("_h", F.xxhash64(text_or_empty("_row.text")))
+    """docs (all columns, repeated rows too) without those that hold an item; null and empty texts stay."""
+    found = checkpointed(judged(docs, benchmark).filter("leak").select("text_hash").distinct())
+    rows = packed(docs).withColumn("_h", F.md5(text_or_empty("_row.text")))
     return unpacked(rows.join(small(found), rows["_h"] == found["text_hash"], "left_anti"), docs.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm.decontaminate import RUN, SLOTS, UNITS, WIDTH
+from quillon.llm.decontaminate import RUN, SHORT_TELLING, TELLING, UNITS, WIDTH
 from quillon.llm.license_scan import SHARE, SHINGLE, TEMPLATES, WINDOW
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -30,40 +30,45 @@ def _tokens(table: str, key: str) -> str:
     return rf"""
   SELECT {key}, word, canon, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS place FROM (
     SELECT {key}, i, word, CASE WHEN substr(word, 1, 1) BETWEEN '0' AND '9' THEN '#q'
-      WHEN substr(raw, 1, 1) <> lower(substr(raw, 1, 1)) AND before_raw IS NOT NULL AND right(before_raw, 1) NOT IN ('.', '!', '?', ':', '') THEN '#n'
+      WHEN substr(raw, 1, 1) <> lower(substr(raw, 1, 1)) THEN '#n'
       WHEN coalesce(substr(before_word, 1, 1) BETWEEN '0' AND '9', false) AND word IN ({_UNITS}) THEN '#u'
       ELSE word END AS canon
     FROM (
-      SELECT {key}, i, raw, word, lag(raw) OVER (PARTITION BY {key} ORDER BY i) AS before_raw, lag(word) OVER (PARTITION BY {key} ORDER BY i) AS before_word
+      SELECT {key}, i, raw, word, lag(word) OVER (PARTITION BY {key} ORDER BY i) AS before_word
       FROM (SELECT {key}, unnest(raws) AS raw, unnest(plains) AS word, unnest(range(len(raws))) AS i FROM (
         SELECT {key}, string_split(flat, ' ') AS raws, string_split(lower(regexp_replace(flat, '[^\p{{L}}\p{{N}} ]+', '', 'g')), ' ') AS plains
         FROM (SELECT {key}, regexp_replace(coalesce(text, ''), '{_SPACE}+', ' ', 'g') AS flat FROM {table}))))
   ) WHERE word <> ''"""
 
 
+def _keyed(table: str, key: str) -> str:
+    """(key, n, place, light, window_) of the windows of n words of (key, n, starts, cs, ws), from the places `starts`."""
+    return rf"""
+  SELECT {key}, n, place, light, CASE WHEN light THEN n || ' ' || array_to_string(c, ' ') ELSE -n || ' ' || array_to_string(w, ' ') END AS window_ FROM (
+    SELECT *, len(list_filter(c, lambda x: x NOT IN ('#q', '#u', '#n'))) >= CASE WHEN n = {WIDTH} THEN {TELLING} ELSE least(n, {SHORT_TELLING}) END AS light FROM (
+      SELECT {key}, n, place, cs[place + 1:place + n] AS c, ws[place + 1:place + n] AS w FROM (SELECT {key}, n, cs, ws, unnest(starts) AS place FROM {table})))"""
+
+
 OP2 = rf"""
 WITH i AS ({_tokens("benchmark", "item_id")}), d AS ({_tokens("(SELECT DISTINCT doc_id, text FROM documents)", "doc_id")}),
-iw AS (SELECT * FROM (
-  SELECT item_id, place, string_agg(canon, ' ') OVER w AS window_, count(*) OVER w AS n, count(*) OVER (PARTITION BY item_id) AS words,
-    sum((canon IN ('#q', '#u', '#n'))::INT) OVER w AS slots FROM i
-  WINDOW w AS (PARTITION BY item_id ORDER BY place ROWS BETWEEN CURRENT ROW AND {WIDTH - 1} FOLLOWING))
-  WHERE n = least({WIDTH}, words) AND slots <= {SLOTS}),
-n AS (SELECT item_id, count(*) AS n_windows FROM iw GROUP BY 1),
-dw AS (SELECT * FROM (
-  SELECT doc_id, place, string_agg(canon, ' ') OVER w AS window_, count(*) OVER w AS n, count(*) OVER (PARTITION BY doc_id) AS words FROM d
-  WINDOW w AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND {WIDTH - 1} FOLLOWING))
-  WHERE n = least({WIDTH}, words)),
-r AS (SELECT doc_id, item_id, dw.place - iw.place AS shift, count(DISTINCT iw.place) AS n_matched, min(iw.place) AS first_, max(iw.place) AS last_
+il AS (SELECT item_id, least(count(*), {WIDTH}) AS n, list(canon ORDER BY place) AS cs, list(word ORDER BY place) AS ws FROM i GROUP BY 1),
+ia AS (SELECT *, range(len(cs) - n + 1) AS starts FROM il
+  UNION ALL SELECT item_id, n, list_concat(['#u'], cs[2:]), ws, [0] FROM il WHERE cs[1] IN ({_UNITS})),
+iw AS ({_keyed("ia", "item_id")}),
+n AS (SELECT item_id, count(DISTINCT place) AS n_windows, count(DISTINCT place) FILTER (WHERE light) AS n_light FROM iw GROUP BY 1),
+dl AS (SELECT doc_id, list(canon ORDER BY place) AS cs, list(word ORDER BY place) AS ws FROM d GROUP BY 1),
+dw AS ({_keyed("(SELECT doc_id, n, cs, ws, range(len(cs) - n + 1) AS starts FROM dl, (SELECT DISTINCT n FROM il) WHERE len(cs) >= n)", "doc_id")}),
+r AS (SELECT doc_id, item_id, iw.n, dw.place - iw.place AS shift, count(DISTINCT iw.place) AS n_matched, min(iw.place) AS first_, max(iw.place) AS last_
   FROM dw JOIN iw USING (window_) GROUP BY ALL),
-b AS (SELECT * FROM r JOIN n USING (item_id) WHERE n_matched >= least(n_windows, {RUN})
-  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_matched DESC, shift) = 1),
-s AS (SELECT b.doc_id, b.item_id, i.canon, i.word AS item, d.word AS doc FROM b
-  JOIN i ON i.item_id = b.item_id AND i.place BETWEEN first_ AND last_ + {WIDTH - 1}
-  JOIN d ON d.doc_id = b.doc_id AND d.place = i.place + shift AND d.canon = i.canon WHERE i.canon IN ('#q', '#u', '#n'))
-SELECT doc_id, item_id, n_matched, n_windows, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed, coalesce(pairs = items, true) AS leak
-FROM b LEFT JOIN (
-  SELECT doc_id, item_id, count(*) AS n_slots, count(*) FILTER (WHERE item <> doc) AS n_changed,
-    count(DISTINCT (canon, item, doc)) AS pairs, count(DISTINCT (canon, item)) AS items FROM s GROUP BY ALL) USING (doc_id, item_id)
+b AS (SELECT * FROM r JOIN n USING (item_id) WHERE n_matched >= least(CASE WHEN n_light > 0 THEN n_light ELSE n_windows END, {RUN})),
+s AS (SELECT b.doc_id, b.item_id, shift, i.canon, i.word AS item, d.word AS doc FROM b
+  JOIN i ON i.item_id = b.item_id AND i.place BETWEEN first_ AND last_ + b.n - 1
+  JOIN d ON d.doc_id = b.doc_id AND d.place = i.place + shift AND d.canon = i.canon WHERE i.canon IN ('#q', '#u', '#n')),
+j AS (SELECT doc_id, item_id, shift, n_matched, n_windows, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed, coalesce(pairs = items, true) AS leak
+  FROM b LEFT JOIN (
+    SELECT doc_id, item_id, shift, count(*) AS n_slots, count(*) FILTER (WHERE item <> doc) AS n_changed,
+      count(DISTINCT (canon, item, doc)) AS pairs, count(DISTINCT (canon, item)) AS items FROM s GROUP BY ALL) USING (doc_id, item_id, shift))
+SELECT * EXCLUDE (shift) FROM j QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY leak DESC, n_matched DESC, shift) = 1
 """
 
 OP3 = rf"""
