@@ -23,7 +23,7 @@ from quillon.llm.components import components
 from quillon.llm.shingles import U, mix, set_id, shingle_sets
 
 CELLS = 3
-#: Sets compared at once as a dense matrix; larger groups are dealt as pairs of blocks of this size.
+#: Sets of a block: members of a hub met in one task, and half of what is compared at once as a dense matrix.
 BLOCK = 256
 #: Columns of that matrix at once.
 COLUMNS = 4096
@@ -82,17 +82,37 @@ def _by_pieces(values: pa.Array, rows: int = 500) -> Iterator[list]:
         yield values.slice(at, rows).to_pylist()
 
 
-def with_set(width: int):
-    """An Arrow UDF: text to (id and size of its shingle set)."""
+def parity_bits(s: np.ndarray) -> bytes:
+    """One bit for each of at least 2 * len(s) cells, a power of two: whether the cell holds an odd number of elements.
 
-    @F.arrow_udf("struct<sid:bigint,n:bigint>")
+    Cells in which two sets' bits differ are no more than the elements in which the sets differ, so
+    the bits can tell that sets are not alike, never that they are. Half the cells are the halves' XOR.
+    """
+    cells = 1 << max(6, (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((mix(s) & U(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes() if len(s) else b""
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), 0)
+
+
+def _most_different(one: int | np.ndarray, two: int | np.ndarray, per_hundred: int) -> int | np.ndarray:
+    """In how many elements linked sets of these sizes differ at most."""
+    return (one + two) * (100 - per_hundred) // (100 + per_hundred)
+
+
+def with_set(width: int, bits: bool = False):
+    """An Arrow UDF: text to (id and size of its shingle set, parity bits if asked for)."""
+
+    @F.arrow_udf("struct<sid:bigint,n:bigint,bits:binary>")
     def names(text: pa.Array) -> pa.Array:
-        sid, n = [], []
+        sid, n, own = [], [], []
         for texts in _by_pieces(text):
             for s in shingle_sets(texts, width):
                 sid.append(set_id(s))
                 n.append(len(s))
-        return pa.StructArray.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64())], ["sid", "n"])
+                own.append(parity_bits(s) if bits else None)
+        return pa.StructArray.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary())], ["sid", "n", "bits"])
 
     return names
 
@@ -157,66 +177,170 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _links(ids: list[int], sets: list[np.ndarray], per_hundred: int) -> Iterator[tuple[int, int]]:
-    """A forest of exactly verified links that connects whatever links connect within the group."""
-    sizes = np.array([len(s) for s in sets])
+def _links(ids: list[int], roots: list[int], sets: list[np.ndarray], per_hundred: int) -> Iterator[tuple[int, int]]:
+    """A forest of exactly verified links between sets of different roots that connects whatever such links connect."""
+    sizes, root = np.array([len(s) for s in sets]), np.array(roots)
     common = _common(sets)
-    linked = np.triu(100 * common >= per_hundred * (sizes[:, None] + sizes[None, :] - common), 1)
+    linked = np.triu(100 * common >= per_hundred * (sizes[:, None] + sizes[None, :] - common), 1) & (root[:, None] != root[None, :])
     forest = _Forest(len(ids))
     for i, j in zip(*map(np.ndarray.tolist, np.nonzero(linked)), strict=True):
         if forest.join(i, j):
             yield ids[i], ids[j]
 
 
-def _verified(per_hundred: int):
-    """Reads rows sorted by group; holds one group (at most two blocks) at a time."""
+def _rows_of(batch: pa.RecordBatch, fixed: int) -> Iterator[tuple]:
+    """The rows of a batch: `fixed` plain values, then the set as an array."""
+    plain = [batch.column(k).to_pylist() for k in range(fixed)]
+    lists = batch.column(fixed)
+    offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(U)
+    for r, values in enumerate(zip(*plain, strict=True)):
+        yield *values, flat[offsets[r] : offsets[r + 1]]
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _met_hub(per_hundred: int):
+    """Reads (hub, part, member, sid, set) sorted so that a hub comes before its members; holds the hub's set alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, np.zeros(0, U)
+        for batch in batches:
+            found = []
+            for hub, part, member, sid, s in _rows_of(batch, 4):
+                if not member:
+                    key, own = (hub, part), s.copy()
+                elif key == (hub, part):
+                    common = int(np.isin(s, own, assume_unique=True).sum())
+                    if 100 * common >= per_hundred * (len(s) + len(own) - common):
+                        found.append((hub, sid))
+            yield _pairs(found)
+
+    return run
+
+
+def _may_link(per_hundred: int):
+    """An Arrow UDF: whether two sets, known by size and parity bits, may be alike."""
+
+    @F.arrow_udf("boolean")
+    def may(n_one: pa.Array, one: pa.Array, n_two: pa.Array, two: pa.Array) -> pa.Array:
+        out = []
+        for na, a, nb, b in zip(*map(pa.Array.to_pylist, (n_one, one, n_two, two)), strict=True):
+            size = min(len(a), len(b))
+            out.append(int(np.bitwise_count(_folded(a, size) ^ _folded(b, size)).sum()) <= _most_different(na, nb, per_hundred))
+        return pa.array(out, pa.bool_())
+
+    return may
+
+
+def _may_meet(per_hundred: int):
+    """Reads (hub, one, two, root, sid, n, bits) sorted by the first three; gives the first five of sets that may link with one of another root."""
+    names = ["hub", "one", "two", "root", "sid"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, {}
+
+        def flush() -> list[tuple]:
+            if len(group) < 2:
+                return []
+            size = min(len(x[2]) for x in group.values())
+            cells = np.unpackbits(np.stack([_folded(x[2], size) for x in group.values()]), axis=1).astype(np.float32)
+            held, n, root = cells.sum(1), *(np.array([x[k] for x in group.values()]) for k in (1, 0))
+            differ = held[:, None] + held[None, :] - 2 * (cells @ cells.T)
+            may = (differ <= _most_different(n[:, None], n[None, :], per_hundred)) & (root[:, None] != root[None, :])
+            return [(*key, x[0], sid) for (sid, x), use in zip(group.items(), may.any(1).tolist(), strict=True) if use]
+
+        for batch in batches:
+            found: list[tuple] = []
+            for hub, one, two, root, sid, n, bits in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                if (hub, one, two) != key:
+                    found += flush()
+                    key, group = (hub, one, two), {}
+                group[sid] = (root, n, bits)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(5)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in flush()], pa.int64()) for k in range(5)], names)
+
+    return run
+
+
+def _met_block(per_hundred: int):
+    """Reads (hub, one, two, root, sid, set) sorted by the first three; holds one such group, about two blocks, at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, {}
 
-        def flush(found: list[tuple[int, int]]) -> None:
-            if len(group) > 1:
-                found.extend(_links([*group], [*group.values()], per_hundred))
+        def flush() -> list[tuple[int, int]]:
+            return [*_links([*group], [x[0] for x in group.values()], [x[1] for x in group.values()], per_hundred)] if len(group) > 1 else []
 
         for batch in batches:
             found: list[tuple[int, int]] = []
-            hubs, ones, twos, sids = (batch.column(k).to_pylist() for k in range(4))
-            lists = batch.column(4)
-            offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(U)
-            for r, now in enumerate(zip(hubs, ones, twos, strict=True)):
-                if now != key:
-                    flush(found)
-                    key, group = now, {}
-                group[sids[r]] = flat[offsets[r] : offsets[r + 1]].copy()
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-        found = []
-        flush(found)
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+            for hub, one, two, root, sid, s in _rows_of(batch, 5):
+                if (hub, one, two) != key:
+                    found += flush()
+                    key, group = (hub, one, two), {}
+                group[sid] = (root, s.copy())
+            yield _pairs(found)
+        yield _pairs(flush())
 
     return run
 
 
-def set_links(docs: DataFrame, width: int = 3, per_hundred: int = 90) -> DataFrame:
+def _with_sets(docs: DataFrame, width: int, dealt: DataFrame, keys: list[str], within: list[str]) -> DataFrame:
+    """dealt (sid, ...) with the sets `v`, brought together by keys and sorted within them."""
+    sets = _each_set(docs, width, "sid bigint, v array<bigint>", lambda found: [s.astype(np.int64) for s in found])
+    whole = sets.join(small(checkpointed(dealt)), "sid").select(*keys, *within, "sid", "v")
+    return whole.repartition(*keys).sortWithinPartitions(*keys, *within)
+
+
+def set_links(docs: DataFrame, sketches: DataFrame, width: int = 3, per_hundred: int = 90) -> DataFrame:
     """Links (a, b) between ids of distinct shingle sets that connect exactly what similarity connects.
 
-    Of a group of sets that share signatures, the smallest id is the hub; whoever shares a signature
-    meets under the hub of that signature. Large groups are dealt as pairs of blocks, so no task
-    holds more than 2 * BLOCK sets, and only a spanning forest of the verified links leaves a task.
+    `sketches` holds (sid, n, bits) of every set. Of the sets that share a signature the one of
+    smallest id is the hub. Parity bits first rule out pairs of a hub and a member that can't be
+    alike; each member is then compared with the one hub left with which it shares most signatures,
+    which joins most of what belongs together. What is connected needs no further comparison: only
+    in groups of a hub that hold several components do the sets outside the largest one meet all
+    others, by parity bits, and what these leave over is compared. Members of a hub are split by hash, and
+    these comparisons are dealt as pairs of blocks, so no task holds more than about two blocks of sets.
     """
     signed = _each_set(docs, width, "sid bigint, v array<bigint>", lambda sets: signatures(sets, per_hundred))
     rows = signed.select("sid", F.explode("v").alias("sig"))
     hub = F.min("sid").over(Window.partitionBy("sig").orderBy("sid"))
-    met = checkpointed(rows.withColumn("hub", hub).filter("sid <> hub").select("hub", "sid").distinct())
-    blocks = met.groupBy("hub").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("blocks"))
-    both = met.unionByName(met.select("hub", F.col("hub").alias("sid")).distinct()).join(blocks, "hub")
-    own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    dealt = both.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("hub", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "sid")
-    sets = _each_set(docs, width, "sid bigint, v array<bigint>", lambda found: [s.astype(np.int64) for s in found])
-    whole = sets.join(small(dealt), "sid").select("hub", "one", "two", "sid", "v")
-    grouped = whole.repartition("hub", "one", "two").sortWithinPartitions("hub", "one", "two")
-    return grouped.mapInArrow(_verified(per_hundred), "a bigint, b bigint")
+    met = checkpointed(rows.withColumn("hub", hub).filter("sid <> hub").groupBy("hub", "sid").agg(F.count("*").alias("shared")))
+    own = sketches.join(small(met.select("sid").union(met.select("hub")).distinct()), "sid", "left_semi")
+    own = checkpointed(own.groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits")))
+    known = small(own)
+    of_hub = own.select(F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"))
+    pairs = met.join(known, "sid").join(small(of_hub), "hub")
+    met = checkpointed(pairs.select("hub", "sid", "shared", _may_link(per_hundred)("n", "bits", "hub_n", "hub_bits").alias("may")))
+
+    best = checkpointed(met.filter("may").groupBy("sid").agg(F.max(F.struct("shared", "hub"))["hub"].alias("hub")))
+    parts = best.groupBy("hub").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("parts"))
+    split = best.join(small(checkpointed(parts.filter("parts > 1"))), "hub", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"), F.lit(0)))
+    hubs = split.select("hub", "part").distinct().select("hub", "part", F.lit(False).alias("member"), F.col("hub").alias("sid"))
+    dealt = hubs.unionByName(split.select("hub", "part", F.lit(True).alias("member"), "sid"))
+    near = checkpointed(_with_sets(docs, width, dealt, ["hub", "part"], ["member"]).mapInArrow(_met_hub(per_hundred), "a bigint, b bigint"))
+
+    roots = checkpointed(components(near))
+    tested = met.join(small(best.select("sid", F.col("hub").alias("best"))), "sid", "left").select("hub", "sid", (~F.col("may") | (F.col("hub") == F.col("best"))).alias("tested"))
+    group = tested.unionByName(met.select(F.col("hub"), F.col("hub").alias("sid"), F.lit(True).alias("tested")).distinct())
+    group = checkpointed(group.join(small(roots.withColumnRenamed("node", "sid")), "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    counted = group.groupBy("hub", "root").agg(F.count("*").alias("n"), F.bool_and("tested").alias("tested"))
+    groups = counted.groupBy("hub").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("all"), F.count("*").alias("n_roots"), F.bool_and("tested").alias("tested"))
+    blocks = lambda n: (F.floor(n / BLOCK) + 1).cast("bigint")
+    still = groups.filter("n_roots > 1 and not (all = 2 and tested)")
+    still = checkpointed(still.select("hub", F.col("most.root").alias("major"), blocks(F.col("all") - F.col("most.n")).alias("n_one"), blocks(F.col("all")).alias("n_two")))
+    asked = group.join(small(still), "hub")
+    place = lambda n: F.pmod(F.xxhash64("sid"), F.col(n))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    others = asked.filter("root <> major").select("hub", place("n_one").alias("one"), all_of("n_two").alias("two"), "root", "sid")
+    every = asked.select("hub", all_of("n_one").alias("one"), place("n_two").alias("two"), "root", "sid")
+    keys = ["hub", "one", "two"]
+    sketched = others.unionByName(every).join(known, "sid").select(*keys, "root", "sid", "n", "bits")
+    left = sketched.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_may_meet(per_hundred), "hub bigint, one bigint, two bigint, root bigint, sid bigint")
+    rest = _with_sets(docs, width, left, keys, ["root"]).mapInArrow(_met_block(per_hundred), "a bigint, b bigint")
+    return near.unionByName(rest)
 
 
 def jaccard_components(docs: DataFrame, width: int = 3, per_hundred: int = 90) -> DataFrame:
@@ -228,16 +352,16 @@ def jaccard_components(docs: DataFrame, width: int = 3, per_hundred: int = 90) -
     the smallest id of the component, null if it has none. Other columns are ignored.
     """
     docs = docs.select("doc_id", "text")
-    named = docs.select("doc_id", with_set(width)("text").alias("s")).select("doc_id", "s.sid", "s.n")
+    named = docs.select("doc_id", with_set(width, True)("text").alias("s")).select("doc_id", "s.*")
     named = checkpointed(named)
-    roots = components(set_links(docs, width, per_hundred))
+    roots = checkpointed(components(set_links(docs, named.filter("n > 0").select("sid", "n", "bits"), width, per_hundred)))
     least = named.filter("n > 0").groupBy("sid").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
-    least = least.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    lowest = least.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_set = least.join(lowest, "root").select("sid", "component_id")
-    full = named.filter("n > 0").join(of_set, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("sid").alias("set_id"))
-    bare = named.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("bigint").alias("set_id"))
-    return full.unionByName(bare)
+    least = least.join(small(roots.withColumnRenamed("node", "sid")), "sid", "left").filter("rows > 1 or root is not null")
+    least = checkpointed(least.select("sid", "low", F.coalesce("root", "sid").alias("root")))
+    lowest = checkpointed(least.groupBy("root").agg(F.min("low").alias("component_id")))
+    of_set = checkpointed(least.join(small(lowest), "root").select("sid", "component_id"))
+    rows = named.drop("bits").join(small(of_set), "sid", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("n") > 0, F.col("sid")).alias("set_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 3, per_hundred: int = 90) -> DataFrame:
