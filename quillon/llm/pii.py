@@ -1,11 +1,15 @@
 """Personal data by boosted trees over candidate spans, with DataFrame expressions only.
 
-Base patterns give certain spans. Wider generators propose further, overlapping candidates; each
-candidate is described by a few binary features of its form and of the words before it. All
-candidates of the corpus are counted by feature cell, which is a table bounded by the number of
-cells; on these counts trees of depth two are boosted against the verdict of the base patterns, and
-for each kind a threshold is calibrated on the held-out half. Trees and thresholds become Column
-expressions. A candidate that overlaps a base span adds nothing, since base spans always stay.
+Base patterns give certain spans. Wider generators propose further, overlapping candidates: numbers
+with separators, addresses with a spelled at, long mixed strings. Each is described by binary
+features of its form and its context. Labels do not follow the features alone: a candidate counts as
+positive where a base span (for secrets: a word such as "token" before it) vouches for it, as negative where
+its form rules it out, and as unlabelled else; what the vouching itself looks at (the plus, the at
+sign, sixteen digits, the word) is hidden from the trees. So a phone without plus or an address with
+"(at)" is judged by what it shares with certain ones. Labelled candidates of the corpus are counted by
+feature cell, a table bounded by the number of cells; on these counts trees of depth two are boosted
+for each kind, and a threshold is calibrated on the held-out half. Trees and thresholds become Column
+expressions that select spans among all candidates that overlap no base span.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import packed, text_or_empty, unpacked
 
-KINDS = ("email", "ip", "card", "phone")
-EMAIL, IP, CARD, PHONE = range(4)
+#: The kinds with base patterns, then those that only the trees find.
+KINDS = ("email", "ip", "card", "phone", "secret")
+EMAIL, IP, CARD, PHONE, SECRET = range(5)
 #: The base patterns, written so that no start is tried twice within a run; matches are those of the plain forms.
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
@@ -27,13 +32,16 @@ PATTERNS = {
     CARD: r"[0-9](?:[ -]?[0-9]){15,}+",
     PHONE: r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Generators of high recall: numbers with separators, and addresses with a spelled at.
+#: Generators of high recall: numbers with separators, addresses with a spelled at, long strings of letters and digits.
 NUMBER = r"(?<![0-9])[+(]?[0-9][0-9 ().-]{5,28}[0-9]"
 ADDRESS = rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9.-]{{2,64}}"
-#: Context words in the LEFT characters before a candidate.
+STRING = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,512}+"
+#: Characters before a candidate that are read, and words that vouch for a secret there.
 LEFT = 24
-CONTEXT = "(?i)(?:phone|tel|call|mobile|fax|card|visa|iban|account|mail|contact|address|host|ip)"
-ROUNDS, RATE, PRECISION, LEAST = 24, 0.3, 0.98, 20
+VOUCHED = "(?i)(?:token|secret|passw|api.?key|auth|credential)[^\\p{L}]*$"
+ROUNDS, RATE, PRECISION, LEAST = 24, 0.3, 0.98, 5
+#: Spans looked at together in texts with many.
+SPANS = 128
 
 
 def _digits(x: Column) -> Column:
@@ -63,14 +71,19 @@ def with_spans(df: DataFrame, out: str, pattern: str, may: Column) -> DataFrame:
     """
     df = df.withColumn("_m", F.when(may, F.regexp_extract_all("_text", F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>")))
     sizes = F.zip_with(F.split("_text", pattern, -1), "_m", lambda gap, m: F.length(gap) + F.coalesce(F.length(m), F.lit(0)))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, n: a + n)
     df = df.withColumn("_z", F.when(F.size("_m") > 0, sizes))
+    # Sums of blocks of sizes, and of the blocks before each, so that many matches take no quadratic time.
+    df = df.withColumn("_sums", F.when(F.size("_z") > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size("_z") - 1) / SPANS).cast("int")), lambda k: total(F.slice("_z", k * SPANS + 1, SPANS)))))
+    df = df.withColumn("_before", F.transform("_sums", lambda _, k: total(F.slice("_sums", 1, k))))
 
     def span(m: Column, i: Column) -> Column:
-        end = F.aggregate(F.slice("_z", 1, i + 1), F.lit(0), lambda a, x: a + x)
+        block = F.floor(i / SPANS).cast("int")
+        end = F.get("_before", block) + total(F.slice("_z", block * SPANS + 1, i - block * SPANS + 1))
         return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"))
 
     empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    return df.withColumn(out, F.when(F.size("_z") > 0, F.transform("_m", span)).otherwise(empty)).drop("_m", "_z")
+    return df.withColumn(out, F.when(F.size("_z") > 0, F.transform("_m", span)).otherwise(empty)).drop("_m", "_z", "_sums", "_before")
 
 
 def _plain(kind: int, found: Column) -> Column:
@@ -86,49 +99,104 @@ def with_base(df: DataFrame) -> DataFrame:
     return df.withColumn("base", F.concat(*[_plain(kind, F.col(f"_s{kind}")) for kind in PATTERNS])).drop(*[f"_s{kind}" for kind in PATTERNS])
 
 
-#: Binary features of a candidate `x` (start, end, match) with `left`, the characters before it.
+def _near(words: str):
+    return lambda x: x["left"].rlike(f"(?i)(?:{words})[^\\p{{L}}]*$")
+
+
+def _luhn_length(x: Column) -> Column:
+    return F.length(_digits(x["match"])).between(12, 19) & _luhn(_digits(x["match"]))
+
+
+_GLUED_LEFT = lambda x: x["left"].rlike("[\\p{L}0-9_=/-]$")
+_GLUED_RIGHT = lambda x: x["right"].rlike("^[\\p{L}0-9_]")
+_DATE = lambda x: x["match"].rlike("^[(]?[12][0-9]{3}([-.])[01]?[0-9]\\1[0-3]?[0-9]")
+_QUAD = "^[0-9]{1,3}(?:\\.[0-9]{1,3}){3}$"
+_NAMED = lambda x: x["match"].rlike("[A-Za-z0-9-]\\.[A-Za-z]{2,}$")
+_PARTED = lambda x: x["match"].rlike("[0-9][ ().-]+[0-9]")
+#: Binary features of a candidate `x` (start, end, match) with the characters before (left) and after it (right).
 FEATURES = (
-    ("context", lambda x: x["left"].rlike(CONTEXT)),
-    ("plus", lambda x: x["match"].rlike("^[+]")),
+    ("phone_word", _near("phone|tel|call|mobile|cell|fax|number")),
+    ("card_word", _near("card|visa|mastercard|amex|account|iban")),
+    ("mail_word", _near("mail|contact|write|reach|address")),
+    ("host_word", _near("host|ip|server|client|from")),
+    ("glued_left", _GLUED_LEFT),
+    ("glued_right", _GLUED_RIGHT),
+    ("quoted", lambda x: x["left"].rlike("[\"']$")),
     ("bracket", lambda x: F.contains(x["match"], F.lit("("))),
     ("dashes", lambda x: F.contains(x["match"], F.lit("-"))),
-    ("spaces", lambda x: F.contains(x["match"], F.lit(" "))),
-    ("dots", lambda x: F.contains(x["match"], F.lit("."))),
-    ("at_sign", lambda x: F.contains(x["match"], F.lit("@"))),
-    ("letters", lambda x: x["match"].rlike("[A-Za-z]")),
+    ("parted", _PARTED),
+    ("date", _DATE),
     ("digits_8", lambda x: F.length(_digits(x["match"])) >= 8),
-    ("digits_12", lambda x: F.length(_digits(x["match"])) >= 12),
-    ("digits_16", lambda x: F.length(_digits(x["match"])) >= 16),
-    ("glued", lambda x: x["left"].rlike("[\\p{L}0-9_=/-]$")),
-    ("domain", lambda x: x["match"].rlike("[A-Za-z0-9-]\\.[A-Za-z]{2,}$")),
-    ("quad", lambda x: x["match"].rlike("^[0-9]{1,3}(?:\\.[0-9]{1,3}){3}$")),
+    ("digits_16", lambda x: F.length(_digits(x["match"])) > 15),
+    ("luhn", _luhn_length),
+    ("octets", lambda x: x["match"].rlike(_QUAD) & _valid(IP, x["match"])),
+    ("domain", _NAMED),
+    ("hex", lambda x: x["match"].rlike("^[0-9a-fA-F]+$")),
+    ("long", lambda x: F.length(x["match"]) >= 32),
+    ("mixed", lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]")),
 )
+#: For each kind the features that its vouching looks at, which its trees do not see.
+HIDDEN = {CARD: ("digits_16",)}
+
+
+def _ruled_out(kind: int, x: Column) -> Column:
+    """Whether the form of a candidate rules its kind out."""
+    n, glued = F.length(_digits(x["match"])), _GLUED_LEFT(x) | _GLUED_RIGHT(x)
+    if kind == EMAIL:
+        return ~_NAMED(x)
+    if kind == IP:
+        return glued | ~_valid(IP, x["match"])
+    if kind == CARD:
+        return glued | ~_luhn(_digits(x["match"]))
+    if kind == PHONE:
+        return glued | (n < 8) | (n > 15) | _DATE(x) | ~(_PARTED(x) | FEATURES[0][1](x))
+    return ~(x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]")) | x["left"].rlike("[./@:]$") | x["right"].rlike("^[./@]") | x["match"].rlike("[/-].*[/-]")
+
 
+def candidates(docs: DataFrame) -> DataFrame:
+    """docs with `_text` with `base` (spans of certain kinds) and `wide` (candidates: kind, start, end, bits, label, free).
 
-def candidates(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with `base` (spans of certain kinds) and `wide` (candidates: kind, start, end, bits, sure)."""
-    rows = with_base(docs.withColumn("_text", text))
+    label is 1 for a candidate that is vouched for, 0 for one that is ruled out, else null; free ones overlap no base span.
+    """
+    rows = with_base(docs)
     rows = with_spans(rows, "_number", NUMBER, F.col("_text").rlike("[0-9][0-9 ().-]{5}"))
-    rows = with_spans(rows, "_address", ADDRESS, F.col("_text").rlike("@|\\(at\\)|\\[at\\]"))
-    with_left = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), F.substring("_text", F.greatest(F.lit(1), x["start"] + 1 - LEFT), F.least(F.lit(LEFT), x["start"])).alias("left"))
-    rows = rows.withColumn("_wide", F.transform(F.concat("_number", "_address"), with_left)).drop("_number", "_address")
+    spelled = F.contains(F.col("_text"), F.lit("@")) | F.contains(F.col("_text"), F.lit("(at)")) | F.contains(F.col("_text"), F.lit("[at]"))
+    rows = with_spans(rows, "_address", ADDRESS, spelled)
+    rows = with_spans(rows, "_string", STRING, F.col("_text").rlike("[0-9]") & F.col("_text").rlike("(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20}"))
+
+    def drawn(found: str, kind: int | None):
+        around = lambda x: F.struct(
+            F.lit(kind).cast("int").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"),
+            F.substring("_text", F.greatest(F.lit(1), x["start"] + 1 - LEFT), F.least(F.lit(LEFT), x["start"])).alias("left"), F.substring("_text", x["end"] + 1, F.lit(1)).alias("right"),
+        )
+        return F.transform(found, around)
+
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("base") - 1) / SPANS).cast("int")), lambda k: F.slice("base", k * SPANS + 1, SPANS))
+    blocks = F.transform(cut, lambda b: F.struct(F.array_min(F.transform(b, lambda x: x["start"])).alias("low"), F.array_max(F.transform(b, lambda x: x["end"])).alias("high"), b.alias("spans")))
+    rows = rows.withColumn("_blocks", F.when(F.size("base") > 0, blocks).otherwise(F.array().cast("array<struct<low:int,high:int,spans:array<struct<kind:int,start:int,end:int>>>>")))
+    wide = F.concat(drawn("_number", None), drawn("_address", EMAIL), drawn("_string", SECRET))
+    rows = rows.withColumn("_wide", wide).drop("_number", "_address", "_string")
 
     def described(x: Column) -> Column:
         n = F.length(_digits(x["match"]))
-        kind = F.when(x["match"].rlike("[A-Za-z@]"), EMAIL).when(x["match"].rlike("^[0-9]{1,3}(?:\\.[0-9]{1,3}){3}$"), IP).when(n >= 13, CARD).otherwise(PHONE)
+        kind = F.coalesce(x["kind"], F.when(x["match"].rlike(_QUAD), IP).when(n >= 13, CARD).otherwise(PHONE))
         bits = sum((F.when(test(x), F.lit(1 << i)).otherwise(0) for i, (_, test) in enumerate(FEATURES)), F.lit(0))
-        sure = F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), bits.alias("bits"), sure.alias("sure"))
+        over = lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])
+        met = lambda test: F.exists("_blocks", lambda b: (b["low"] < x["end"]) & (x["start"] < b["high"]) & F.exists(b["spans"], test))
+        vouched = F.when(kind == SECRET, x["left"].rlike(VOUCHED)).otherwise(met(lambda b: over(b) & (b["kind"] == kind)))
+        out = F.coalesce(*[F.when(kind == k, _ruled_out(k, x)) for k in range(len(KINDS))])
+        label = F.when(vouched & ~(out & (kind == SECRET)), 1).when(out, 0)
+        return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), bits.alias("bits"), label.alias("label"), (~met(over)).alias("free"))
 
-    return rows.withColumn("wide", F.transform("_wide", described)).drop("_wide")
+    return rows.withColumn("wide", F.transform("_wide", described)).drop("_wide", "_blocks")
 
 
-def _tree(cells: list[tuple[int, float, float]]) -> tuple:
-    """The tree of depth two of least squares over (bits, weight, residual sum): (bit, (bit, low, high), (bit, low, high))."""
+def _tree(cells: list[tuple[int, float, float]], seen: list[int]) -> tuple:
+    """The tree of depth two of least squares over (bits, weight, residual sum), on the features seen: (bit, (bit, low, high), (bit, low, high))."""
 
     def split(part: list) -> tuple[float, int]:
-        best = (-1.0, 0)
-        for b in range(len(FEATURES)):
+        best = (-1.0, -seen[0])
+        for b in seen:
             gain = 0.0
             for side in (0, 1):
                 own = [c for c in part if (c[0] >> b & 1) == side]
@@ -142,7 +210,7 @@ def _tree(cells: list[tuple[int, float, float]]) -> tuple:
     sides = []
     for side in (0, 1):
         part = [c for c in cells if (c[0] >> root & 1) == side]
-        b = split(part)[1] if part else 0
+        b = split(part)[1] if part else seen[0]
         sides.append((b, *(mean([c for c in part if (c[0] >> b & 1) == s]) for s in (0, 1))))
     return root, *sides
 
@@ -155,63 +223,77 @@ def _margin(trees: list[tuple], bits: int) -> float:
     return total
 
 
-def boost(cells: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple], dict[int, float]]:
-    """Trees and the thresholds of each kind from counts (kind, bits, fold, rows, sure rows).
+def boost(cells: list[tuple[int, int, int, int, int]], hidden: tuple[str, ...] = ()) -> tuple[list[tuple], dict[int, float]]:
+    """Trees and the thresholds of each kind from counts (kind, bits, fold, labelled rows, positive rows).
 
-    Fold 0 is fitted; on fold 1 a kind's threshold is the least margin above which the share of sure
-    candidates stays at PRECISION or more, over at least LEAST rows. A kind without one adds no span.
+    Fold 0 is fitted, without the hidden features; on fold 1 a kind's threshold is the least margin
+    above which the share of positives stays at PRECISION or more, over at least LEAST rows. A kind
+    without one adds no span.
     """
+    seen = [i for i, (name, _) in enumerate(FEATURES) if name not in hidden]
     fitted: dict[int, list[int]] = {}
-    for _, bits, fold, n, sure in cells:
+    for _, bits, fold, n, good in cells:
         if not fold:
             fitted.setdefault(bits, [0, 0])
             fitted[bits][0] += n
-            fitted[bits][1] += sure
+            fitted[bits][1] += good
     trees: list[tuple] = []
     for _ in range(ROUNDS if fitted else 0):
-        margins = {b: 1 / (1 + math.exp(-max(-30.0, min(30.0, _margin(trees, b))))) for b in fitted}
-        trees.append(_tree([(b, n, sure - n * margins[b]) for b, (n, sure) in sorted(fitted.items())]))
+        chance = {b: 1 / (1 + math.exp(-max(-30.0, min(30.0, _margin(trees, b))))) for b in fitted}
+        trees.append(_tree([(b, n, good - n * chance[b]) for b, (n, good) in sorted(fitted.items())], seen))
     thresholds = {}
     for kind in range(len(KINDS)):
-        held = sorted(((_margin(trees, bits), n, sure) for k, bits, fold, n, sure in cells if k == kind and fold), reverse=True)
-        rows = good = 0
-        for at, (margin, n, sure) in enumerate(held):
-            rows, good = rows + n, good + sure
-            if (at + 1 == len(held) or held[at + 1][0] < margin) and rows >= LEAST and good >= PRECISION * rows:
+        held = sorted(((_margin(trees, bits), n, good) for k, bits, fold, n, good in cells if k == kind and fold), reverse=True)
+        rows = hits = 0
+        for at, (margin, n, good) in enumerate(held):
+            rows, hits = rows + n, hits + good
+            if (at + 1 == len(held) or held[at + 1][0] < margin) and trees and rows >= LEAST and hits >= PRECISION * rows:
                 thresholds[kind] = margin
     return trees, thresholds
 
 
-def fit(described: DataFrame) -> tuple[list[tuple], dict[int, float]]:
-    """boost() on the candidates of all rows, counted by kind, feature cell and fold."""
+def fit(described: DataFrame) -> dict[int, tuple[list[tuple], float]]:
+    """Trees and threshold of each kind that has one, from the labelled candidates of all rows, counted by kind, feature cell and fold."""
     fold = F.pmod(F.xxhash64("_text"), F.lit(2)).cast("int")
-    each = described.select(fold.alias("fold"), F.explode_outer("wide").alias("x")).filter("x is not null")
-    counted = each.groupBy("x.kind", "x.bits", "fold").agg(F.count("*").alias("n"), F.count_if("x.sure").alias("sure"))
-    return boost(sorted(tuple(r) for r in counted.collect()))
+    each = described.select(fold.alias("fold"), F.explode_outer("wide").alias("x")).filter("x.label is not null")
+    counted = each.groupBy("x.kind", "x.bits", "fold").agg(F.count("*").alias("n"), F.sum("x.label").alias("good"))
+    cells, out = sorted(tuple(r) for r in counted.collect()), {}
+    for kind in range(len(KINDS)):
+        trees, thresholds = boost([c for c in cells if c[0] == kind], HIDDEN.get(kind, ()))
+        if kind in thresholds:
+            out[kind] = (trees, thresholds[kind])
+    return out
 
 
-def _selected(trees: list[tuple], thresholds: dict[int, float], x: Column) -> Column:
-    bits = x["bits"]
+def _selected(models: dict[int, tuple[list[tuple], float]], x: Column) -> Column:
+    bits, chosen = x["bits"], F.lit(False)
     has = lambda b: bits.bitwiseAND(F.lit(1 << b)) != 0
     leaf = lambda side: F.when(has(side[0]), F.lit(RATE * side[2])).otherwise(F.lit(RATE * side[1]))
-    margin = sum((F.when(has(root), leaf(high)).otherwise(leaf(low)) for root, low, high in trees), F.lit(0.0))
-    least = F.lit(None).cast("double")
-    for kind, t in thresholds.items():
-        least = F.when(x["kind"] == kind, F.lit(t - 1e-9)).otherwise(least)
-    return F.coalesce(margin >= least, F.lit(False))
+    for kind, (trees, least) in models.items():
+        margin = sum((F.when(has(root), leaf(high)).otherwise(leaf(low)) for root, low, high in trees), F.lit(0.0))
+        chosen = F.when(x["kind"] == kind, margin >= least - 1e-9).otherwise(chosen)
+    return chosen
+
+
+def _found(rows: DataFrame) -> DataFrame:
+    """rows with `_text` with `base` and `spans`; the model is fitted on all rows first."""
+    described = candidates(rows)
+    models = fit(described.select("_text", "wide"))
+    added = F.filter("wide", lambda x: x["free"] & _selected(models, x))
+    plain = F.transform(added, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return described.withColumn("spans", F.array_sort(F.concat("base", plain))).withColumn("base", F.array_sort("base")).drop("wide")
 
 
 def detected(docs: DataFrame, text: Column) -> DataFrame:
-    """docs (any columns) with `base` and `spans`, arrays of (kind, start, end) sorted by kind and start.
+    """docs (all columns) with `base` and `spans`, arrays of (kind, start, end) sorted by kind and start.
 
     Positions are code points, ends exclusive. Base spans are always among `spans`. A null or empty
-    text has none; repeated rows are treated alike. The model is fitted on all rows first.
+    text has none; repeated rows are treated alike; an empty table gives none. Columns of docs
+    named base or spans come back as docs_base and docs_spans.
     """
-    described = candidates(docs, text)
-    trees, thresholds = fit(described.select("_text", "wide"))
-    added = F.filter("wide", lambda x: ~x["sure"] & _selected(trees, thresholds, x))
-    plain = F.transform(added, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return described.withColumn("spans", F.array_sort(F.concat("base", plain))).withColumn("base", F.array_sort("base")).drop("wide")
+    rows = _found(docs.select(text.alias("_text"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row")))
+    names = {"base": "docs_base", "spans": "docs_spans"}
+    return rows.select(*[F.col(f"_row.`{c}`").alias(names.get(c, c)) for c in docs.columns], "base", "spans")
 
 
 def count_of(kind: int, spans: Column) -> Column:
@@ -229,7 +311,7 @@ def redacted(docs: DataFrame) -> DataFrame:
     Of overlapping spans what the first leaves over is covered by its mark. Null texts stay null.
     """
     columns = docs.columns
-    rows = detected(packed(docs), text_or_empty("_row.text"))
+    rows = _found(packed(docs).withColumn("_text", text_or_empty("_row.text")))
     ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
