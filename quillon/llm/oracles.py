@@ -88,7 +88,7 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.low, w.doc_id) AS co
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(low) AS low FROM c GROUP BY 1) m USING (doc_id)
 """
 
-_TEMPLATES = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+_TEMPLATES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in TEMPLATES.items())
 _PLAIN = rf"list_filter(regexp_split_to_array(lower(regexp_replace(coalesce(text, ''), '[^\p{{L}}\p{{N}}\x20\x09-\x0D]+', '', 'g')), '{_SPACE}+'), lambda x: x <> '')"
 
 OP6 = rf"""
