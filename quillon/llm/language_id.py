@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import packed, small, unpacked
+from quillon.llm.common import checkpointed, packed, small, unpacked
 
 #: Hidden units of each direction, bytes of a segment, segments advanced together.
 HIDDEN, STEPS, LANES = 8, 64, 2048
+#: Segments of a row that are learned from.
+PIECES = 8
 #: Bound of the training sample: rows of each language.
 ROWS_PER_LANGUAGE = 400
 #: Range of the hash that draws the sample.
@@ -87,17 +89,24 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def cut(text: str, rng: np.random.Generator) -> list[bytes]:
+    """At most PIECES segments of STEPS bytes of a text, drawn at random, filled up with spaces."""
+    raw = text.encode("utf-8", "replace")
+    return [raw[at : at + STEPS].ljust(STEPS) for at in rng.integers(0, max(1, len(raw) - STEPS + 1), min(PIECES, 1 + len(raw) // STEPS)).tolist()]
+
+
 def train(texts: list[str], labels: list[str], epochs: int = 6, seed: int = 7) -> dict:
     """The network for (text, label) rows; the same rows in the same order give the same network."""
-    names = sorted(set(labels))
     rng = np.random.default_rng(seed)
-    segments, of = [], []
-    for text, label in zip(texts, labels, strict=True):
-        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        for at in rng.integers(0, max(1, len(raw) - STEPS + 1), min(8, 1 + len(raw) // STEPS)):
-            piece = raw[at : at + STEPS]
-            segments.append(np.concatenate([piece, np.full(STEPS - len(piece), 32, np.uint8)]))
-            of.append(names.index(label))
+    return train_segments([(label, cut(text, rng)) for text, label in zip(texts, labels, strict=True)], epochs, seed)
+
+
+def train_segments(rows: list[tuple[str, list[bytes]]], epochs: int = 6, seed: int = 7) -> dict:
+    """The network for (label, segments) rows."""
+    names = sorted({label for label, _ in rows})
+    rng = np.random.default_rng(seed)
+    segments = [np.frombuffer(piece, np.uint8) for _, pieces in rows for piece in pieces]
+    of = [names.index(label) for label, pieces in rows for _ in pieces]
     draw = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
     model = {f"w{kind}{side}": draw(256 if kind == "x" else HIDDEN, 3 * HIDDEN) for kind in "xh" for side in "fb"}
     model |= {"wo": draw(2 * HIDDEN, len(names)), "bo": np.zeros(len(names), np.float32)}
@@ -181,21 +190,25 @@ def fit(docs: DataFrame, rows: int = ROWS_PER_LANGUAGE) -> dict:
     """Train on at most `rows` rows of each language, chosen by a hash of the id over all rows.
 
     The rows of least hash are taken; a language's count tells below which hash about four times as
-    many lie, so only those meet in the task that ranks a language. Rows without id, language or
+    many lie, so only those are read whole, and only their segments leave a task: the driver gets at most
+    PIECES * STEPS bytes of a row, whatever its length. Rows without id, language or
     text, and held-out rows, are not used. Without a labelled row the
     network knows no language and every text is `und`.
     """
     docs = docs.select("doc_id", "text", "lang")
     usable = docs.filter("doc_id is not null and lang is not null and text is not null and text <> ''").filter(~held_out())
-    keyed = usable.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).alias("key"))
-    counts = keyed.groupBy("lang").agg(F.count("*").alias("n"))
-    likely = keyed.join(small(counts), "lang").filter(F.col("key") <= F.lit(4.0 * rows * SPREAD) / F.col("n"))
-    order = Window.partitionBy("lang").orderBy("key", "doc_id")
+    usable = usable.withColumn("key", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)))
+    counts = checkpointed(usable.groupBy("lang").agg(F.count("*").alias("n")))
+
+    @F.arrow_udf("array<binary>")
+    def pieces(text: pa.Array, key: pa.Array) -> pa.Array:
+        return pa.array([cut(t, np.random.default_rng(k)) for t, k in zip(text.to_pylist(), key.to_pylist(), strict=True)], pa.list_(pa.binary()))
+
+    likely = usable.join(small(counts), "lang").filter(F.col("key") <= F.lit(4.0 * rows * SPREAD) / F.col("n"))
+    likely = checkpointed(likely.select("lang", "key", "doc_id", pieces("text", "key").alias("pieces")))
+    order = Window.partitionBy("lang").orderBy("key", "doc_id", "pieces")
     chosen = likely.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= rows)
-    chosen = chosen.select("doc_id").distinct()
-    sample = usable.join(small(chosen), "doc_id", "left_semi")
-    found = sorted((r["lang"], r["doc_id"], r["text"]) for r in sample.collect())
-    return train([r[2] for r in found], [r[0] for r in found])
+    return train_segments(sorted((r["lang"], [bytes(x) for x in r["pieces"]]) for r in chosen.collect()))
 
 
 def predictor(model: dict):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quillon.llm.decontaminate import RUN, SHORT_TELLING, TELLING, UNITS, WIDTH
 from quillon.llm.license_scan import SHARE, SHINGLE, TEMPLATES, WINDOW
+from quillon.llm.quality_rules import POLICIES, RULES, mask
 
 _SPACE = r"[\x20\x09-\x0D]"
 _CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -136,6 +137,10 @@ b AS (SELECT *, (n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words):
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, bits & 3 <> 0 AS base_failed, bits = 0 AS kept, bits::BIGINT AS bits FROM b
 """
 
+_VERSIONS = ", ".join(f"('{p}', '{r}', {1 << i}, {mask(p)})" for p in POLICIES for i, (r, _) in enumerate(RULES) if r in POLICIES[p])
+ABLATIONS = f"""SELECT policy, rule, count(*) FILTER (WHERE bits & bit <> 0) AS failed, count(*) FILTER (WHERE bits & mask = bit) AS only
+FROM ({OP10}) x, (VALUES {_VERSIONS}) v(policy, rule, bit, mask) GROUP BY policy, rule"""
+
 ORACLES = {
     "op1_chat_format": OP1,
     "op2_decontaminate": OP2,
@@ -143,4 +148,5 @@ ORACLES = {
     "op6_license_scan": OP6,
     "op7_url_filter": OP7,
     "op10_quality_rules": OP10,
+    "quality_ablations": ABLATIONS,
 }

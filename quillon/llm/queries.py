@@ -79,9 +79,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ledger(quality_rules.measured(table(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_rules.verdicts(quality_rules.ledger(quality_rules.measured(table(spark, sf_dir, "documents"))))
+    rows = quality_rules.verdicts(_ledger(spark, sf_dir))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_decontaminate, op3_jaccard_join, op4_pii, op5_token_counts, op6_license_scan, op7_url_filter, op8_best_fit_packing, op9_language_id, op10_quality_rules)}
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version fails, and what would be kept without it, from the ledger of op10."""
+    return quality_rules.all_ablations(_ledger(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_decontaminate, op3_jaccard_join, op4_pii, op5_token_counts, op6_license_scan,
+        op7_url_filter, op8_best_fit_packing, op9_language_id, op10_quality_rules, quality_ablations,
+    )
+}

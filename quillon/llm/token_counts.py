@@ -7,6 +7,8 @@ the histogram answer totals, quantiles and truncated totals for every context li
 from __future__ import annotations
 
 import base64
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +40,16 @@ class _Lengths(dict):
         return n
 
 
+def _counter(packed: bytes):
+    """The function that splits a text as the vocabulary asks, and the lengths of its pieces."""
+    import regex
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, packed.splitlines())}
+    encode = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return regex.compile(PATTERN).findall, _Lengths(encode).__getitem__
+
+
 def encoded_length(text: str | Column, vocabulary: str = VOCABULARY) -> Column:
     """Tokens of a text; null and empty texts have 0 tokens, whatever looks like a special token is text.
 
@@ -49,18 +61,43 @@ def encoded_length(text: str | Column, vocabulary: str = VOCABULARY) -> Column:
 
     @F.arrow_udf("bigint")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import regex
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, packed.splitlines())}
-        length = _Lengths(tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary).__getitem__
-        pieces = regex.compile(PATTERN).findall
+        pieces, length = _counter(packed)
         for batch in batches:
             yield pa.array([sum(map(length, pieces(t.as_py()))) if t.is_valid else 0 for t in batch], pa.int64())
 
     return count(text)
 
 
+def token_pieces(text: str | Column, size: int, vocabulary: str = VOCABULARY) -> Column:
+    """The runs of at most `size` tokens that a text is cut into, as (tokens, words that begin in the run); null and empty texts are one run of none."""
+    with open(vocabulary, "rb") as file:
+        packed = file.read()
+
+    @F.arrow_udf("array<struct<tokens:bigint,words:bigint>>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces, length = _counter(packed)
+        starts = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]")
+
+        def runs(text: str) -> list[dict]:
+            out, at, total = [0], 0, 0
+            begun = [m.start() for m in starts.finditer(text)]
+            told = 0
+            for piece in pieces(text):
+                at += len(piece)
+                end = bisect_left(begun, at, told)
+                out[-1] += end - told  # words count where their first token is
+                told, total = end, total + length(piece)
+                while total > size * len(out):
+                    out.append(0)
+            return [{"tokens": min(size, total - size * k), "words": n} for k, n in enumerate(out)]
+
+        kind = pa.list_(pa.struct([("tokens", pa.int64()), ("words", pa.int64())]))
+        for batch in batches:
+            yield pa.array([runs(t.as_py()) if t.is_valid else [{"tokens": 0, "words": 0}] for t in batch], kind)
+
+    return cut(text)
+
+
 def encoded_lengths(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens) for every row."""
     return docs.select("doc_id", encoded_length("text", vocabulary).alias("n_tokens"))
