@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
 #: Rows and bytes up to which a small side is broadcast; beyond either the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 8 << 20
 
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE = "[\\x20\\x09-\\x0D]"

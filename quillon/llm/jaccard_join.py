@@ -25,6 +25,8 @@ from quillon.llm.shingles import U, mix, set_id, shingle_sets
 CELLS = 3
 #: Sets of a block: members of a hub met in one task, and half of what is compared at once as a dense matrix.
 BLOCK = 256
+#: Members of a hub that are joined with one copy of its parity bits.
+SHARE = 4096
 #: Columns of that matrix at once.
 COLUMNS = 4096
 
@@ -312,7 +314,11 @@ def set_links(docs: DataFrame, sketches: DataFrame, width: int = 3, per_hundred:
     own = checkpointed(own.groupBy("sid").agg(F.min("n").alias("n"), F.min("bits").alias("bits")))
     known = small(own)
     of_hub = own.select(F.col("sid").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"))
-    pairs = met.join(known, "sid").join(small(of_hub), "hub")
+    shares = small(checkpointed(met.groupBy("hub").agg((F.floor(F.count("*") / SHARE) + 1).alias("shares")).filter("shares > 1")))
+    share = F.coalesce(F.pmod(F.xxhash64("sid"), F.col("shares")), F.lit(0).cast("bigint"))
+    spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("shares"), F.lit(1)) - 1))
+    of_hub = of_hub.join(shares, "hub", "left").select("hub", "hub_n", "hub_bits", spread.alias("share"))
+    pairs = met.join(known, "sid").join(shares, "hub", "left").withColumn("share", share).join(of_hub, ["hub", "share"])
     met = checkpointed(pairs.select("hub", "sid", "shared", _may_link(per_hundred)("n", "bits", "hub_n", "hub_bits").alias("may")))
 
     best = checkpointed(met.filter("may").groupBy("sid").agg(F.max(F.struct("shared", "hub"))["hub"].alias("hub")))
