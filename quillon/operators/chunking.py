@@ -46,9 +46,12 @@ def chunk_sections(sections: DataFrame) -> DataFrame:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """Chunks of plain texts (doc_id, text), which are one section each."""
+    """Chunks of plain texts (doc_id, text), which are one section each: numbered within the row, without a shuffle."""
     text = T.strip(F.coalesce("text", F.lit("")))
-    return chunk_sections(docs.select(F.col("doc_id").cast("string").alias("paper_id"), F.lit(0).alias("section"), F.lit(WHOLE).alias("path"), text.alias("body")))
+    rows = docs.select(F.col("doc_id").cast("string").alias("paper_id"), F.lit(WHOLE).alias("path"), text.alias("_body"))
+    each = rows.select("paper_id", "path", F.posexplode_outer(F.filter(pieces(F.col("_body")), lambda x: x["body"] != "")).alias("i", "p")).filter("p is not null")
+    rows = each.select("paper_id", "path", F.col("i").cast("bigint").alias("chunk_index"), F.col("p.body").alias("body"))
+    return rows.withColumns({"chunk_id": T.chunk_key(F.col("paper_id"), F.col("path"), F.col("chunk_index")), "content_hash": T.content_hash(F.col("body"))})
 
 
 def dedupe_chunks(rows: DataFrame) -> DataFrame:

@@ -18,21 +18,21 @@ KEY = ["conv_id", "turn"]
 LEAST_OVERLAP = 0.12
 NO_EVIDENCE = {"zh": "没有找到足够的证据。", "en": "There is not enough evidence."}
 
-CONTEXTS = "contexts AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ref, md5(conv_id || ':' || turn) AS chunk_id, coalesce(text, '') AS evidence FROM conversations WHERE role = 'user' QUALIFY ref <= 100)"
+CONTEXTS = "contexts AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ref, md5(conv_id || ':' || turn) AS chunk_id, coalesce(text, '') AS evidence FROM conversations WHERE role = 'user')"
 CLAIMS = rf"""parts AS (SELECT conv_id, turn, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace({STRIPPED.replace('x,', 'answer,')}, '([。！？.!?])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: {STRIPPED}), lambda x: x <> '') AS p FROM a)),
 marked AS (SELECT *, regexp_matches(s, '^(\[[0-9]+\])+$') AS bare, length(s) >= 8 AND (length(s) >= 12 OR regexp_matches(s, '\[[0-9]+\]')) AND NOT starts_with(s, '（注：') AND NOT starts_with(s, '(Note:') AS good FROM parts),
 told AS (SELECT conv_id, turn, claim_no, string_agg(s, ' ' ORDER BY i) AS claim FROM (SELECT *, sum((good AND NOT bare)::INT) OVER (PARTITION BY conv_id, turn ORDER BY i) AS claim_no FROM marked WHERE good OR bare) WHERE claim_no > 0 GROUP BY ALL),
 claims AS (SELECT conv_id, turn, claim_no::BIGINT AS claim_no, claim FROM told UNION ALL SELECT conv_id, turn, 1, {STRIPPED.replace('x,', 'answer,')} FROM a WHERE length({STRIPPED.replace('x,', 'answer,')}) >= 12 AND (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM told))"""
 
 
-def contexts(spark, sf_dir, most: int = 100) -> DataFrame:
-    """(conv_id, ref, chunk_id, evidence): the first user turns of a conversation, numbered from 1."""
+def contexts(spark, sf_dir) -> DataFrame:
+    """(conv_id, ref, chunk_id, evidence): the user turns of a conversation, numbered from 1."""
     from pyspark.sql import Window
 
     rows = read(spark, sf_dir, "conversations").filter("role = 'user'")
     ref = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     key = F.md5(F.concat_ws(":", "conv_id", "turn"))
-    return rows.select("conv_id", ref.cast("bigint").alias("ref"), key.alias("chunk_id"), F.coalesce("text", F.lit("")).alias("evidence")).filter(F.col("ref") <= most)
+    return rows.select("conv_id", ref.cast("bigint").alias("ref"), key.alias("chunk_id"), F.coalesce("text", F.lit("")).alias("evidence"))
 
 
 def normalized_locks(rows: DataFrame, evidence: DataFrame) -> DataFrame:

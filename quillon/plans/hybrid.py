@@ -16,7 +16,9 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 
-VARIANTS = "queries AS (SELECT item_id * 2 AS query_id, substr(text, 1, 200) AS query FROM benchmark UNION ALL SELECT item_id * 2 + 1, substr(text, 201, 200) FROM benchmark)"
+#: Candidates that are scored anew.
+POOL = 80
+VARIANTS = "queries AS (SELECT item_id * 2 AS query_id, substr(text, 1, length(text) // 2) AS query FROM benchmark UNION ALL SELECT item_id * 2 + 1, substr(text, length(text) // 2 + 1) FROM benchmark)"
 QUERY_VECTORS = "qv AS (SELECT query_id, embedding AS q FROM queries JOIN embeddings ON vec_id = query_id)"
 
 
@@ -32,8 +34,9 @@ def text_match(spark, sf_dir):
 def merge_query_hits(spark, sf_dir):
     """The best score of each chunk over the variants of a query."""
     b = read(spark, sf_dir, "benchmark")
-    part = lambda v: b.select((F.col("item_id") * 2 + v).alias("query_id"), F.substring("text", 1 + 200 * v, 200).alias("query"))
-    hits = lexical(spark, sf_dir, 20, part(0).unionByName(part(1)))
+    half = F.floor(F.length("text") / 2).cast("int")
+    part = lambda v, piece: b.select((F.col("item_id") * 2 + v).alias("query_id"), piece.alias("query"))
+    hits = lexical(spark, sf_dir, 20, part(0, F.substring("text", F.lit(1), half)).unionByName(part(1, F.substring("text", half + 1, F.length("text")))))
     best = hits.groupBy(F.floor(F.col("query_id") / 2).alias("query_id"), "chunk_id").agg(F.max("score").alias("score"))
     return search.ranked(best, F.col("score"), 40)
 
@@ -64,12 +67,12 @@ def dense_rank_candidates(spark, sf_dir):
 
 
 @query(rf"""{LEXICAL}, c AS (SELECT query_id, chunk_id, rank AS old, lower(substr(body, 1, 1800)) AS e, list_distinct(list_filter(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2 AND w NOT IN ({CLAIM_STOP}))) AS w FROM top JOIN chunks USING (chunk_id, paper_id) JOIN queries USING (query_id)),
-s AS (SELECT query_id, chunk_id, old, CASE WHEN old <= 16 THEN round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: contains(e, x))) / len(w) ELSE 0 END, 6) END AS score FROM c) SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY (old <= 16) DESC, score DESC, old) AS rank FROM s""")
-def rerank_pool(spark, sf_dir):
+s AS (SELECT query_id, chunk_id, old, CASE WHEN old <= {POOL} THEN round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: contains(e, x))) / len(w) ELSE 0 END, 6) END AS score FROM c) SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY (old <= {POOL}) DESC, score DESC, old) AS rank FROM s""")
+def rerank_pool(spark, sf_dir, pool=POOL):
     """The first candidates reordered by the words they share with the query; the rest follow in their order."""
     rows = hydrate(spark, sf_dir).join(search.broadcast_if_small(asked(spark, sf_dir)), "query_id").withColumnRenamed("rank", "old")
-    score = F.when(F.col("old") <= 16, F.round(T.keyword_overlap(F.col("query"), F.substring("body", 1, 1800)), 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.col("old") <= 16), F.desc("score"), "old")
+    score = F.when(F.col("old") <= pool, F.round(T.keyword_overlap(F.col("query"), F.substring("body", 1, 1800)), 6))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.col("old") <= pool), F.desc("score"), "old")
     return rows.withColumn("score", score).select("query_id", "chunk_id", "score", F.row_number().over(order).cast("bigint").alias("rank"))
 
 
@@ -107,10 +110,10 @@ def retrieve_contexts(spark, sf_dir):
     return rows.select("query_id", F.row_number().over(own.orderBy("block", "place")).cast("bigint").alias("ref"), "block", "id")
 
 
-@query("SELECT * FROM (SELECT item_id AS query_id, unnest([substr(text, 1, 60), lower(substr(text, 1, 60)), substr(text, 1, 30)]) AS variant, unnest([0, 1, 2]) AS list_no FROM benchmark) QUALIFY row_number() OVER (PARTITION BY query_id, lower(variant) ORDER BY list_no) = 1")
+@query("SELECT * FROM (SELECT item_id AS query_id, unnest([text, lower(text), regexp_replace(text, '^\S+\s+', '')]) AS variant, unnest([0, 1, 2]) AS list_no FROM benchmark) QUALIFY row_number() OVER (PARTITION BY query_id, lower(variant) ORDER BY list_no) = 1")
 def query_variants(spark, sf_dir):
     """A question and what was made of it, without repeats by case; the first one stays."""
-    made = F.array(F.substring("text", 1, 60), F.lower(F.substring("text", 1, 60)), F.substring("text", 1, 30))
+    made = F.array(F.col("text"), F.lower("text"), F.regexp_replace("text", "^\\S+\\s+", ""))
     rows = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.posexplode(made).alias("list_no", "variant"))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("query_id", F.lower("variant")).orderBy("list_no"))).filter("n = 1").drop("n")
 

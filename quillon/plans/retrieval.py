@@ -14,7 +14,7 @@ ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 
 STOP = ", ".join(f"'{w}'" for w in T.SEARCH_STOP)
-ASKED = "queries AS (SELECT item_id AS query_id, substr(text, 1, 200) AS query FROM benchmark)"
+ASKED = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 TERMS = rf"""terms AS (SELECT query_id, unnest(t) AS term FROM (SELECT query_id, list_distinct(ws) AS d, (
     SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(ws) AS x, unnest(range(len(ws))) AS i) GROUP BY x ORDER BY i LIMIT 24)) AS t FROM (
   SELECT query_id, list_concat(list_filter(regexp_extract_all(lower(query), '[a-z0-9]+'), lambda w: length(w) >= 2 AND w NOT IN ({STOP})),
@@ -36,7 +36,7 @@ def quota_sql(rows: str) -> str:
 
 
 def asked(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 200).alias("query"))
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 def chunks(spark, sf_dir):

@@ -48,13 +48,13 @@ def is_mostly_cjk(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.is_mostly_cjk(F.col("text")).alias("cjk"))
 
 
-ASKS = "q AS (SELECT item_id, trim(regexp_replace(substr(text, 1, 40), '[^A-Za-z ]', '', 'g')) AS q FROM benchmark)"
+ASKS = "q AS (SELECT item_id, trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS q FROM benchmark)"
 
 
 @query(f"WITH {ASKS} SELECT item_id, CASE WHEN item_id % 4 < 3 THEN nullif(q, '') END AS en, CASE WHEN item_id % 4 = 0 THEN '甲' END AS zh FROM q")
 def parse_query_json(spark, sf_dir):
     """Queries read from fenced, embedded and loose JSON."""
-    q = F.trim(F.regexp_replace(F.substring("text", 1, 40), "[^A-Za-z ]", ""))
+    q = F.trim(F.regexp_replace("text", "[^A-Za-z ]", ""))
     k = F.col("item_id") % 4
     raw = F.when(k == 0, F.concat(F.lit('```json\n{"zh": "甲", "en": "'), q, F.lit('"}\n```'))).when(k == 1, F.concat(F.lit('Sure: {"english": "'), q, F.lit('"} ok'))).when(k == 2, F.concat(F.lit("en = '"), q, F.lit("'"))).otherwise("none")
     rows = read(spark, sf_dir, "benchmark").select("item_id", raw.alias("raw"))
@@ -106,9 +106,9 @@ def task_start(spark, sf_dir):
     return tasks(spark, sf_dir).select("id", F.coalesce(noted, F.array_min(history), "created_at").alias("started_at"))
 
 
-@query("SELECT item_id, '$' || substr(text, 1, 20) || '$ and $$x$$' AS text FROM benchmark")
+@query("SELECT item_id, '$' || text || '$ and $$x$$' AS text FROM benchmark")
 def normalize_math(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select("item_id", T.normalize_math(F.concat(F.lit("\\("), F.substring("text", 1, 20), F.lit("\\) and \\[x\\]"))).alias("text"))
+    return read(spark, sf_dir, "benchmark").select("item_id", T.normalize_math(F.concat(F.lit("\\("), "text", F.lit("\\) and \\[x\\]"))).alias("text"))
 
 
 @query(P + "SELECT id, title || chr(10) || chr(10) || substr(text, 1, 8000) AS prompt FROM papers WHERE NOT deleted AND index_status = 'indexed' AND length(text) > 0")
