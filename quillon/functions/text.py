@@ -233,3 +233,8 @@ def rebase_assets(text: Column, prefix: Column) -> Column:
     relative = "(?!https?:|data:|/|#|assets/)"
     text = F.regexp_replace(text, F.lit(f"(!\\[[^\\]]*\\]\\(){relative}"), F.concat(F.lit("$1"), prefix))
     return F.regexp_replace(text, F.lit(f"(?i)(<img[^>]*\\ssrc=[\"']){relative}"), F.concat(F.lit("$1"), prefix))
+
+
+def review_query(topic: Column, focus: Column) -> Column:
+    """The question that a review asks: its topic, and its focus if one is given."""
+    return F.when(F.coalesce(focus, F.lit("")) == "", topic).otherwise(F.concat(topic, F.lit("。重点："), focus))

@@ -109,3 +109,12 @@ def synonyms(queries: DataFrame, rules: DataFrame, most: int = 4) -> DataFrame:
     made = met.select("query_id", "term", "alt", F.regexp_replace("query", hit, F.concat(F.lit("$1"), safe)).alias("variant"))
     first = made.groupBy("query_id", "variant").agg(F.min(F.struct("term", "alt")).alias("o"))
     return first.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("o"))).filter(F.col("n") <= most).select("query_id", "variant")
+
+
+def in_scope(rows: DataFrame, scoped: Column, excluded: Column, with_references: Column) -> DataFrame:
+    """Rows (chunk_type) that a request may see: with references all; else without those types that its scope excludes; without a scope all but references.
+
+    `excluded` is the array of types that a scope names, read where `scoped` is true.
+    """
+    out = F.when(with_references, F.array().cast("array<string>")).when(scoped, excluded).otherwise(F.array(F.lit("references")))
+    return rows.filter(F.col("chunk_type").isNull() | ~F.array_contains(out, F.col("chunk_type")))

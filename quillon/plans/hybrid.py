@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.operators import search
 from quillon.plans.base import registrar
-from quillon.plans.corpus import CLAIM_STOP
+from quillon.plans.corpus import CLAIM_STOP, TYPED, typed
 from quillon.plans.retrieval import ASKED, DENSE, INDEX, LEXICAL, ORACLES as BEFORE, TERMS, asked, chunks, dense, hydrate, lexical, quota_sql, text_retrieve
 from quillon.sources.corpus import CHUNKS, read, tasks, TASKS
 
@@ -138,3 +138,12 @@ def ordered_distinct_ids(spark, sf_dir):
 def recent_questions(spark, sf_dir):
     newest = Window.partitionBy("task_type").orderBy(F.desc("created_at"), F.desc("id"))
     return tasks(spark, sf_dir).filter("status = 'completed'").select("task_type", "id", F.row_number().over(newest).cast("bigint").alias("place")).filter("place <= 10")
+
+
+@query(f"""{LEXICAL}, {TYPED} SELECT query_id, t.chunk_id, chunk_type, rank FROM top t JOIN typed y ON y.chunk_id = t.chunk_id WHERE chunk_type IS NULL
+  OR CASE query_id % 4 WHEN 0 THEN chunk_type <> 'references' WHEN 2 THEN chunk_type <> 'unknown' ELSE true END""")
+def scope_defaults(spark, sf_dir):
+    """What four kinds of request see: no scope; a scope with references asked for; a scope of its own; no scope with references."""
+    k = F.col("query_id") % 4
+    rows = lexical(spark, sf_dir).join(typed(spark, sf_dir).select("chunk_id", "chunk_type"), "chunk_id")
+    return search.in_scope(rows, k.isin(1, 2), F.array(F.lit("unknown")), k.isin(1, 3)).select("query_id", "chunk_id", "chunk_type", "rank")

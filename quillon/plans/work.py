@@ -271,3 +271,21 @@ def parse_meta(spark, sf_dir):
     raw = F.when(F.col("event_id") % 9 == 0, "[broken").otherwise(F.col("props"))
     meta = F.when(F.trim(raw).startswith("{"), F.from_json(raw, "map<string,string>"))
     return read(spark, sf_dir, "events").select("event_id", meta.isNotNull().alias("valid"), F.get(F.map_values(F.map_filter(meta, lambda k, _: k == "k")), F.lit(0)).alias("k"))
+
+
+@query(f"""WITH {PAPERS}, {REPORT} SELECT p.id, regexp_matches(coalesce(p.text, ''), '\\S') AS ok, CASE WHEN regexp_matches(coalesce(p.text, ''), '\\S') THEN round(r.score, 9) END AS score
+FROM papers p JOIN report r USING (doc_id) WHERE NOT p.deleted AND p.score IS NULL""")
+def rescore(spark, sf_dir):
+    """Live papers without a score, scored from their text; those without text are told and stay unscored."""
+    held = F.coalesce("text", F.lit("")).rlike("\\S")
+    rows = papers(spark, sf_dir).filter(~F.col("deleted") & F.col("score").isNull()).select("doc_id", "id", held.alias("ok"))
+    scores = report(spark, sf_dir).select("doc_id", F.round("score", 9).alias("found"))
+    return rows.join(scores, "doc_id").select("id", "ok", F.when(F.col("ok"), F.col("found")).alias("score"))
+
+
+@query(P + ", f AS (SELECT id, title, CASE year % 3 WHEN 0 THEN source WHEN 1 THEN '' END AS focus FROM papers) SELECT id, CASE WHEN coalesce(focus, '') = '' THEN title ELSE title || '。重点：' || focus END AS query FROM f")
+def review_query(spark, sf_dir):
+    """The topic of a review with its focus, where one is given."""
+    k = F.col("year") % 3
+    focus = F.when(k == 0, F.col("source")).when(k == 1, F.lit(""))
+    return papers(spark, sf_dir).select("id", T.review_query(F.col("title"), focus).alias("query"))
