@@ -110,7 +110,7 @@ def retrieve_contexts(spark, sf_dir):
     return rows.select("query_id", F.row_number().over(own.orderBy("block", "place")).cast("bigint").alias("ref"), "block", "id")
 
 
-@query("SELECT * FROM (SELECT item_id AS query_id, unnest([text, lower(text), regexp_replace(text, '^\S+\s+', '')]) AS variant, unnest([0, 1, 2]) AS list_no FROM benchmark) QUALIFY row_number() OVER (PARTITION BY query_id, lower(variant) ORDER BY list_no) = 1")
+@query(r"SELECT * FROM (SELECT item_id AS query_id, unnest([text, lower(text), regexp_replace(text, '^\S+\s+', '')]) AS variant, unnest([0, 1, 2]) AS list_no FROM benchmark) QUALIFY row_number() OVER (PARTITION BY query_id, lower(variant) ORDER BY list_no) = 1")
 def query_variants(spark, sf_dir):
     """A question and what was made of it, without repeats by case; the first one stays."""
     made = F.array(F.col("text"), F.lower("text"), F.regexp_replace("text", "^\\S+\\s+", ""))
