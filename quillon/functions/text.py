@@ -38,18 +38,51 @@ def drop_page_numbers(text: Column) -> Column:
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~x.rlike("^\\s*[0-9]{1,4}\\s*$")), "\n")
 
 
-def trim_references(text: Column) -> Column:
-    """What stands before the first line that only says References or Bibliography."""
-    return F.regexp_replace(text, "(?is)(^|\\n)#*\\s*(references|bibliography)\\s*(\\n.*)?$", "")
+#: Headings that open a list of references.
+REFERENCE_HEADINGS = "references|bibliography|works\\s+cited|参考文献|引用文献|文献目录"
+
+
+def trim_references(text: Column, ending: str = "") -> Column:
+    """What stands before the first line that is only a heading of references, and an ending; a text without one stays."""
+    heading = f"(?is)(?:^|\\n)[^\\S\\n]*(?:#+[^\\S\\n]*)?(?:{REFERENCE_HEADINGS})[^\\S\\n]*(?:\\n.*)?$"
+    return F.when(F.regexp_like(text, F.lit(heading)), F.concat(F.regexp_replace(F.regexp_replace(text, heading, ""), "\\s+$", ""), F.lit(ending))).otherwise(text)
+
+
+def drop_repeated_lines(text: Column, repeats: int = 4) -> Column:
+    """A text of at least 3 * repeats lines (a final line end begins none) without its lines of 8 to 80 characters that occur `repeats` times or more.
+
+    Lines are sorted, so that equal ones are neighbours and the work is that of a sort; the outer
+    transform binds the sorted lines to a name.
+    """
+    lines = F.split(F.regexp_replace(text, "\n\\z", ""), "\n")
+    numbered = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.regexp_replace(strip(x), "\\s+", " ").alias("norm"), i.alias("i"), x.alias("line"))))
+
+    def kept(s: Column) -> Column:
+        def alike(e: Column, i: Column) -> Column:
+            first = [F.get(s, i - k)["norm"].eqNullSafe(e["norm"]) & F.get(s, i - k + repeats - 1)["norm"].eqNullSafe(e["norm"]) for k in range(repeats)]
+            out = first[0]
+            for other in first[1:]:
+                out = out | other
+            return out
+
+        rest = F.filter(s, lambda e, i: ~(F.length(e["norm"]).between(8, 80) & alike(e, i)))
+        return F.array_join(F.transform(F.array_sort(F.transform(rest, lambda e: F.struct(e["i"], e["line"]))), lambda e: e["line"]), "\n")
+
+    return F.when(F.size(lines) < 3 * repeats, text).otherwise(F.transform(F.array(numbered), kept)[0])
 
 
 def squeeze_blank(text: Column) -> Column:
     return F.regexp_replace(text, "\\n{4,}", "\n\n\n")
 
 
-def clean_markdown(text: Column) -> Column:
-    """Hyphens joined, page numbers and references dropped, blank lines squeezed, one final newline."""
-    return F.concat(strip(squeeze_blank(trim_references(drop_page_numbers(fix_hyphens(text))))), F.lit("\n"))
+def clean_markdown(text: Column, keep_references: bool = True) -> Column:
+    """Hyphens joined, page numbers and repeated lines dropped, references cut if not kept, blank lines squeezed, one final newline.
+
+    A blank text stays as it is; without anything left the result is empty.
+    """
+    body = drop_repeated_lines(drop_page_numbers(fix_hyphens(text)))
+    out = strip(squeeze_blank(body if keep_references else trim_references(body)))
+    return F.when(strip(text) == "", text).otherwise(F.when(out == "", out).otherwise(F.concat(out, F.lit("\n"))))
 
 
 def garbled_ratio(text: Column) -> Column:
@@ -238,3 +271,13 @@ def rebase_assets(text: Column, prefix: Column) -> Column:
 def review_query(topic: Column, focus: Column) -> Column:
     """The question that a review asks: its topic, and its focus if one is given."""
     return F.when(F.coalesce(focus, F.lit("")) == "", topic).otherwise(F.concat(topic, F.lit("。重点："), focus))
+
+
+def task_kind(kind: Column, payload: Column) -> Column:
+    """The kind of a task: its type, and for indexing what the first set flag of a JSON payload says.
+
+    A missing or empty type is indexing. A flag is set unless it is missing, null, false, zero or empty.
+    """
+    kind = F.trim(F.coalesce(F.when(kind != "", kind), F.lit("index")))
+    flag = lambda name: ~F.coalesce(F.get_json_object(payload, f"$.{name}"), F.lit("")).isin("", "false", "0", "0.0", "[]", "{}")
+    return F.when(kind != "index", kind).when(flag("download_only"), "download").when(flag("parse_only"), "parse").when(flag("reindex_only"), "reindex").otherwise("index")

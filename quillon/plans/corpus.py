@@ -75,12 +75,35 @@ def fix_hyphens(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.fix_hyphens(F.col("text")).alias("text"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(string_split(regexp_replace(coalesce(text, ''), '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g'), chr(10)),
-  lambda x: NOT regexp_matches(x, '^\s*[0-9]{1,4}\s*$')), chr(10)), '(?is)(^|\n)#*\s*(references|bibliography)\s*(\n.*)?$', ''), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') || chr(10) AS text FROM documents""")
+@query(
+    rf"""WITH h AS (SELECT doc_id, coalesce(text, '') AS t, string_split(regexp_replace(array_to_string(list_filter(string_split(regexp_replace(coalesce(text, ''), '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g'), chr(10)),
+    lambda x: NOT regexp_matches(x, '^\s*[0-9]{{1,4}}\s*$')), chr(10)), '\n$', ''), chr(10)) AS l FROM documents),
+e AS (SELECT *, count(*) OVER (PARTITION BY doc_id, norm) AS c FROM (SELECT doc_id, i, x, regexp_replace({STRIPPED}, '\s+', ' ', 'g') AS norm FROM (SELECT doc_id, unnest(l) AS x, unnest(range(len(l))) AS i FROM h WHERE len(l) >= 12))),
+k AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY i) AS body FROM e WHERE NOT (length(norm) BETWEEN 8 AND 80 AND c >= 4) GROUP BY 1),
+s AS (SELECT doc_id, t, regexp_replace(CASE WHEN len(l) < 12 THEN array_to_string(l, chr(10)) ELSE coalesce(body, '') END, '\n{{4,}}', chr(10) || chr(10) || chr(10), 'g') AS x FROM h LEFT JOIN k USING (doc_id)),
+o AS (SELECT doc_id, t, {STRIPPED} AS o FROM s)
+SELECT doc_id, CASE WHEN {STRIPPED.replace("(x,", "(t,")} = '' THEN t WHEN o = '' THEN o ELSE o || chr(10) END AS text FROM o"""
+)
 def clean_markdown(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.clean_markdown(F.col("text")).alias("text"))
 
 
+#: What may follow a text: headings of references and lines that only look like one.
+ENDINGS = ("\n# References\nEntry\n", "\n 参考文献 \nEntry", "\nReferences cited\nEntry", "", "\n##Works  Cited", "\nBIBLIOGRAPHY\nEntry\nReferences\n", "\nReferences\tof cats\n")
+ENDINGS_SQL = ", ".join("'" + e.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for e in ENDINGS)
+
+
+@query(
+    rf"""WITH e AS (SELECT doc_id, coalesce(text, '') || ([{ENDINGS_SQL}])[doc_id % 7 + 1] AS t FROM documents),
+f AS (SELECT doc_id, t, list_position(list_transform(string_split(t, chr(10)), lambda x: regexp_full_match({STRIPPED}, '(?i)(#+\s*)?({T.REFERENCE_HEADINGS})')), true) AS cut FROM e)
+SELECT doc_id, CASE WHEN cut > 0 THEN regexp_replace(array_to_string(string_split(t, chr(10))[1:cut - 1], chr(10)), '\s+$', '') || chr(10) ELSE t END AS text FROM f"""
+)
+def trim_references(spark, sf_dir):
+    """Texts with an ending, cut at their first heading of references."""
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % len(ENDINGS)).cast("int") + 1)
+    return docs(spark, sf_dir).select("doc_id", T.trim_references(F.concat("text", ending), "\n").alias("text"))
+
+
 @query(rf"""SELECT doc_id, round(CASE WHEN t = '' THEN 0 ELSE length(regexp_replace(t, '[^\x{{0}}-\x{{8}}\x{{E000}}-\x{{F8FF}}]', '', 'g')) / length(t) END, 9) AS garbled,
   round(CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda x: length(x) <= 2 AND NOT regexp_matches(x, '^[0-9]+$'))) / len(l) ELSE 0 END, 9) AS fragments FROM (SELECT doc_id, coalesce(text, '') AS t, {NONBLANK} AS l FROM documents)""")
 def parse_quality(spark, sf_dir):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import text as X
 from quillon.plans.base import registrar
 from quillon.sources.corpus import PAPERS, TASKS, papers, read, tasks
 
@@ -13,23 +14,75 @@ ORACLES: dict = {}
 query = registrar(QUERIES, ORACLES)
 T = f"WITH {TASKS} "
 ACTIVE = ("queued", "running")
+FLAG = "coalesce(CASE WHEN json_valid(payload) THEN payload ->> '$.{}' END, '') NOT IN ('', 'false', '0', '0.0', '[]', '{{}}')"
+#: Tasks with their kind and how long they took: since their own start if it is known, at least 0.
+KINDS = f"""WITH {TASKS}, kinds AS (SELECT *, CASE WHEN t <> 'index' THEN t WHEN {FLAG.format('download_only')} THEN 'download' WHEN {FLAG.format('parse_only')} THEN 'parse' WHEN {FLAG.format('reindex_only')} THEN 'reindex' ELSE 'index' END AS kind,
+  greatest(0, epoch(updated_at) - epoch(coalesce(started_at, created_at)))::DOUBLE AS took FROM (SELECT *, trim(coalesce(nullif(work_type, ''), 'index')) AS t FROM tasks)) """
+#: Completions of the window of what is queued or runs, over all kinds and by kind; no rows if nothing does.
+DONE = """, w AS (SELECT min(created_at) AS low, max(created_at) AS high FROM tasks WHERE status IN ('queued', 'running')),
+done AS (SELECT kind, grouping(kind)::INT AS g_kind, count(*) AS done, min(updated_at) AS first_done, round(avg(took), 2) AS mean_seconds FROM (SELECT kinds.* FROM kinds, w WHERE status = 'completed' AND (created_at BETWEEN low AND high OR updated_at >= low)) GROUP BY GROUPING SETS ((), (kind)))"""
+ETA = """CASE WHEN remaining <= 0 OR coalesce(done, 0) < 1 THEN NULL WHEN mean_seconds > 0 THEN round(remaining * mean_seconds / 2, 3) WHEN elapsed >= 5 THEN round(remaining * elapsed / done, 3) END"""
 
 
-@query(T + "SELECT task_type, status, count(*) AS n, grouping(task_type)::INT AS g_type, grouping(status)::INT AS g_status FROM tasks GROUP BY GROUPING SETS ((status), (task_type), (task_type, status))")
+def kinds(spark, sf_dir) -> DataFrame:
+    """Tasks with their kind and how long they took: since their own start if it is known, at least 0."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    took = F.greatest(F.lit(0.0), (micros(F.col("updated_at")) - micros(F.coalesce("started_at", "created_at"))) / 1e6)
+    return tasks(spark, sf_dir).withColumns({"kind": X.task_kind(F.col("work_type"), F.col("payload")), "took": took})
+
+
+def throughput(rows: DataFrame) -> DataFrame:
+    """(kind, g_kind, low, high, done, first_done, mean_seconds) over all kinds (g_kind 1) and by kind.
+
+    Counts what was completed among tasks created between the first and the last active one, or
+    updated since the first. Without an active task there is no window and there are no rows.
+    """
+    window = rows.filter(F.col("status").isin(*ACTIVE)).agg(F.min("created_at").alias("low"), F.max("created_at").alias("high"))
+    of = F.col("created_at").between(F.col("low"), F.col("high")) | (F.col("updated_at") >= F.col("low"))
+    done = rows.filter("status = 'completed'").join(F.broadcast(window), of)  # one row
+    sets = done.groupingSets([[], [F.col("kind")]], F.col("kind"))
+    sets = sets.agg(F.grouping("kind").cast("int").alias("g_kind"), F.count("*").alias("done"), F.min("updated_at").alias("first_done"), F.round(F.avg("took"), 2).alias("mean_seconds"))
+    return sets.join(F.broadcast(window), F.col("low").isNotNull())
+
+
+def estimates(remaining: DataFrame, done: DataFrame, on: list[str], as_of: DataFrame, workers: int = 2) -> DataFrame:
+    """remaining with `eta`, seconds until it is done.
+
+    It is the mean duration of completed tasks, dealt over the workers; where that is not above 0, the
+    pace since the first completion, if at least 5 seconds have passed by `as_of` (one row, `now`).
+    Nothing left to do, or nothing completed, gives null.
+    """
+    met = (remaining.join(done, on, "left") if on else remaining.join(F.broadcast(done), F.lit(True), "left")).join(F.broadcast(as_of))
+    elapsed = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("first_done").cast("timestamp"))) / 1e6
+    left, n, mean = F.col("remaining"), F.col("done"), F.col("mean_seconds")
+    eta = F.when((left <= 0) | (F.coalesce(n, F.lit(0)) < 1), None).when(mean > 0, F.round(left * mean / workers, 3)).when(elapsed >= 5, F.round(left * elapsed / n, 3))
+    return met.withColumn("eta", eta)
+
+
+def left_to_do() -> F.Column:
+    """Queued tasks, and of each running one the part that its progress leaves."""
+    s = F.col("status")
+    part = 1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("seconds") / 600))
+    return F.round(F.count_if(s == "queued") + F.sum(F.when(s == "running", part).otherwise(0.0)), 6).alias("remaining")
+
+
+LEFT = "round(count(*) FILTER (WHERE status = 'queued') + sum(CASE WHEN status = 'running' THEN 1 - least(1, greatest(0, seconds / 600)) ELSE 0 END), 6)"
+ELAPSED = "(SELECT epoch(max(updated_at)) FROM tasks) - epoch(first_done) AS elapsed"
+
+
+@query(KINDS + "SELECT work_type AS task_type, kind, status, count(*) AS n, grouping(work_type)::INT AS g_type, grouping(kind)::INT AS g_kind, grouping(status)::INT AS g_status FROM kinds GROUP BY GROUPING SETS ((status), (work_type), (work_type, status), (kind), (kind, status))")
 def task_counts(spark, sf_dir):
-    """Counts by status, by type and by both in one pass."""
-    rows = tasks(spark, sf_dir)
-    sets = rows.groupingSets([[F.col("status")], [F.col("task_type")], [F.col("task_type"), F.col("status")]], F.col("task_type"), F.col("status"))
-    return sets.agg(F.count("*").alias("n"), F.grouping("task_type").cast("int").alias("g_type"), F.grouping("status").cast("int").alias("g_status"))
+    """Counts by status, by type, by kind, and by type or kind and status, in one pass."""
+    rows = kinds(spark, sf_dir).drop("task_type").withColumnRenamed("work_type", "task_type")
+    t, k, s = F.col("task_type"), F.col("kind"), F.col("status")
+    sets = rows.groupingSets([[s], [t], [t, s], [k], [k, s]], t, k, s)
+    return sets.agg(F.count("*").alias("n"), *[F.grouping(c).cast("int").alias(g) for c, g in (("task_type", "g_type"), ("kind", "g_kind"), ("status", "g_status"))])
 
 
-@query(T + ", w AS (SELECT min(created_at) AS low, max(created_at) AS high FROM tasks WHERE status = 'queued') SELECT task_type, count(*) AS done, min(updated_at) AS first_done, round(avg(seconds), 2) AS mean_seconds FROM tasks, w WHERE status = 'completed' AND (created_at BETWEEN low AND high OR updated_at >= low) GROUP BY 1")
+@query(KINDS + DONE + " SELECT done.*, low, high FROM done, w WHERE low IS NOT NULL")
 def queue_throughput(spark, sf_dir):
-    """Completed work within the window of what is queued, by type."""
-    rows = tasks(spark, sf_dir)
-    window = rows.filter("status = 'queued'").agg(F.min("created_at").alias("low"), F.max("created_at").alias("high"))
-    done = rows.filter("status = 'completed'").join(F.broadcast(window), F.col("created_at").between(F.col("low"), F.col("high")) | (F.col("updated_at") >= F.col("low")))
-    return done.groupBy("task_type").agg(F.count("*").alias("done"), F.min("updated_at").alias("first_done"), F.round(F.avg("seconds"), 2).alias("mean_seconds"))
+    """Completed work within the window of what is active, over all kinds and by kind."""
+    return throughput(kinds(spark, sf_dir))
 
 
 @query(T + "SELECT min(created_at) AS low, max(created_at) AS high FROM tasks WHERE status IN ('queued', 'running')")
@@ -93,11 +146,21 @@ def phase_history(spark, sf_dir):
     return spans.withColumn("ended_at", F.lead("started_at").over(Window.partitionBy("user_id").orderBy("span")))
 
 
-@query(T + "SELECT id, task_type, count(*) OVER w AS n, round(avg(CASE WHEN seconds >= 5 THEN seconds END) OVER w, 6) AS mean FROM tasks WHERE status = 'completed' WINDOW w AS (PARTITION BY task_type, paper_id ORDER BY created_at, id)")
+@query(KINDS + "SELECT id, kind, count(*) OVER w AS n, round(avg(CASE WHEN took >= 5 THEN took END) OVER w, 6) AS mean FROM kinds WHERE status = 'completed' WINDOW w AS (PARTITION BY kind ORDER BY created_at, id)")
 def running_average(spark, sf_dir):
-    order = Window.partitionBy("task_type", "paper_id").orderBy("created_at", "id")
-    done = tasks(spark, sf_dir).filter("status = 'completed'")
-    return done.select("id", "task_type", F.count("*").over(order).alias("n"), F.round(F.avg(F.when(F.col("seconds") >= 5, F.col("seconds"))).over(order), 6).alias("mean"))
+    """Completions of a kind so far and the mean of those that took 5 seconds or more.
+
+    There are few kinds, so a window over a kind would be one task: totals of days are summed first,
+    and the windows over rows reach over a day of a kind only.
+    """
+    done = kinds(spark, sf_dir).filter("status = 'completed'").select("id", "kind", "created_at", F.when(F.col("took") >= 5, F.col("took")).alias("long"), F.date_trunc("day", "created_at").alias("day"))
+    days = done.groupBy("kind", "day").agg(F.count("*").alias("n0"), F.count("long").alias("m0"), F.coalesce(F.sum("long"), F.lit(0.0)).alias("s0"))
+    before = Window.partitionBy("kind").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("kind", "day", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("n0", "m0", "s0")])
+    own = Window.partitionBy("kind", "day").orderBy("created_at", "id")
+    rows = done.withColumns({"n": F.count("*").over(own), "m": F.count("long").over(own), "s": F.coalesce(F.sum("long").over(own), F.lit(0.0))}).join(days, ["kind", "day"])
+    n, m, s = (F.col(c) + F.col(f"{c}0") for c in "nms")
+    return rows.select("id", "kind", n.alias("n"), F.when(m > 0, F.round(s / m, 6)).alias("mean"))
 
 
 @query(T + "SELECT id, task_type, seconds FROM tasks WHERE status = 'failed' ORDER BY updated_at DESC, id LIMIT 20")
@@ -105,12 +168,20 @@ def failed_samples(spark, sf_dir):
     return tasks(spark, sf_dir).filter("status = 'failed'").orderBy(F.desc("updated_at"), "id").limit(20).select("id", "task_type", "seconds")
 
 
-@query(T + """SELECT task_type, queued + running AS remaining, CASE WHEN done >= 1 THEN round((queued + running) * mean_seconds, 3) END AS eta FROM (SELECT task_type, count(*) FILTER (WHERE status = 'queued') AS queued,
-  count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'completed') AS done, avg(seconds) FILTER (WHERE status = 'completed') AS mean_seconds FROM tasks GROUP BY 1)""")
+@query(KINDS + DONE + f" SELECT kind, remaining, done, {ETA} AS eta FROM (SELECT r.kind, remaining, coalesce(done, 0) AS done, mean_seconds, {ELAPSED} FROM (SELECT kind, {LEFT} AS remaining FROM kinds GROUP BY 1) r LEFT JOIN done d ON r.kind = d.kind AND g_kind = 0)")
 def queue_eta_by_kind(spark, sf_dir):
-    is_ = lambda s: F.col("status") == s
-    rows = tasks(spark, sf_dir).groupBy("task_type").agg(F.count_if(is_("queued") | is_("running")).alias("remaining"), F.avg(F.when(is_("completed"), F.col("seconds"))).alias("m"))
-    return rows.select("task_type", "remaining", F.round(F.col("remaining") * F.col("m"), 3).alias("eta"))
+    """The estimate of each kind by its own completions."""
+    rows = kinds(spark, sf_dir)
+    found = estimates(rows.groupBy("kind").agg(left_to_do()), throughput(rows).filter("g_kind = 0"), ["kind"], rows.agg(F.max("updated_at").alias("now")))
+    return found.select("kind", "remaining", F.coalesce("done", F.lit(0)).alias("done"), "eta")
+
+
+@query(KINDS + DONE + f" SELECT remaining, done, {ETA} AS eta FROM (SELECT remaining, coalesce(done, 0) AS done, mean_seconds, {ELAPSED} FROM (SELECT {LEFT} AS remaining FROM kinds) LEFT JOIN done ON g_kind = 1)")
+def queue_eta(spark, sf_dir):
+    """Seconds until the queue is empty; a running task counts by what it has left."""
+    rows = kinds(spark, sf_dir)
+    found = estimates(rows.agg(left_to_do()), throughput(rows).filter("g_kind = 1"), [], rows.agg(F.max("updated_at").alias("now")))
+    return found.select("remaining", F.coalesce("done", F.lit(0)).alias("done"), "eta")
 
 
 @query(T + "SELECT coalesce(paper_id, 'total') AS job, count(*) AS started, count(*) FILTER (WHERE status = 'completed') AS done, min(created_at) AS first_at, max(updated_at) AS last_at FROM tasks GROUP BY ROLLUP (paper_id)")
@@ -127,12 +198,10 @@ def completed_prefix(spark, sf_dir):
     return rows.withColumn("k", F.row_number().over(Window.partitionBy("paper").orderBy("l_linenumber"))).filter("l_linenumber = k").groupBy("paper").agg(F.count("*").alias("prefix"))
 
 
-@query("SELECT event_id, (props::JSON ->> '$.k')::INT AS k, CASE WHEN (props::JSON ->> '$.k')::INT % 4 = 0 THEN 'parse' WHEN (props::JSON ->> '$.k')::INT % 4 = 1 THEN 'reindex' WHEN event_type = 'view' THEN 'summarize' ELSE 'index' END AS kind FROM events")
+@query(KINDS + "SELECT id, work_type, payload, kind FROM kinds")
 def task_kind(spark, sf_dir):
     """The kind of a task from its type and the flags of its payload."""
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.when(k % 4 == 0, "parse").when(k % 4 == 1, "reindex").when(F.col("event_type") == "view", "summarize").otherwise("index")
-    return read(spark, sf_dir, "events").select("event_id", k.alias("k"), kind.alias("kind"))
+    return kinds(spark, sf_dir).select("id", "work_type", "payload", "kind")
 
 
 @query(T + "SELECT id, greatest(0, epoch(updated_at) - epoch(created_at))::DOUBLE AS elapsed FROM tasks")

@@ -219,14 +219,6 @@ def merge_averages(spark, sf_dir):
     return part.groupBy("task_type", "day").agg(F.count("*").alias("n"), F.round(F.sum(F.col("m") * F.col("n0")) / F.sum("n0"), 6).alias("mean"))
 
 
-@query(f"WITH {TASKS} SELECT round((queued + half) * mean_seconds / 2, 3) AS eta, queued + half AS remaining FROM (SELECT count(*) FILTER (WHERE status = 'queued') AS queued, sum(CASE WHEN status = 'running' THEN 1 - seconds / 600 ELSE 0 END) AS half, avg(CASE WHEN status = 'completed' THEN seconds END) AS mean_seconds FROM tasks)")
-def queue_eta(spark, sf_dir):
-    """Seconds until the queue is empty with two workers; a running task counts by what it has left."""
-    s = F.col("status")
-    rows = tasks(spark, sf_dir).agg(F.count_if(s == "queued").alias("queued"), F.sum(F.when(s == "running", 1 - F.col("seconds") / 600).otherwise(0.0)).alias("half"), F.avg(F.when(s == "completed", F.col("seconds"))).alias("m"))
-    return rows.select(F.round((F.col("queued") + F.col("half")) * F.col("m") / 2, 3).alias("eta"), (F.col("queued") + F.col("half")).alias("remaining"))
-
-
 @query(f"WITH {TASKS} SELECT paper_id, status, max_by(id, (updated_at, id)) AS id FROM tasks GROUP BY ALL")
 def latest_summary(spark, sf_dir):
     return tasks(spark, sf_dir).groupBy("paper_id", "status").agg(F.max_by("id", F.struct("updated_at", "id")).alias("id"))

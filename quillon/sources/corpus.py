@@ -12,6 +12,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Payloads of tasks; the empty one stands for none.
+PAYLOADS = ('{"parse_only": true, "reindex_only": true}', '{"parse_only": false, "reindex_only": 1}', "no object", '{"download_only": true, "parse_only": true}', "", '{"parse_only": null}')
+
+
 def one_of(number: F.Column, *values: str) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (number % len(values)).cast("int") + 1)
 
@@ -33,12 +37,19 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each event: a task of a paper with a status and two times."""
+    """One row for each event: a task of a paper with a status, a payload and its times.
+
+    Types and payloads are derived so that each branch of the rule of kinds occurs: flags that are
+    false, two flags at once, no object, no payload, an empty type.
+    """
     e = F.col("event_id")
+    start = F.when(e % 6 == 3, F.col("ts") + F.make_dt_interval(mins=F.lit(20))).when(e % 3 == 1, F.col("ts") + F.make_dt_interval(secs=F.lit(30).cast("decimal(18,6)")))
     return read(spark, sf_dir, "events").select(
         e.alias("id"), F.col("event_type").alias("task_type"), F.col("user_id").cast("string").alias("paper_id"),
         one_of(e, "queued", "running", "completed", "failed", "cancelled").alias("status"), F.col("ts").alias("created_at"),
         (F.col("ts") + F.make_dt_interval(secs=(e % 600).cast("decimal(18,6)"))).alias("updated_at"), (e % 600).cast("double").alias("seconds"), "value", "props",
+        F.when(F.col("event_type") == "view", "summarize").when(F.col("event_type") == "error", "").when(F.col("event_type") == "click", " index ").otherwise("index").alias("work_type"),
+        one_of(e, *PAYLOADS).alias("payload"), start.alias("started_at"),
     )
 
 
@@ -48,8 +59,10 @@ PAPERS = f"""papers AS (SELECT doc_id::VARCHAR AS id, doc_id, 'Paper ' || doc_id
   (['pending', 'failed', 'parsed', 'parsed', 'parsed'])[doc_id % 5 + 1] AS parse_status, (['pending', 'failed', 'indexed', 'indexed'])[doc_id % 4 + 1] AS index_status,
   quality::DOUBLE * 0.5::DOUBLE + (doc_id % 5)::DOUBLE * 0.1::DOUBLE AS score, TIMESTAMP '{EPOCH}' + doc_id::INT * INTERVAL 1 MINUTE AS created_at, text
   FROM documents LEFT JOIN labels USING (doc_id))"""
-TASKS = """tasks AS (SELECT event_id AS id, event_type AS task_type, user_id::VARCHAR AS paper_id, (['queued', 'running', 'completed', 'failed', 'cancelled'])[event_id % 5 + 1] AS status,
-  ts AS created_at, ts + (event_id % 600)::INT * INTERVAL 1 SECOND AS updated_at, (event_id % 600)::DOUBLE AS seconds, value, props FROM events)"""
+TASKS = f"""tasks AS (SELECT event_id AS id, event_type AS task_type, user_id::VARCHAR AS paper_id, (['queued', 'running', 'completed', 'failed', 'cancelled'])[event_id % 5 + 1] AS status,
+  ts AS created_at, ts + (event_id % 600)::INT * INTERVAL 1 SECOND AS updated_at, (event_id % 600)::DOUBLE AS seconds, value, props,
+  CASE event_type WHEN 'view' THEN 'summarize' WHEN 'error' THEN '' WHEN 'click' THEN ' index ' ELSE 'index' END AS work_type, ({list(PAYLOADS)})[event_id % 6 + 1] AS payload,
+  CASE WHEN event_id % 6 = 3 THEN ts + INTERVAL 20 MINUTE WHEN event_id % 3 = 1 THEN ts + INTERVAL 30 SECOND END AS started_at FROM events)"""
 CHUNKS = r"""chunks AS (SELECT *, substr(sha256(paper_id || '|全文|' || chunk_index), 1, 32) AS chunk_id,
     substr(sha256(regexp_replace(regexp_replace(lower(body), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')), 1, 32) AS content_hash FROM (
   SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY k) - 1 AS chunk_index, body FROM (

@@ -40,3 +40,33 @@ def test_text_functions(spark):
     assert (row["h"], row["p"], row["r"]) == ("internal", "a\nb", "body")
     assert row["c"] == [2, 11] and row["k"] == 0.5 and row["z"] and row["m"] == "$x$ $$y$$"
     assert row["t"] == ["heat", "kernel", "能量"]
+
+
+def test_cleaning_and_kinds(spark):
+    lines = ["Journal of Heat"] + ["a  b"] * 4 + [f"line number {i}" for i in range(8)]
+    text = "\n".join([*lines[:5], " Journal  of Heat ", *lines[5:9], "Journal of Heat", *lines[9:], "Journal of\tHeat", ""])
+    few = "\n".join(["Journal of Heat"] * 11)
+    rows = [(text,), (few,), (few + "\n",), (few + "\n\n\n",), ("",), ("  ",), (None,), ("x\n## Works  Cited\ny",), ("x\nReferences to y",)]
+    found = spark.createDataFrame(rows, "t string").select(T.drop_repeated_lines(F.col("t")).alias("d"), T.clean_markdown(F.col("t")).alias("c"), T.clean_markdown(F.col("t"), False).alias("k")).collect()
+    assert found[0]["d"] == "\n".join(lines[1:]) and found[0]["c"] == found[0]["d"] + "\n"  # short lines stay however often they occur
+    assert [r["d"] for r in found[1:4]] == [few, few + "\n", "\n"]  # eleven lines are too few to tell, thirteen are not
+    assert [r["c"] for r in found[4:7]] == ["", "  ", None]
+    assert [(r["c"], r["k"]) for r in found[7:]] == [("x\n## Works  Cited\ny\n", "x\n"), ("x\nReferences to y\n",) * 2]
+    tasks = [(None, None), ("", "{}"), ("  ", None), (" index ", '{"parse_only": true, "reindex_only": true}'), ("index", '{"reindex_only": 1, "parse_only": false}'), ("index", "[1]"), ("index", "{bad"), ("summarize", '{"parse_only": true}'), ("index", '{"download_only": true, "parse_only": true}')]
+    kinds = spark.createDataFrame(tasks, "t string, p string").select(T.task_kind(F.col("t"), F.col("p")).alias("k")).collect()
+    assert [r["k"] for r in kinds] == ["index", "index", "", "parse", "reindex", "index", "index", "summarize", "download"]
+
+
+def test_estimates_need_work_and_completions(spark):
+    from datetime import datetime, timedelta
+
+    from quillon.plans.operations import estimates, throughput
+
+    t = datetime(2024, 1, 1)
+    schema = "kind string, status string, created_at timestamp_ntz, updated_at timestamp_ntz, took double"
+    done = throughput(spark.createDataFrame([("a", "queued", t, t, 0.0), ("a", "completed", t, t + timedelta(seconds=9), 8.0), ("b", "completed", t, t, 0.0), ("c", "completed", t - timedelta(1), t - timedelta(1), 7.0)], schema))
+    assert {(r["kind"], r["g_kind"], r["done"], r["mean_seconds"]) for r in done.collect()} == {(None, 1, 2, 4.0), ("a", 0, 1, 8.0), ("b", 0, 1, 0.0)}
+    left = spark.createDataFrame([("a", 3.0), ("b", 3.0), ("c", 1.0), (None, 0.0)], "kind string, remaining double")
+    eta = lambda s: {r["kind"]: r["eta"] for r in estimates(left, done.filter("g_kind = 0"), ["kind"], spark.createDataFrame([(t + timedelta(seconds=s),)], "now timestamp_ntz")).collect()}
+    assert eta(10) == {"a": 12.0, "b": 30.0, "c": None, None: None} and eta(4)["b"] is None
+    assert throughput(spark.createDataFrame([("a", "completed", t, t, 1.0)], schema)).count() == 0
