@@ -10,9 +10,11 @@ from quillon.functions import text as T
 K1, B, LEAST_IDF, FUSION = 1.2, 0.75, 1e-6, 60
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """df with a broadcast hint up to so many rows; beyond it joins shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = 200_000, most: int = 32 << 20) -> DataFrame:
+    """df with a broadcast hint up to so many rows and about so many bytes, measured; beyond either joins shuffle."""
+    found = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*[df[f"`{c}`"] for c in df.columns]))).cast("bigint").alias("b"))
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and size <= most else df
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -45,17 +47,49 @@ def ranked(rows: DataFrame, score: Column, k: int | None = None, tie: str = "chu
     return out.filter(F.col("rank") <= k) if k else out
 
 
-def dense(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def dense(queries: DataFrame, vectors: DataFrame, block: int = 256) -> DataFrame:
     """(query_id, chunk_id, paper_id, score): cosine of each query vector with each vector.
 
-    The stated query set, at most a few thousand rows, meets all vectors in blocks: it travels as one
-    array, which each task reads once for every vector.
+    The stated query set meets all vectors in blocks of about `block` queries. A rank filter on the
+    result keeps the best of each query in every task before anything is shuffled.
     """
-    block = queries.agg(F.collect_list(F.struct("query_id", F.col("vector").alias("q"))).alias("block"))
-    each = vectors.join(F.broadcast(block), F.lit(True)).select("chunk_id", "paper_id", "vector", F.explode("block").alias("b"))
+    n = max(1, -(-queries.count() // block))
+    blocks = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(n)).alias("no")).agg(F.collect_list(F.struct("query_id", F.col("vector").alias("q"))).alias("block"))
+    dealt = vectors.select("chunk_id", "paper_id", "vector").withColumn("no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))))
+    each = dealt.join(broadcast_if_small(blocks), "no").select("chunk_id", "paper_id", "vector", F.explode("block").alias("b"))
     return each.select("b.query_id", "chunk_id", "paper_id", F.round(T.cosine(F.col("b.q"), F.col("vector")), 6).alias("score"))
 
 
+#: Words of an item by which texts that may hold it are found.
+ANCHOR = 4
+
+
+def holding(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, paper_id) for each text of docs (paper_id, text) that contains the text of an item (query_id, item).
+
+    The first and last word of an item may be parts of words of a text, those between are whole words
+    there. So texts are found by a join on the longest run of ANCHOR such words (of all, if there are
+    fewer) and then read. Only items of fewer than three words are read against every text, in blocks.
+    Nulls hold nothing and are held by nothing.
+    """
+    split = items.filter("item is not null").select("query_id", "item", F.split("item", "\\s+").alias("w")).withColumn("inner", F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0))))
+    split = split.withColumn("width", F.least(F.size("inner"), F.lit(ANCHOR)))
+    run = lambda i: F.slice("inner", i, F.col("width"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("inner") - F.col("width") + 1), lambda i: F.struct(F.length(F.array_join(run(i), "")).alias("n"), F.xxhash64(run(i)).alias("gram")))
+    anchors = split.filter("width > 0").select("query_id", "width", F.array_max(runs)["gram"].alias("gram"))
+    widths = [r["width"] for r in anchors.select("width").distinct().orderBy("width").collect()]  # at most ANCHOR values
+    words = docs.filter("text is not null").select("paper_id", F.split("text", "\\s+").alias("w"))
+    grams = lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.struct(F.lit(k).alias("width"), F.xxhash64(F.slice("w", i, k)).alias("gram"))))
+    asked = broadcast_if_small(anchors)
+    found = docs.sparkSession.createDataFrame([], anchors.select("query_id").schema).crossJoin(docs.select("paper_id").limit(0))
+    for k in widths:
+        each = words.select("paper_id", F.explode_outer(F.array_distinct(grams(k))).alias("g")).select("paper_id", "g.*")
+        found = found.unionByName(each.join(asked, ["width", "gram"]).select("query_id", "paper_id"))
+    pairs = found.distinct().join(docs, "paper_id").join(broadcast_if_small(items), "query_id").filter(F.contains("text", "item"))
+    short = split.filter("width <= 0").select("query_id", F.array("item").alias("tokens"))
+    return pairs.select("query_id", "paper_id").unionByName(containing(short, docs.filter("text is not null"), F.col("text"), ["paper_id"])).distinct()
+
+
 def containing(queries: DataFrame, rows: DataFrame, text: Column, keep: list[str], block: int = 512) -> DataFrame:
     """(query_id, keep): rows whose text contains any of a query's tokens (query_id, tokens).
 

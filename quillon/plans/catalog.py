@@ -55,9 +55,13 @@ def live_chunks(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", "paper_id").join(live, "paper_id").select("chunk_id", "paper_id", "title", "year")
 
 
-@query(P + "SELECT count(*) FILTER (WHERE NOT deleted) AS papers, count(*) FILTER (WHERE NOT deleted AND index_status = 'indexed') AS indexed FROM papers")
+@query(f"WITH {PAPERS}, {CHUNKS} SELECT count(*) FILTER (WHERE NOT deleted) AS papers, count(*) FILTER (WHERE NOT deleted AND index_status = 'indexed') AS indexed, (SELECT count(*) FROM chunks) AS chunks FROM papers")
 def library_stats(spark, sf_dir):
-    return papers(spark, sf_dir).agg(F.count_if(~F.col("deleted")).alias("papers"), F.count_if(~F.col("deleted") & (F.col("index_status") == "indexed")).alias("indexed"))
+    from quillon.plans.corpus import chunks
+
+    n = chunks(spark, sf_dir).agg(F.count("*").alias("chunks"))
+    rows = papers(spark, sf_dir).agg(F.count_if(~F.col("deleted")).alias("papers"), F.count_if(~F.col("deleted") & (F.col("index_status") == "indexed")).alias("indexed"))
+    return rows.join(F.broadcast(n))  # one row each
 
 
 @query(P + "SELECT count(*) AS total, count(*) FILTER (WHERE score IS NULL) AS unscored, count(*) FILTER (WHERE score < 0.65) AS low, count(*) FILTER (WHERE score >= 0.85) AS high FROM papers WHERE NOT deleted")
@@ -66,11 +70,25 @@ def quality_summary(spark, sf_dir):
     return papers(spark, sf_dir).filter(~F.col("deleted")).agg(F.count("*").alias("total"), F.count_if(s.isNull()).alias("unscored"), F.count_if(s < 0.65).alias("low"), F.count_if(s >= 0.85).alias("high"))
 
 
-@query(P + "SELECT count(*) FILTER (WHERE index_status <> 'indexed') AS index_missing, count(*) FILTER (WHERE parse_status = 'pending') AS parse_missing, count(*) FILTER (WHERE parse_status = 'failed') AS parse_failed, count(*) FILTER (WHERE index_status = 'indexed' AND toxic IS NULL) AS summarize_missing FROM (SELECT papers.*, toxic FROM papers LEFT JOIN labels USING (doc_id)) WHERE NOT deleted")
-def work_summary(spark, sf_dir):
-    rows = papers(spark, sf_dir).join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left").filter(~F.col("deleted"))
-    i, p = F.col("index_status"), F.col("parse_status")
-    return rows.agg(F.count_if(i != "indexed").alias("index_missing"), F.count_if(p == "pending").alias("parse_missing"), F.count_if(p == "failed").alias("parse_failed"), F.count_if((i == "indexed") & F.col("toxic").isNull()).alias("summarize_missing"))
+WORK = f"""WITH {PAPERS}, work AS (SELECT papers.*, CASE WHEN index_status = 'pending' AND doc_id % 3 = 0 THEN 'indexing' ELSE index_status END AS i, toxic IS NOT NULL AS summarized, CASE WHEN doc_id % 6 > 0 THEN score END AS s,
+  doc_id IN (SELECT vec_id FROM embeddings) AS embedded, doc_id IN (SELECT vec_id FROM embeddings WHERE label % 3 <> 0) AS stored FROM papers LEFT JOIN labels USING (doc_id) WHERE NOT deleted) """
+
+
+@query(WORK + """SELECT count(*) FILTER (WHERE i IN ('pending', 'failed')) AS index_missing, count(*) FILTER (WHERE i IN ('pending', 'failed', 'indexing')) AS index_missing_including_indexing, count(*) FILTER (WHERE parse_status IN ('pending', 'failed')) AS parse_missing,
+  count(*) FILTER (WHERE i = 'indexed' AND NOT summarized) AS summarize_missing, count(*) FILTER (WHERE s IS NULL AND length(trim(coalesce(text, ''))) > 0) AS unscored_with_text, count(*) FILTER (WHERE embedded AND NOT stored) AS vectors_pending,
+  count(*) FILTER (WHERE embedded) AS with_vectors, (SELECT count(DISTINCT vec_id) FROM embeddings WHERE label % 3 <> 0) AS stored_vectors, true AS vectors_enabled FROM work""")
+def work_summary(spark, sf_dir, vectors_enabled=True):
+    """All backlogs in one pass over papers joined with their summaries and vectors, and whether vectors are in use."""
+    stored = read(spark, sf_dir, "embeddings").groupBy(F.col("vec_id").alias("doc_id")).agg(F.bool_or(F.col("label") % 3 != 0).alias("stored"))
+    rows = papers(spark, sf_dir).filter(~F.col("deleted")).join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left").join(stored, "doc_id", "left")
+    i = F.when((F.col("index_status") == "pending") & (F.col("doc_id") % 3 == 0), "indexing").otherwise(F.col("index_status"))
+    score, held = F.when(F.col("doc_id") % 6 > 0, F.col("score")), F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
+    of = {
+        "index_missing": i.isin("pending", "failed"), "index_missing_including_indexing": i.isin("pending", "failed", "indexing"), "parse_missing": F.col("parse_status").isin("pending", "failed"),
+        "summarize_missing": (i == "indexed") & F.col("toxic").isNull(), "unscored_with_text": score.isNull() & held, "vectors_pending": ~F.col("stored"), "with_vectors": F.col("stored").isNotNull(),
+    }
+    n = stored.agg(F.count_if("stored").alias("stored_vectors") if vectors_enabled else F.lit(0).cast("bigint").alias("stored_vectors"))
+    return rows.agg(*[F.count_if(c).alias(name) for name, c in of.items()]).join(F.broadcast(n)).withColumn("vectors_enabled", F.lit(vectors_enabled))
 
 
 @query(P + "SELECT id FROM papers WHERE index_status = 'indexed' AND NOT deleted AND doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -78,10 +96,13 @@ def summaries_missing(spark, sf_dir):
     return papers(spark, sf_dir).filter("index_status = 'indexed' and not deleted").join(read(spark, sf_dir, "labels"), "doc_id", "left_anti").select("id")
 
 
-@query(P + "SELECT count(*) FILTER (WHERE index_status = 'indexed') || ':' || count(*) || ':' || strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS fingerprint FROM papers WHERE NOT deleted")
+@query(f"WITH {PAPERS}, {CHUNKS} SELECT count(*) FILTER (WHERE index_status = 'indexed') || ':' || (SELECT count(*) FROM chunks WHERE paper_id IN (SELECT id FROM papers WHERE NOT deleted)) || ':' || coalesce(strftime(max(created_at), '%Y-%m-%d %H:%M:%S'), '') AS fingerprint FROM papers WHERE NOT deleted")
 def corpus_fingerprint(spark, sf_dir):
+    """Indexed papers, chunks of papers and the time of the last change, all of papers that are not deleted."""
     rows = papers(spark, sf_dir).filter(~F.col("deleted"))
-    return rows.agg(F.concat_ws(":", F.count_if(F.col("index_status") == "indexed").cast("string"), F.count("*").cast("string"), F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss")).alias("fingerprint"))
+    n = live_chunks(spark, sf_dir).agg(F.count("*").alias("n"))
+    found = rows.agg(F.count_if(F.col("index_status") == "indexed").cast("string").alias("i"), F.coalesce(F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss"), F.lit("")).alias("at"))
+    return found.join(F.broadcast(n)).select(F.concat_ws(":", "i", F.col("n").cast("string"), "at").alias("fingerprint"))
 
 
 @query(P + "SELECT id, score, row_number() OVER (ORDER BY score DESC NULLS LAST, id) AS place FROM papers WHERE NOT deleted ORDER BY score DESC NULLS LAST, id LIMIT 20 OFFSET 10")
@@ -180,8 +201,9 @@ def cache_key(spark, sf_dir):
     return papers(spark, sf_dir).select(F.substring(F.sha2(F.concat_ws("|", F.lower("title"), "lang", "year"), 256), 1, 32).alias("cache_key"), "id")
 
 
-@query(P + "SELECT source, lang, string_agg('- ' || title, chr(10) ORDER BY doc_id) AS markdown FROM papers WHERE NOT deleted GROUP BY ALL")
-def export_review_md(spark, sf_dir):
-    """One list of titles in order for each source and language."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "title"))), lambda x: F.concat(F.lit("- "), x["title"]))
-    return papers(spark, sf_dir).filter(~F.col("deleted")).groupBy("source", "lang").agg(F.array_join(lines, "\n").alias("markdown"))
+@query(P + "SELECT source, lang, doc_id // 1000 AS part, string_agg('- ' || title, chr(10) ORDER BY doc_id) AS markdown FROM papers WHERE NOT deleted GROUP BY ALL")
+def export_review_md(spark, sf_dir, papers_of_part=1000):
+    """Lists of papers in Markdown, in parts of ranges of ids, so that a large source is no large row."""
+    lines = F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.lit("- "), "title").alias("line"))))
+    rows = papers(spark, sf_dir).filter(~F.col("deleted")).groupBy("source", "lang", F.floor(F.col("doc_id") / papers_of_part).alias("part"))
+    return rows.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("markdown"))

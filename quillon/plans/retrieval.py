@@ -129,7 +129,7 @@ def retrieval_eval(spark, sf_dir):
     """Whether a paper that holds the item's text is among its candidates."""
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), "text")
-    held = docs.join(search.broadcast_if_small(items), F.contains("text", "item")).select("query_id", "paper_id").distinct()
+    held = search.holding(items, docs)
     found = lexical(spark, sf_dir).select("query_id", "paper_id").distinct().withColumn("hit", F.lit(True))
     return held.join(found, ["query_id", "paper_id"], "left").groupBy("query_id").agg(F.count_distinct("paper_id").alias("n_expected"), F.coalesce(F.bool_or("hit"), F.lit(False)).alias("id_hit"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,3 +82,17 @@ def with_latest_score(papers: DataFrame, reports: DataFrame) -> DataFrame:
     newest = reports.groupBy("paper_id").agg(F.max_by("score", "created_at").alias("new_score"))
     rows = papers.join(newest.withColumnRenamed("paper_id", "id"), "id", "left")
     return rows.withColumn("score", F.coalesce("new_score", "score")).drop("new_score")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share.
+
+    A local session without one gets a folder of its own; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if folder is None and sc.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if folder is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder

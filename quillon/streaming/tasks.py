@@ -30,14 +30,24 @@ def stream(spark, sf_dir: str) -> DataFrame:
 
 
 def drained(df: DataFrame, mode: str) -> DataFrame:
-    """Runs the stream over what is there and returns its result table."""
-    name = f"q_{uuid.uuid4().hex}"
-    run = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs the stream over what is there and returns its result table.
+
+    State, progress and rows lie in a folder that driver and executors share; a batch that runs again
+    replaces its own rows. In complete mode the last batch replaces all.
+    """
+    spark = df.sparkSession
+    folder = f"{sinks.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows/none")
+
+    def write(rows: DataFrame, no: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/{'all' if mode == 'complete' else no}")
+
+    run = df.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").outputMode(mode).trigger(availableNow=True).start()
     try:
         run.awaitTermination()
     finally:
         run.stop()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
 
 
 @query("SELECT event_type, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1")

@@ -70,3 +70,24 @@ def test_estimates_need_work_and_completions(spark):
     eta = lambda s: {r["kind"]: r["eta"] for r in estimates(left, done.filter("g_kind = 0"), ["kind"], spark.createDataFrame([(t + timedelta(seconds=s),)], "now timestamp_ntz")).collect()}
     assert eta(10) == {"a": 12.0, "b": 30.0, "c": None, None: None} and eta(4)["b"] is None
     assert throughput(spark.createDataFrame([("a", "completed", t, t, 1.0)], schema)).count() == 0
+
+
+def test_holding_matches_every_text(spark):
+    from quillon.operators import search
+
+    items = ["one two three four five six", "a b c d", "wo b c", "two three", "x", " lead space word", "p q r s t u", "tail ", None, "", "line\nbreak here now"]
+    texts = ["zero one two three four five sixty", "aa b c dd", "two b cc", "twotwo three", "p q r s t", "a lead space words", "tail x", None, "", "line break here now", "line\nbreak here now", "p q r s t u p q r s t u"]
+    asked = spark.createDataFrame([*enumerate(items)], "query_id bigint, item string")
+    docs = spark.createDataFrame([*enumerate(texts)], "paper_id bigint, text string")
+    found = sorted(tuple(r) for r in search.holding(asked, docs).select("query_id", "paper_id").collect())
+    assert found == [(i, d) for i, item in enumerate(items) for d, text in enumerate(texts) if item is not None and text is not None and item in text]
+    assert search.holding(asked.limit(0), docs).count() == 0 and search.holding(asked, docs.limit(0)).count() == 0
+
+
+def test_dense_in_blocks(spark):
+    from quillon.operators import search
+
+    ask = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "query_id bigint, vector array<double>")
+    rows = spark.createDataFrame([(str(i), "p", [1.0, float(i)]) for i in range(5)], "chunk_id string, paper_id string, vector array<double>")
+    one, many = (sorted(map(tuple, search.dense(ask, rows, n).collect())) for n in (100, 2))
+    assert one == many and len(one) == 35 and search.dense(ask.limit(0), rows).count() == 0
