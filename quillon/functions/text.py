@@ -168,7 +168,8 @@ def index_tokens(text: Column) -> Column:
 
 
 def citation_refs(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit("\\[([0-9]{1,6})\\]"), F.lit(1)), lambda x: x.cast("int"))
+    """All reference numbers of a text, of up to 18 digits."""
+    return F.transform(F.regexp_extract_all(text, F.lit("\\[([0-9]{1,18})\\]"), F.lit(1)), lambda x: x.cast("bigint"))
 
 
 def claim_words(text: Column) -> Column:
@@ -281,3 +282,85 @@ def task_kind(kind: Column, payload: Column) -> Column:
     kind = F.trim(F.coalesce(F.when(kind != "", kind), F.lit("index")))
     flag = lambda name: ~F.coalesce(F.get_json_object(payload, f"$.{name}"), F.lit("")).isin("", "false", "0", "0.0", "[]", "{}")
     return F.when(kind != "index", kind).when(flag("download_only"), "download").when(flag("parse_only"), "parse").when(flag("reindex_only"), "reindex").otherwise("index")
+
+
+def storage_key(path: Column, root: str) -> Column:
+    """The first folder of a path under a root; null outside it, for a file in the root itself, and for a hidden folder."""
+    parts = F.filter(F.split(F.substr(path, F.lit(len(root) + 2)), "/"), lambda x: x != "")
+    return F.when(path.startswith(root + "/") & (F.size(parts) >= 2) & ~F.get(parts, F.lit(0)).startswith("."), F.get(parts, F.lit(0)))
+
+
+def quality_within(score: Column, least: float | None = None, most: float | None = None, missing: bool = False) -> Column:
+    """Whether a score is within bounds, which hold for given scores only; `missing` asks for absent ones instead."""
+    if missing:
+        return score.isNull()
+    return (F.lit(True) if least is None else F.coalesce(score >= least, F.lit(False))) & (F.lit(True) if most is None else F.coalesce(score <= most, F.lit(False)))
+
+
+def within_scope(ids=(), tags=(), collections=(), year_from: int | None = None, year_to: int | None = None) -> Column:
+    """Whether a paper (id, year, arrays `tags` and `collections`) is within a scope; what a scope leaves out restricts nothing."""
+    any_of = lambda c, values: F.arrays_overlap(F.col(c), F.array(*map(F.lit, values)))
+    parts = [F.col("id").isin(*ids)] if ids else []
+    parts += [any_of(c, values) for c, values in (("tags", tags), ("collections", collections)) if values]
+    parts += [F.col("year") >= year_from] if year_from is not None else []
+    parts += [F.col("year") <= year_to] if year_to is not None else []
+    out = F.lit(True)
+    for part in parts:
+        out = out & F.coalesce(part, F.lit(False))
+    return out
+
+
+def creator_name(first: Column, last: Column, single: Column) -> Column:
+    """A creator as "last, first"; as one name if only one is given or the name is a single field."""
+    first, last = F.trim(F.coalesce(first, F.lit(""))), F.trim(F.coalesce(last, F.lit("")))
+    return F.when((last != "") & (first != "") & ~single, F.concat_ws(", ", last, first)).when(last != "", last).otherwise(first)
+
+
+def title_guess(markdown: Column, stem: Column, title: Column) -> Column:
+    """The heading on the first line of a text, else the name of its file; the old title where that is blank."""
+    line = F.regexp_extract(F.coalesce(markdown, F.lit("")), "^([^\\r\\n]*)", 1)
+    guess = F.when(line.startswith("# "), F.trim(F.substr(line, F.lit(3)))).otherwise(stem)
+    return F.coalesce(F.nullif(guess, F.lit("")), title)
+
+
+def year_in(*fields: Column) -> Column:
+    """The first year from 1900 to 2099 that stands alone in the first field that has one."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), "\\b((?:19|20)[0-9]{2})\\b", 1), F.lit("")) for c in fields]).cast("int")
+
+
+def task_intent(payload: Column) -> Column:
+    """What a task of indexing was asked for: its four flags, joined."""
+    flag = lambda name: ~F.coalesce(F.get_json_object(payload, f"$.{name}"), F.lit("")).isin("", "false", "0", "0.0", "[]", "{}")
+    return F.concat_ws(",", *[F.when(flag(n), n) for n in ("force", "reindex_only", "parse_only", "download_only")])
+
+
+def seconds_between(start: Column, end: Column) -> Column:
+    """Seconds from one time to a later one, both as ISO text; 0 if one is missing or no time, or if the end is earlier."""
+    micros = lambda c: F.unix_micros(F.try_to_timestamp(c))
+    return F.coalesce(F.greatest(F.lit(0.0), (micros(end) - micros(start)) / 1e6), F.lit(0.0))
+
+
+def clear_translation(payload: Column) -> Column:
+    """A JSON answer without its translation; null where there is none, as then nothing changes."""
+    fields = F.from_json(payload, "map<string,string>")
+    kept = F.map_filter(fields, lambda k, _: ~k.isin("cached", "answer_other", "answer_other_lang"))
+    return F.when(F.coalesce(F.try_element_at(fields, F.lit("answer_other")), F.lit("")) != "", F.to_json(kept))
+
+
+#: Fixed value: what a text says in whose first 500 characters nothing could be extracted.
+EXTRACTION_FAILED = "提取失败"
+
+
+def parse_outcome(text: Column, mode: Column, error: Column, code: Column, timeout: Column, file_error: Column) -> tuple[Column, Column]:
+    """(status, message) of a parse: failed without 80 characters of text or with the mark of failure, else parsed with distinct warnings in order."""
+    body, error = strip(F.coalesce(text, F.lit(""))), F.trim(F.coalesce(error, F.lit("")))
+    failed = (F.length(body) < 80) | F.contains(F.substring(body, 1, 500), F.lit(EXTRACTION_FAILED))
+    detail = F.coalesce(F.nullif(F.substring(error, 1, 500), F.lit("")), F.nullif(mode, F.lit("")))
+    lost = F.when(mode == "invalid", F.coalesce(F.nullif(file_error, F.lit("")), detail, F.lit("invalid file"))).otherwise(F.concat(F.lit("no usable text"), F.coalesce(F.concat(F.lit(": "), detail), F.lit(""))))
+    plain, back = F.coalesce(mode.startswith("plain"), F.lit(False)), F.coalesce(F.contains(mode, F.lit("fallback")), F.lit(False))
+    warnings = F.array_distinct(F.array_compact(F.array(
+        F.when(plain, "plain text only").when(back, F.concat(F.lit("incomplete: "), mode)), F.when((error != "") & ~back & ~plain, F.concat(F.lit("warning: "), F.substring(error, 1, 400))),
+        F.when(code != 0, F.concat(F.lit("exit code "), code)), F.when(timeout, "timeout"),
+    )))
+    message = F.when(failed, F.substring(lost, 1, 2000)).when(F.size(warnings) > 0, F.concat(F.lit("notes: "), F.substring(F.array_join(warnings, "; "), 1, 2000)))
+    return F.when(failed, "failed").otherwise("parsed"), message

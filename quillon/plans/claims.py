@@ -78,7 +78,7 @@ def split_claims(spark, sf_dir):
     return claims(answers(spark, sf_dir).filter("answer is not null"))
 
 
-CHECKED = rf"""{CLAIMS}, {CONTEXTS}, refs AS (SELECT *, regexp_extract_all(claim, '\[([0-9]{{1,6}})\]', 1) AS r FROM claims),
+CHECKED = rf"""{CLAIMS}, {CONTEXTS}, refs AS (SELECT *, regexp_extract_all(claim, '\[([0-9]{{1,18}})\]', 1) AS r FROM claims),
 each AS (SELECT conv_id, turn, claim_no, claim, unnest(r)::BIGINT AS ref, unnest(range(len(r))) AS i FROM refs),
 met AS (SELECT e.*, c.evidence, list_distinct(list_filter(regexp_extract_all(lower(claim), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) >= 2 AND w NOT IN ({CLAIM_STOP}))) AS w FROM each e LEFT JOIN contexts c USING (conv_id, ref)),
 scored AS (SELECT *, len(list_filter(w, lambda x: contains(lower(evidence), x))) / len(w) AS s FROM met WHERE evidence IS NOT NULL AND len(w) > 0),
@@ -111,7 +111,7 @@ def normalize_locks(spark, sf_dir):
     return normalized_locks(rows.select(*KEY, locked.alias("answer")), contexts(spark, sf_dir))
 
 
-@query(rf"""WITH {ANSWERS}, {CONTEXTS}, n AS (SELECT conv_id, count(*) AS n FROM contexts GROUP BY 1), r AS (SELECT conv_id, turn, answer, coalesce(n, 0) AS n, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\[([0-9]{{1,6}})\]', 1), lambda x: x::INT))) AS refs FROM a LEFT JOIN n USING (conv_id) WHERE answer IS NOT NULL),
+@query(rf"""WITH {ANSWERS}, {CONTEXTS}, n AS (SELECT conv_id, count(*) AS n FROM contexts GROUP BY 1), r AS (SELECT conv_id, turn, answer, coalesce(n, 0) AS n, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\[([0-9]{{1,18}})\]', 1), lambda x: x::BIGINT))) AS refs FROM a LEFT JOIN n USING (conv_id) WHERE answer IS NOT NULL),
 b AS (SELECT *, list_filter(refs, lambda x: x < 1 OR x > n) AS bad FROM r) SELECT conv_id, turn, array_to_string(list_filter(refs, lambda x: x >= 1 AND x <= n), ',') AS valid, array_to_string(bad, ',') AS invalid,
 list_reduce(list_prepend(answer, list_transform(bad, lambda x: '[' || x || ']')), lambda t, m: replace(t, m, '')) AS answer FROM b""")
 def strip_invalid_refs(spark, sf_dir):

@@ -90,10 +90,13 @@ def pending_range(spark, sf_dir):
     return tasks(spark, sf_dir).filter(F.col("status").isin(*ACTIVE)).agg(F.min("created_at").alias("low"), F.max("created_at").alias("high"))
 
 
-@query(f"WITH {PAPERS}, {TASKS} SELECT t.id, t.status, title FROM tasks t LEFT JOIN papers p ON p.id = t.paper_id AND NOT deleted WHERE status IN ('queued', 'running')")
-def active_tasks(spark, sf_dir):
+@query(f"WITH {PAPERS}, {TASKS} SELECT t.id, t.status, title, t.created_at FROM tasks t LEFT JOIN papers p ON p.id = t.paper_id AND NOT deleted WHERE status IN ('queued', 'running')")
+def active_tasks(spark, sf_dir, of: DataFrame | None = None):
+    """Active tasks, running ones first, then by age; of the papers (id) of a list, if one is given."""
     live = papers(spark, sf_dir).filter(~F.col("deleted")).select(F.col("id").alias("paper_id"), "title")
-    return tasks(spark, sf_dir).filter(F.col("status").isin(*ACTIVE)).join(live, "paper_id", "left").select("id", "status", "title")
+    rows = tasks(spark, sf_dir).filter(F.col("status").isin(*ACTIVE))
+    rows = rows if of is None else rows.join(of.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")
+    return rows.join(live, "paper_id", "left").select("id", "status", "title", "created_at").orderBy(F.desc(F.col("status") == "running"), "created_at", "id")
 
 
 @query(f"WITH {PAPERS}, {TASKS} SELECT id, CASE status WHEN 'queued' THEN 'cancelled' ELSE 'failed' END AS new_status FROM tasks WHERE status IN ('queued', 'running') AND paper_id NOT IN (SELECT id FROM papers WHERE NOT deleted)")
@@ -120,16 +123,29 @@ def latest_report(spark, sf_dir):
     return tasks(spark, sf_dir).groupBy("paper_id", "task_type").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"), F.max("value").alias("best"))
 
 
-@query(f"""WITH {PAPERS}, {TASKS}, a AS (SELECT paper_id, task_type, arg_max(status, (created_at, id)) AS s FROM tasks WHERE status IN ('queued', 'running') GROUP BY ALL)
-SELECT u.user_id::VARCHAR AS paper_id, u.event_type AS task_type, CASE WHEN p.id IS NULL THEN 'error' WHEN a.s = 'queued' THEN 'dedupe' WHEN a.s = 'running' THEN 'reject' ELSE 'insert' END AS action
-FROM (SELECT DISTINCT user_id, event_type FROM events) u LEFT JOIN papers p ON p.id = u.user_id::VARCHAR AND NOT deleted LEFT JOIN a ON a.paper_id = u.user_id::VARCHAR AND a.task_type = u.event_type""")
+INTENT = "concat_ws(','" + "".join(f", CASE WHEN {FLAG.format(n)} THEN '{n}' END" for n in ("force", "reindex_only", "parse_only", "download_only")) + ")"
+
+
+@query(KINDS + f""", {PAPERS}, x AS (SELECT *, {INTENT} AS intent FROM kinds), a AS (SELECT paper_id, arg_max(status, (created_at, id)) AS s, arg_max(intent, (created_at, id)) AS now FROM x WHERE t = 'index' AND status IN ('queued', 'running') GROUP BY 1)
+SELECT r.paper_id, r.intent, CASE WHEN p.id IS NULL THEN 'error' WHEN a.s IS NULL THEN 'insert' WHEN a.now = r.intent THEN 'dedupe' WHEN a.s = 'running' THEN 'reject' ELSE 'replace' END AS action
+FROM (SELECT DISTINCT paper_id, intent FROM x) r LEFT JOIN papers p ON p.id = r.paper_id AND NOT deleted LEFT JOIN a ON a.paper_id = r.paper_id""")
 def enqueue_decision(spark, sf_dir):
-    """What to do with a request for each paper and type, given what is active."""
-    asked = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("paper_id"), F.col("event_type").alias("task_type")).distinct()
+    """What to do with a request to index a paper, given its newest active task of indexing.
+
+    The same intent is asked for once; a running task of another intent refuses the request, a queued
+    one is replaced by it.
+    """
+    rows = kinds(spark, sf_dir).withColumn("intent", X.task_intent(F.col("payload")))
+    asked = rows.select("paper_id", "intent").distinct()
     live = papers(spark, sf_dir).filter(~F.col("deleted")).select(F.col("id").alias("paper_id"), F.lit(True).alias("there"))
-    now = tasks(spark, sf_dir).filter(F.col("status").isin(*ACTIVE)).groupBy("paper_id", "task_type").agg(F.max_by("status", F.struct("created_at", "id")).alias("s"))
-    rows = asked.join(live, "paper_id", "left").join(now, ["paper_id", "task_type"], "left")
-    return rows.select("paper_id", "task_type", F.when(F.col("there").isNull(), "error").when(F.col("s") == "queued", "dedupe").when(F.col("s") == "running", "reject").otherwise("insert").alias("action"))
+    newest = F.max_by(F.struct("status", "intent"), F.struct("created_at", "id")).alias("a")
+    index = F.trim(F.coalesce(F.nullif(F.col("work_type"), F.lit("")), F.lit("index"))) == "index"
+    now = rows.filter(F.col("status").isin(*ACTIVE) & index).groupBy("paper_id").agg(newest)
+    action = (
+        F.when(F.col("there").isNull(), "error").when(F.col("a").isNull(), "insert").when(F.col("a.intent") == F.col("intent"), "dedupe")
+        .when(F.col("a.status") == "running", "reject").otherwise("replace")
+    )
+    return asked.join(live, "paper_id", "left").join(now, "paper_id", "left").select("paper_id", "intent", action.alias("action"))
 
 
 PHASES = """, m AS (SELECT user_id, ts, event_id, event_type, lag(event_type) OVER w IS DISTINCT FROM event_type AS turn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -163,9 +179,12 @@ def running_average(spark, sf_dir):
     return rows.select("id", "kind", n.alias("n"), F.when(m > 0, F.round(s / m, 6)).alias("mean"))
 
 
-@query(T + "SELECT id, task_type, seconds FROM tasks WHERE status = 'failed' ORDER BY updated_at DESC, id LIMIT 20")
-def failed_samples(spark, sf_dir):
-    return tasks(spark, sf_dir).filter("status = 'failed'").orderBy(F.desc("updated_at"), "id").limit(20).select("id", "task_type", "seconds")
+@query(KINDS + "SELECT id, kind, paper_id, substr(repeat('error of ' || id || ' ', 60), 1, 500) AS error, updated_at FROM kinds WHERE status = 'failed' ORDER BY updated_at DESC, id LIMIT 20")
+def failed_samples(spark, sf_dir, n=20):
+    """The newest failed tasks with their kind and the first 500 characters of their error."""
+    newest = kinds(spark, sf_dir).filter("status = 'failed'").orderBy(F.desc("updated_at"), "id").limit(n)
+    error = F.repeat(F.concat(F.lit("error of "), "id", F.lit(" ")), 60)
+    return newest.select("id", "kind", "paper_id", F.substring(error, 1, 500).alias("error"), "updated_at")
 
 
 @query(KINDS + DONE + f" SELECT kind, remaining, done, {ETA} AS eta FROM (SELECT r.kind, remaining, coalesce(done, 0) AS done, mean_seconds, {ELAPSED} FROM (SELECT kind, {LEFT} AS remaining FROM kinds GROUP BY 1) r LEFT JOIN done d ON r.kind = d.kind AND g_kind = 0)")
@@ -204,6 +223,17 @@ def task_kind(spark, sf_dir):
     return kinds(spark, sf_dir).select("id", "work_type", "payload", "kind")
 
 
-@query(T + "SELECT id, greatest(0, epoch(updated_at) - epoch(created_at))::DOUBLE AS elapsed FROM tasks")
+@query(T + """SELECT id, CASE WHEN id % 7 = 0 OR id % 11 = 0 THEN 0 ELSE greatest(0, epoch(b) - epoch(a)) END::DOUBLE AS elapsed FROM (SELECT id, CASE WHEN id % 2 = 0 THEN created_at ELSE updated_at END AS a, CASE WHEN id % 2 = 0 THEN updated_at ELSE created_at END AS b FROM tasks)""")
 def iso_seconds(spark, sf_dir):
-    return tasks(spark, sf_dir).select("id", F.greatest(F.lit(0.0), (F.unix_micros(F.col("updated_at").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))) / 1e6).alias("elapsed"))
+    """Seconds between two times kept as text; 0 where the second is earlier or one is missing or no time."""
+    k = F.col("id")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    a, b = F.when(k % 2 == 0, text("created_at")).otherwise(text("updated_at")), F.when(k % 2 == 0, text("updated_at")).otherwise(text("created_at"))
+    a, b = F.when(k % 7 == 0, "yesterday").otherwise(a), F.when(k % 11 != 0, b)
+    return tasks(spark, sf_dir).select("id", X.seconds_between(a, b).alias("elapsed"))
+
+
+@query(f"WITH {PAPERS}, {TASKS} SELECT t.id, t.status, title, t.created_at FROM tasks t JOIN papers p ON p.id = t.paper_id AND lang = 'en' LEFT JOIN (SELECT id AS i FROM papers WHERE NOT deleted) ON i = p.id WHERE status IN ('queued', 'running')".replace("t.status, title", "t.status, CASE WHEN i IS NOT NULL THEN title END AS title"))
+def active_tasks_of(spark, sf_dir):
+    """Active tasks of the English papers."""
+    return active_tasks(spark, sf_dir, papers(spark, sf_dir).filter("lang = 'en'"))

@@ -77,11 +77,13 @@ def repetition_flag(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", T.repetition(F.col("text")).alias("repeats"))
 
 
-@query("SELECT page_id, coalesce(nullif(regexp_extract(coalesce(url, ''), '(19|20)[0-9]{2}', 0), ''), nullif(regexp_extract(coalesce(html, ''), '(19|20)[0-9]{2}', 0), '')) AS year FROM pages")
+@query(r"""SELECT o_orderkey AS item, coalesce(CASE WHEN o_orderkey % 4 = 3 THEN 1987 END, CASE WHEN o_orderkey % 3 = 0 THEN year(o_orderdate) END, CASE WHEN o_orderkey % 5 = 0 THEN 2001 END, CASE WHEN o_orderkey % 2 = 0 THEN 2020 END)::INT AS year FROM orders""")
 def year_of(spark, sf_dir):
-    """The first field that holds a year."""
-    found = [F.nullif(F.regexp_extract(F.coalesce(c, F.lit("")), "(19|20)[0-9]{2}", 0), F.lit("")) for c in ("url", "html")]
-    return read(spark, sf_dir, "pages").select("page_id", F.coalesce(*found).alias("year"))
+    """The first of four fields that holds a year: year, date, date of issue, date of access."""
+    k = F.col("o_orderkey")
+    year = F.when(k % 4 == 0, "").when(k % 4 == 1, "c2019x").when(k % 4 == 2, "n.d. 12019").otherwise("spring 1987")
+    fields = year, F.when(k % 3 == 0, F.col("o_orderdate").cast("string")), F.when(k % 5 == 0, "12/2001"), F.when(k % 2 == 0, "2020-01-01")
+    return read(spark, sf_dir, "orders").select(k.alias("item"), T.year_in(*fields).alias("year"))
 
 
 @query("""SELECT page_id, '![a](assets/' || page_id || '/i.png) <img src="assets/' || page_id || '/b.png"> ![c](' || url || ') ![d](#x)' AS text FROM pages WHERE url LIKE 'http%'""")

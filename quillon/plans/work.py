@@ -62,16 +62,18 @@ def reparse_candidates(spark, sf_dir):
     return rows.select("doc_id", F.when(bad, "layout").otherwise("second").alias("retry_with"))
 
 
-@query(rf"""SELECT doc_id, CASE WHEN t < 80 THEN 'failed' ELSE 'parsed' END AS status, CASE WHEN t < 80 THEN CASE WHEN mode = 'invalid' THEN 'invalid file' ELSE 'no usable text' END
-  ELSE concat_ws('; ', CASE mode WHEN 'plain_text' THEN 'plain text only' WHEN 'layout_fallback' THEN 'fallback' END, CASE WHEN doc_id % 3 <> 0 THEN 'exit code ' || doc_id % 3 END, CASE WHEN doc_id % 11 = 0 THEN 'timeout' END) END AS message
-FROM (SELECT doc_id, {MODE} AS mode, length(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g')) AS t FROM documents)""")
+@query(rf"""WITH e AS (SELECT doc_id, {MODE} AS mode, CASE WHEN doc_id % 23 = 0 THEN 'x提取失败' ELSE '' END || coalesce(text, '') AS t, CASE WHEN doc_id % 5 = 0 THEN repeat('bad table ', 60) ELSE '' END AS err, CASE WHEN doc_id % 8 = 3 THEN 'no header' END AS file_error FROM documents),
+s AS (SELECT *, regexp_replace(t, '^\s+|\s+$', '', 'g') AS b, coalesce(nullif(substr(trim(err), 1, 500), ''), mode) AS detail FROM e), f AS (SELECT *, length(b) < 80 OR contains(substr(b, 1, 500), '提取失败') AS failed FROM s)
+SELECT doc_id, CASE WHEN failed THEN 'failed' ELSE 'parsed' END AS status, CASE WHEN failed THEN substr(CASE WHEN mode = 'invalid' THEN coalesce(file_error, detail) ELSE 'no usable text: ' || detail END, 1, 2000)
+  ELSE 'notes: ' || nullif(substr(concat_ws('; ', CASE mode WHEN 'plain_text' THEN 'plain text only' WHEN 'layout_fallback' THEN 'incomplete: layout_fallback' END, CASE WHEN err <> '' AND mode NOT IN ('plain_text', 'layout_fallback') THEN 'warning: ' || substr(trim(err), 1, 400) END,
+    CASE WHEN doc_id % 3 <> 0 THEN 'exit code ' || doc_id % 3 END, CASE WHEN doc_id % 11 = 0 THEN 'timeout' END), 1, 2000), '') END AS message FROM f""")
 def parse_outcome(spark, sf_dir):
-    """Status and message of a parse from the length of its text, mode, exit code and timeout."""
-    rows = read(spark, sf_dir, "documents").select("doc_id", mode().alias("mode"), F.length(T.strip(F.coalesce("text", F.lit("")))).alias("t"))
-    code = F.col("doc_id") % 3
-    warnings = F.concat_ws("; ", F.when(F.col("mode") == "plain_text", "plain text only").when(F.col("mode") == "layout_fallback", "fallback"), F.when(code != 0, F.concat(F.lit("exit code "), code)), F.when(F.col("doc_id") % 11 == 0, "timeout"))
-    message = F.when(F.col("t") < 80, F.when(F.col("mode") == "invalid", "invalid file").otherwise("no usable text")).otherwise(warnings)
-    return rows.select("doc_id", F.when(F.col("t") < 80, "failed").otherwise("parsed").alias("status"), message.alias("message"))
+    """Status and message of a parse from its text, mode, errors, exit code and timeout."""
+    d = F.col("doc_id")
+    marked = F.concat(F.when(d % 23 == 0, "x" + T.EXTRACTION_FAILED).otherwise(""), F.coalesce("text", F.lit("")))
+    error, file_error = F.when(d % 5 == 0, "bad table " * 60).otherwise(""), F.when(d % 8 == 3, "no header")
+    status, message = T.parse_outcome(marked, mode(), error, d % 3, d % 11 == 0, file_error)
+    return read(spark, sf_dir, "documents").select("doc_id", status.alias("status"), message.alias("message"))
 
 
 STORED = "CASE WHEN doc_id % 10 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN sha256(coalesce(text, '') || 'x') ELSE sha256(coalesce(text, '')) END"
@@ -83,19 +85,21 @@ def stored():
     return F.when(F.col("doc_id") % 10 == 0, None).when(F.col("doc_id") % 4 == 0, F.sha2(F.concat(t, F.lit("x")), 256)).otherwise(F.sha2(t, 256))
 
 
-@query(P + f"SELECT id, length(trim(coalesce(text, ''))) = 0 OR coalesce({STORED} <> sha256(coalesce(text, '')), false) AS needed FROM papers WHERE NOT deleted")
+@query(P + f"SELECT id, doc_id % 19 = 0 OR length(trim(coalesce(text, ''))) = 0 OR coalesce({STORED} <> sha256(coalesce(text, '')), false) AS needed FROM papers WHERE NOT deleted")
 def needs_parse(spark, sf_dir):
-    t = F.coalesce("text", F.lit(""))
-    return papers(spark, sf_dir).filter(~F.col("deleted")).select("id", ((F.length(F.trim(t)) == 0) | F.coalesce(stored() != F.sha2(t, 256), F.lit(False))).alias("needed"))
+    """What must be parsed: asked for by force, without a text, or of another digest than the stored one."""
+    t, force = F.coalesce("text", F.lit("")), F.col("doc_id") % 19 == 0
+    return papers(spark, sf_dir).filter(~F.col("deleted")).select("id", (force | (F.length(F.trim(t)) == 0) | F.coalesce(stored() != F.sha2(t, 256), F.lit(False))).alias("needed"))
 
 
-@query(PC + f"SELECT id, NOT (index_status = 'indexed' AND coalesce({STORED} = sha256(coalesce(text, '')), false) AND coalesce(n, 0) > 0) AS needed FROM papers LEFT JOIN (SELECT paper_id, count(*) AS n FROM chunks GROUP BY 1) ON paper_id = id WHERE NOT deleted")
+@query(PC + f"SELECT id, doc_id % 19 = 0 OR doc_id % 23 = 0 OR NOT (index_status = 'indexed' AND coalesce({STORED} = sha256(coalesce(text, '')), false) AND coalesce(n, 0) > 0) AS needed FROM papers LEFT JOIN (SELECT paper_id, count(*) AS n FROM chunks GROUP BY 1) ON paper_id = id WHERE NOT deleted")
 def needs_index(spark, sf_dir):
-    """What must be indexed again: not indexed yet, changed, or without chunks."""
+    """What must be indexed again: asked for by force or as a rebuild, not indexed yet, changed, or without chunks."""
     counts = chunks(spark, sf_dir).groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("n"))
     same = F.coalesce(stored() == F.sha2(F.coalesce("text", F.lit("")), 256), F.lit(False))
+    force, rebuild = F.col("doc_id") % 19 == 0, F.col("doc_id") % 23 == 0
     rows = papers(spark, sf_dir).filter(~F.col("deleted")).join(counts, "id", "left")
-    return rows.select("id", (~((F.col("index_status") == "indexed") & same & (F.coalesce("n", F.lit(0)) > 0))).alias("needed"))
+    return rows.select("id", (force | rebuild | ~((F.col("index_status") == "indexed") & same & (F.coalesce("n", F.lit(0)) > 0))).alias("needed"))
 
 
 @query(P + "SELECT id FROM papers WHERE 'fr' IN (source, lang)")
@@ -130,11 +134,11 @@ def resync_set(spark, sf_dir):
     return live.join(chunks(spark, sf_dir).select(F.col("paper_id").alias("id")), "id", "left_semi").join(read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti").select("id")
 
 
-@query(P + "SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM papers WHERE NOT deleted)")
+@query(P + "SELECT DISTINCT vec_id::VARCHAR AS paper_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE label % 3 <> 0)")
 def vectors_pending(spark, sf_dir):
-    """Vectors whose paper is gone or was never there."""
-    live = papers(spark, sf_dir).filter(~F.col("deleted")).select(F.col("doc_id").alias("vec_id"))
-    return read(spark, sf_dir, "embeddings").select("vec_id", "label").join(live, "vec_id", "left_anti")
+    """Papers that have vectors but none in the table of vectors (here: those of two labels in three), in order."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("paper_id"), "label")
+    return v.select("paper_id").distinct().join(v.filter("label % 3 <> 0").select("paper_id"), "paper_id", "left_anti").orderBy("paper_id")
 
 
 @query(P + "SELECT count(*) AS papers, count(vec_id) AS with_vector, count(DISTINCT label) AS labels FROM (SELECT id, vec_id, label FROM papers LEFT JOIN embeddings ON vec_id = doc_id WHERE NOT deleted)")
@@ -224,14 +228,19 @@ def latest_summary(spark, sf_dir):
     return tasks(spark, sf_dir).groupBy("paper_id", "status").agg(F.max_by("id", F.struct("updated_at", "id")).alias("id"))
 
 
-@query(f"WITH {PAPERS}, {TASKS}, hit AS (SELECT paper_id FROM tasks GROUP BY 1 HAVING bool_or(status = 'queued') AND NOT bool_or(status = 'running')) SELECT id, CASE WHEN id IN (SELECT paper_id FROM hit) THEN CASE WHEN length(trim(coalesce(text, ''))) > 0 THEN 'indexed' ELSE 'pending' END ELSE index_status END AS index_status FROM papers WHERE NOT deleted")
+WAITING = "trim(coalesce(nullif(work_type, ''), 'index')) = 'index'"
+
+
+@query(f"""WITH {PAPERS}, {TASKS}, hit AS (SELECT paper_id FROM tasks WHERE {WAITING} GROUP BY 1 HAVING bool_or(status = 'queued') AND NOT bool_or(status = 'running')), p AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'indexing' ELSE index_status END AS i FROM papers WHERE NOT deleted)
+SELECT id, i AS old_status, CASE WHEN i = 'indexing' AND id IN (SELECT paper_id FROM hit) THEN CASE WHEN regexp_matches(coalesce(text, ''), '\\S') THEN 'indexed' ELSE 'pending' END ELSE i END AS index_status FROM p""")
 def cancel_queued(spark, sf_dir):
-    """Papers whose queued work is cancelled fall back to what they hold, unless other work runs."""
+    """Papers that were being indexed and whose queued indexing is cancelled fall back to what they hold, unless indexing runs."""
     s = F.col("status")
-    hit = tasks(spark, sf_dir).groupBy(F.col("paper_id").alias("id")).agg((F.bool_or(s == "queued") & ~F.bool_or(s == "running")).alias("hit"))
-    rows = papers(spark, sf_dir).filter(~F.col("deleted")).join(hit, "id", "left")
-    back = F.when(F.length(F.trim(F.coalesce("text", F.lit("")))) > 0, "indexed").otherwise("pending")
-    return rows.select("id", F.when(F.col("hit"), back).otherwise(F.col("index_status")).alias("index_status"))
+    hit = tasks(spark, sf_dir).filter(WAITING).groupBy(F.col("paper_id").alias("id")).agg((F.bool_or(s == "queued") & ~F.bool_or(s == "running")).alias("hit"))
+    i = F.when(F.col("doc_id") % 2 == 0, "indexing").otherwise(F.col("index_status"))
+    rows = papers(spark, sf_dir).filter(~F.col("deleted")).withColumn("old_status", i).join(hit, "id", "left")
+    back = F.when(F.coalesce("text", F.lit("")).rlike("\\S"), "indexed").otherwise("pending")
+    return rows.select("id", "old_status", F.when(F.col("hit") & (F.col("old_status") == "indexing"), back).otherwise(F.col("old_status")).alias("index_status"))
 
 
 @query(f"WITH {PAPERS}, {TASKS}, u AS (SELECT paper_id, max_by(status, (updated_at, id)) AS s FROM tasks GROUP BY 1) SELECT id, CASE s WHEN 'completed' THEN 'parsed' WHEN 'failed' THEN 'failed' ELSE parse_status END AS parse_status, CASE WHEN s = 'failed' THEN 'last task failed' WHEN s IS NULL THEN 'kept' END AS message FROM papers LEFT JOIN u ON paper_id = id")
@@ -249,20 +258,22 @@ def upsert_cache(spark, sf_dir):
     return rows.groupBy("key").agg(F.max_by("id", F.struct("at", "id")).alias("id"))
 
 
-@query(f"WITH {TASKS} SELECT id, key = sha256(task_type || '|' || paper_id) AND epoch(TIMESTAMP '2024-02-01' - created_at) <= 864000 AS valid FROM (SELECT *, CASE WHEN id % 7 = 0 THEN 'old' ELSE sha256(task_type || '|' || paper_id) END AS key FROM tasks)")
+@query(f"WITH {TASKS} SELECT id, key = sha256(task_type || '|' || paper_id) AND (id % 4 = 0 OR epoch(TIMESTAMP '2024-02-01' - created_at) <= 864000) AS valid FROM (SELECT *, CASE WHEN id % 7 = 0 THEN 'old' ELSE sha256(task_type || '|' || paper_id) END AS key FROM tasks)")
 def cache_valid(spark, sf_dir):
-    """A cached row holds if its key is still what its parts give and it is at most ten days old."""
-    key = F.sha2(F.concat_ws("|", "task_type", "paper_id"), 256)
+    """A cached row holds if its key is still what its parts give and it is no older than its limit (ten days; here, every fourth row has 0: no limit)."""
+    key, ttl = F.sha2(F.concat_ws("|", "task_type", "paper_id"), 256), F.when(F.col("id") % 4 == 0, 0).otherwise(864_000).cast("bigint")
     age = F.unix_micros(F.lit("2024-02-01").cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
-    return tasks(spark, sf_dir).select("id", ((F.when(F.col("id") % 7 == 0, "old").otherwise(key) == key) & (age <= 864_000_000_000)).alias("valid"))
+    return tasks(spark, sf_dir).select("id", ((F.when(F.col("id") % 7 == 0, "old").otherwise(key) == key) & ((ttl == 0) | (age <= ttl * 1_000_000))).alias("valid"))
 
 
-@query("SELECT event_id, event_id % 9 <> 0 AS valid, CASE WHEN event_id % 9 <> 0 THEN props::JSON ->> '$.k' END AS k FROM events")
+@query("""SELECT event_id, event_id % 9 NOT IN (0, 1) AS valid, CASE WHEN event_id % 9 > 1 THEN event_type END AS mode, CASE WHEN event_id % 9 > 1 AND event_id % 2 = 0 THEN 'late' END AS error, CASE WHEN event_id % 9 > 1 THEN md5(event_id::VARCHAR) END AS pdf_hash FROM events""")
 def parse_meta(spark, sf_dir):
-    """Metadata kept as JSON; what is no object is invalid and gives nulls."""
-    raw = F.when(F.col("event_id") % 9 == 0, "[broken").otherwise(F.col("props"))
+    """Mode, error and digest kept as JSON for each paper; broken JSON and what is no object are invalid and give nulls."""
+    fields = F.struct(F.col("event_type").alias("mode"), F.when(F.col("event_id") % 2 == 0, "late").alias("error"), F.md5(F.col("event_id").cast("string")).alias("pdf_hash"))
+    raw = F.when(F.col("event_id") % 9 == 0, "[broken").when(F.col("event_id") % 9 == 1, "[1, 2]").otherwise(F.to_json(fields))
     meta = F.when(F.trim(raw).startswith("{"), F.from_json(raw, "map<string,string>"))
-    return read(spark, sf_dir, "events").select("event_id", meta.isNotNull().alias("valid"), F.get(F.map_values(F.map_filter(meta, lambda k, _: k == "k")), F.lit(0)).alias("k"))
+    rows = read(spark, sf_dir, "events").select("event_id", meta.alias("m"))
+    return rows.select("event_id", F.col("m").isNotNull().alias("valid"), *[F.try_element_at("m", F.lit(k)).alias(k) for k in ("mode", "error", "pdf_hash")])
 
 
 @query(f"""WITH {PAPERS}, {REPORT} SELECT p.id, regexp_matches(coalesce(p.text, ''), '\\S') AS ok, CASE WHEN regexp_matches(coalesce(p.text, ''), '\\S') THEN round(r.score, 9) END AS score
@@ -281,3 +292,30 @@ def review_query(spark, sf_dir):
     k = F.col("year") % 3
     focus = F.when(k == 0, F.col("source")).when(k == 1, F.lit(""))
     return papers(spark, sf_dir).select("id", T.review_query(F.col("title"), focus).alias("query"))
+
+
+@query(P + "SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM papers WHERE NOT deleted)")
+def orphan_vectors(spark, sf_dir):
+    """Vectors whose paper is gone or was never there."""
+    live = papers(spark, sf_dir).filter(~F.col("deleted")).select(F.col("doc_id").alias("vec_id"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label").join(live, "vec_id", "left_anti")
+
+
+@query(f"WITH m AS ({ORACLES['sync_metadata']}) SELECT outcome, count(*) AS n FROM m GROUP BY 1")
+def sync_counts(spark, sf_dir):
+    return sync_metadata(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {TASKS} SELECT id, CASE status WHEN 'queued' THEN 'cancelled' ELSE status END AS status, CASE status WHEN 'queued' THEN 'cancelled by the user' END AS error FROM tasks")
+def cancelled_tasks(spark, sf_dir):
+    """The tasks after all queued ones are cancelled."""
+    queued = F.col("status") == "queued"
+    return tasks(spark, sf_dir).select("id", F.when(queued, "cancelled").otherwise(F.col("status")).alias("status"), F.when(queued, "cancelled by the user").alias("error"))
+
+
+@query(f"WITH {TASKS} SELECT id, CASE WHEN id % 3 = 1 THEN '{{\"answer\":\"a ' || task_type || '\",\"n\":\"' || id || '\"}}' END AS payload FROM tasks")
+def clear_translation(spark, sf_dir):
+    """Cached answers without their translation; null where there was none."""
+    other = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "une réponse")
+    fields = F.struct(F.concat(F.lit("a "), "task_type").alias("answer"), other.alias("answer_other"), F.lit("fr").alias("answer_other_lang"), F.col("id").cast("string").alias("n"), F.lit("true").alias("cached"))
+    return tasks(spark, sf_dir).select("id", T.clear_translation(F.to_json(fields)).alias("payload"))
