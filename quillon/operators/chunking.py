@@ -60,12 +60,22 @@ def dedupe_chunks(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
 
 
-def indexed(docs: DataFrame) -> DataFrame:
-    """Chunks of cleaned texts (doc_id, text) as the index keeps them: each content once, with type, score and tokens."""
-    rows = dedupe_chunks(chunks(docs)).withColumn("chunk_type", T.chunk_type(F.col("path"), F.col("body")))
+def described(rows: DataFrame) -> DataFrame:
+    """Chunks as the index keeps them: each content of a paper once, with type, score and tokens."""
+    rows = dedupe_chunks(rows).withColumn("chunk_type", T.chunk_type(F.col("path"), F.col("body")))
     return rows.withColumns({"score": T.chunk_score(F.col("body"), F.col("chunk_type")), "n_tokens": T.estimate_tokens(F.col("body"))})
 
 
+def indexed(docs: DataFrame) -> DataFrame:
+    """The index of cleaned plain texts (doc_id, text)."""
+    return described(chunks(docs))
+
+
+def indexed_sections(docs: DataFrame) -> DataFrame:
+    """The index of cleaned Markdown (paper_id, markdown): chunks of each section, with the headings above it as path."""
+    return described(chunk_sections(section_split(docs)))
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(paper_id, line, n): lines of 8 to 80 characters that stand four times or more in a text of at least 12 lines."""
     lines = docs.select(F.col("doc_id").cast("string").alias("paper_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))

@@ -121,12 +121,29 @@ def collapse_paragraphs(spark, sf_dir):
 SELECT conv_id::VARCHAR AS paper_id, 'Conversation ' || conv_id || ' › Turn ' || turn || ' ' || role AS path, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM m WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''"""
 )
 def section_split(spark, sf_dir):
+    return chunking.section_split(markdown(spark, sf_dir)).select("paper_id", "path", "body")
+
+
+def markdown(spark, sf_dir):
     """Conversations as Markdown: a heading for each conversation, one below for each turn."""
     turn = F.concat(F.lit("## Turn "), "turn", F.lit(" "), "role", F.lit("\n"), F.coalesce("text", F.lit("")))
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", turn.alias("t"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "t"))), lambda x: x["t"]), "\n")
-    texts = turns.groupBy("conv_id").agg(joined.alias("m")).select(F.col("conv_id").cast("string").alias("paper_id"), F.concat(F.lit("# Conversation "), "conv_id", F.lit("\n"), "m").alias("markdown"))
-    return chunking.section_split(texts).select("paper_id", "path", "body")
+    return turns.groupBy("conv_id").agg(joined.alias("m")).select(F.col("conv_id").cast("string").alias("paper_id"), F.concat(F.lit("# Conversation "), "conv_id", F.lit("\n"), "m").alias("markdown"))
+
+
+STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+#: Chunks of the sections of conversations as Markdown.
+SECTION_CHUNKS = rf"""chunks AS (SELECT *, substr(sha256(paper_id || '|' || path || '|' || chunk_index), 1, 32) AS chunk_id, substr(sha256(regexp_replace({STRIP.format('lower(body)')}, '\s+', ' ', 'g')), 1, 32) AS content_hash FROM (
+  SELECT paper_id, path, row_number() OVER (PARTITION BY paper_id ORDER BY turn, k) - 1 AS chunk_index, body FROM (SELECT paper_id, turn, path, k, {STRIP.format('substr(t, (k * 3100 + 1)::BIGINT, 3500)')} AS body FROM (
+    SELECT *, unnest(range(CASE WHEN length(t) <= 3500 THEN 1 ELSE 1 + ceil((length(t) - 3500) / 3100.0)::BIGINT END)) AS k FROM (
+      SELECT conv_id::VARCHAR AS paper_id, turn, 'Conversation ' || conv_id || ' › Turn ' || turn || ' ' || role AS path, {STRIP.format("coalesce(text, '')")} AS t FROM conversations))) WHERE body <> ''))"""
+
+
+@query(f"""WITH {SECTION_CHUNKS}, {TYPED.replace("'全文 ' ||", "path || ' ' ||")} SELECT paper_id, path, chunk_index, chunk_id, chunk_type, greatest(1, length(body) // 4) AS n_tokens FROM typed QUALIFY row_number() OVER (PARTITION BY paper_id, content_hash ORDER BY chunk_index) = 1""")
+def index_sections(spark, sf_dir):
+    """The index of Markdown by sections: each content of a paper once, under the headings above it."""
+    return chunking.indexed_sections(markdown(spark, sf_dir)).select("paper_id", "path", "chunk_index", "chunk_id", "chunk_type", "n_tokens")
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest, substr(sha256('/lib/' || source || '/' || doc_id), 1, 32) AS paper_key FROM documents")

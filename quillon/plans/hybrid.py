@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import search
+from quillon.operators import chunking, search
 from quillon.plans.base import registrar
-from quillon.plans.corpus import CLAIM_STOP, TYPED, typed
+from quillon.plans.corpus import CLAIM_STOP, SECTION_CHUNKS, TYPED, markdown, typed
 from quillon.plans.retrieval import ASKED, DENSE, INDEX, LEXICAL, ORACLES as BEFORE, TERMS, asked, chunks, dense, hydrate, lexical, quota_sql, text_retrieve
 from quillon.sources.corpus import CHUNKS, read, tasks, TASKS
 
@@ -147,3 +147,10 @@ def scope_defaults(spark, sf_dir):
     k = F.col("query_id") % 4
     rows = lexical(spark, sf_dir).join(typed(spark, sf_dir).select("chunk_id", "chunk_type"), "chunk_id")
     return search.in_scope(rows, k.isin(1, 2), F.array(F.lit("unknown")), k.isin(1, 3)).select("query_id", "chunk_id", "chunk_type", "rank")
+
+
+@query(LEXICAL.replace(CHUNKS, SECTION_CHUNKS) + " SELECT query_id, t.chunk_id, t.paper_id, path, score, rank FROM top t JOIN chunks c ON c.chunk_id = t.chunk_id WHERE rank <= 10")
+def section_topk(spark, sf_dir):
+    """The best chunks of sections with the path of headings that a citation shows."""
+    rows = chunking.chunk_sections(chunking.section_split(markdown(spark, sf_dir)))
+    return lexical(spark, sf_dir, 10, rows=rows).join(rows.select("chunk_id", "path"), "chunk_id").select("query_id", "chunk_id", "paper_id", "path", "score", "rank")

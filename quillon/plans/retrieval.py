@@ -43,10 +43,11 @@ def chunks(spark, sf_dir):
     return chunking.chunks(read(spark, sf_dir, "documents"))
 
 
-def lexical(spark, sf_dir, k=40, ask=None):
-    """The k best chunks of each query by BM25; statistics cover the whole index."""
-    index = search.postings(chunks(spark, sf_dir))
-    lengths = chunks(spark, sf_dir).select(F.size(T.index_tokens(F.col("body"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("m")).first()
+def lexical(spark, sf_dir, k=40, ask=None, rows=None):
+    """The k best chunks (of documents, or of `rows`) of each query by BM25; statistics cover the whole index."""
+    rows = chunks(spark, sf_dir) if rows is None else rows
+    index = search.postings(rows)
+    lengths = rows.select(F.size(T.index_tokens(F.col("body"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("m")).first()
     scored = search.bm25(index, search.query_terms(asked(spark, sf_dir) if ask is None else ask), lengths["n"], lengths["m"] or 1.0)
     return search.ranked(scored, F.col("score"), k)
 

@@ -119,11 +119,11 @@ def stream_inventory(scans: DataFrame, path: str, checkpoint: str):
 
 
 def stream_index(docs: DataFrame, path: str, checkpoint: str):
-    """Runs a stream of texts (doc_id, text) into an index of chunks; a paper that comes again replaces its chunks."""
+    """Runs a stream of texts (doc_id, text) into an index of the chunks of their sections; a paper that comes again replaces its chunks."""
 
     def take(rows: DataFrame, _: int) -> None:
         last = rows.groupBy("doc_id").agg(F.max("text").alias("text"))
-        made = chunking.indexed(last.select("doc_id", T.clean_markdown(F.coalesce("text", F.lit(""))).alias("text")))
+        made = chunking.indexed_sections(last.select(F.col("doc_id").cast("string").alias("paper_id"), T.clean_markdown(F.coalesce("text", F.lit(""))).alias("markdown")))
         sinks.replace_papers(rows.sparkSession, made, path, last.select(F.col("doc_id").cast("string").alias("paper_id")))
 
     return docs.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
