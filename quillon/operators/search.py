@@ -119,12 +119,14 @@ def dedupe_results(rows: DataFrame) -> DataFrame:
 
 
 def paper_quota(rows: DataFrame, per_paper: int = 3, n_papers: int = 8, limit: int = 8) -> DataFrame:
-    """Ranked rows with at most per_paper of a paper, of the first n_papers papers, limit in all."""
+    """Ranked rows with at most per_paper of a paper, of the first n_papers papers, limit in all; 0 sets no bound."""
     own = Window.partitionBy("query_id", "paper_id")
-    rows = rows.filter("paper_id is not null").withColumns({"_n": F.row_number().over(own.orderBy("rank")), "_first": F.min("rank").over(own)}).filter(F.col("_n") <= per_paper)
-    rows = rows.withColumn("_p", F.dense_rank().over(Window.partitionBy("query_id").orderBy("_first"))).filter(F.col("_p") <= n_papers)
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("bigint"))
-    return rows.filter(F.col("place") <= limit).drop("_n", "_first", "_p")
+    rows = rows.filter("paper_id is not null").withColumns({"_n": F.row_number().over(own.orderBy("rank")), "_first": F.min("rank").over(own)})
+    rows = rows.filter(F.col("_n") <= per_paper) if per_paper else rows
+    if n_papers:
+        rows = rows.withColumn("_p", F.dense_rank().over(Window.partitionBy("query_id").orderBy("_first"))).filter(F.col("_p") <= n_papers)
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("bigint")).drop("_n", "_first", "_p")
+    return rows.filter(F.col("place") <= limit) if limit else rows
 
 
 def synonyms(queries: DataFrame, rules: DataFrame, most: int = 4) -> DataFrame:

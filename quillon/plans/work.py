@@ -191,13 +191,30 @@ def page_hints(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("paper_id"), F.col("l_linenumber").alias("chunk_id"), first.alias("page_start"), last.alias("page_end"))
 
 
-@query("SELECT o_orderkey AS item, coalesce(nullif(trim(CASE WHEN o_orderkey % 3 = 0 THEN ' ' ELSE 'Order ' || o_orderkey END), ''), c_name) AS title, c_mktsegment AS venue, year(o_orderdate)::INT AS year FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+@query("""WITH m AS (SELECT o_orderkey AS k, o_orderpriority, o_orderdate, c_custkey AS c, c_name, c_mktsegment, coalesce(c_custkey % 4 <> 0, false) AS own FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND o_custkey % 5 <> 0)
+SELECT k AS item, nullif(trim(CASE WHEN own THEN CASE WHEN c % 7 = 0 THEN ' ' ELSE c_name END ELSE 'Order ' || k END), '') AS title, CASE WHEN c % 6 <> 0 THEN 'A ' || c ELSE 'B ' || k END AS authors,
+  CASE WHEN own THEN CASE WHEN c % 2 = 0 THEN 1999 END ELSE year(o_orderdate) END::INT AS year, CASE WHEN own THEN CASE WHEN c % 2 = 0 THEN c_mktsegment WHEN c % 5 = 1 THEN 'Book ' || c END ELSE o_orderpriority END AS venue,
+  CASE WHEN own THEN CASE WHEN c % 3 <> 0 THEN '10.1/' || c END ELSE '10.2/' || k END AS doi, array_to_string(list_sort(list_distinct(list_filter(['t' || c % 3, 't' || k % 3], lambda x: x IS NOT NULL))), '; ') AS tags, 'col' || coalesce(c, k) % 4 AS collections FROM m""")
 def biblio_meta(spark, sf_dir):
-    """One record for each item; a blank field falls back to that of its parent."""
-    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    own = F.nullif(F.trim(F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.concat(F.lit("Order "), "o_orderkey"))), F.lit(""))
-    rows = o.join(broadcast_if_small(c), o["o_custkey"] == c["c_custkey"], "left")
-    return rows.select(F.col("o_orderkey").alias("item"), F.coalesce(own, "c_name").alias("title"), F.col("c_mktsegment").alias("venue"), F.year("o_orderdate").alias("year"))
+    """The whole record of each attachment: that of its parent, or its own if it has none or the parent has no fields.
+
+    Creators fall back on their own, tags are those of both, collections those of the item that counts.
+    """
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    parents = read(spark, sf_dir, "customer").filter("c_custkey % 5 <> 0").select("c_custkey", "c_name", "c_mktsegment")
+    rows = read(spark, sf_dir, "orders").join(broadcast_if_small(parents), F.col("o_custkey") == c, "left")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    own = F.coalesce(c % 4 != 0, F.lit(False))
+    field = lambda parent, attachment: F.nullif(F.trim(F.when(own, parent).otherwise(attachment)), F.lit(""))
+    publication, book = F.when(c % 2 == 0, F.col("c_mktsegment")).otherwise(""), F.when(c % 5 == 1, text("Book ", c))
+    authors = F.coalesce(F.when(c % 6 != 0, text("A ", c)), text("B ", k))
+    tags = F.array_sort(F.array_distinct(F.array_compact(F.array(text("t", c % 3), text("t", k % 3)))))
+    return rows.select(
+        k.alias("item"), field(F.when(c % 7 == 0, " ").otherwise(F.col("c_name")), text("Order ", k)).alias("title"), authors.alias("authors"),
+        T.year_in(F.when(own, F.when(c % 2 == 0, "May 1999")).otherwise(F.col("o_orderdate").cast("string"))).alias("year"),
+        field(F.coalesce(F.nullif(publication, F.lit("")), book), F.col("o_orderpriority")).alias("venue"),
+        field(F.when(c % 3 != 0, text("10.1/", c)), text("10.2/", k)).alias("doi"), F.array_join(tags, "; ").alias("tags"), text("col", F.coalesce(c, k) % 4).alias("collections"),
+    )
 
 
 @query(P + "SELECT id, coalesce(c_name, title) AS title, c_mktsegment AS venue, CASE WHEN c_custkey IS NULL THEN 'unmatched' ELSE 'updated' END AS outcome FROM papers LEFT JOIN customer ON c_custkey = doc_id AND c_custkey % 4 <> 0")
