@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from quillon.llm.centroids import CENTROIDS, COMPONENTS, ROUNDS, SEED
+from quillon.llm.collocations import FIRST, INSIDE, LONGEST, OFTEN
 from quillon.llm.decontaminate import RUN, SHORT_TELLING, TELLING, UNITS, WIDTH
 from quillon.llm.license_scan import SHARE, SHINGLE, TEMPLATES, WINDOW
+from quillon.llm.line_dedup import DOCUMENTS, LEAST
 from quillon.llm.quality_rules import POLICIES, RULES, mask
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -141,6 +144,57 @@ _VERSIONS = ", ".join(f"('{p}', '{r}', {1 << i}, {mask(p)})" for p in POLICIES f
 ABLATIONS = f"""SELECT policy, rule, count(*) FILTER (WHERE bits & bit <> 0) AS failed, count(*) FILTER (WHERE bits & mask = bit) AS only
 FROM ({OP10}) x, (VALUES {_VERSIONS}) v(policy, rule, bit, mask) GROUP BY policy, rule"""
 
+
+
+def _round(no: int, vectors: str, centroids: str) -> str:
+    """Every vector's nearest centroid by squared distance, and the next centroids from them."""
+    nearest = f"""SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min((d, no)) AS best FROM (
+      SELECT v.r, v.vec_id, v.x, c.no, list_sum(list_transform(range(1, {COMPONENTS + 1}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))::BIGINT AS d FROM {vectors} v, {centroids} c) GROUP BY r"""
+    moved = f"""SELECT no, coalesce(n.x, c.x) AS x FROM {centroids} c LEFT JOIN (
+      SELECT no, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS x FROM (
+        SELECT best[2] AS no, i, sum(x[i])::HUGEINT AS s, count(*) AS n FROM near{no}, range(1, {COMPONENTS + 1}) t(i) GROUP BY ALL) GROUP BY no) n USING (no)"""
+    return f"near{no} AS MATERIALIZED ({nearest}), c{no + 1} AS MATERIALIZED ({moved})"
+
+
+OP11 = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda y: floor(256 * y::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS no, x FROM (SELECT sha256('{SEED}:' || vec_id) AS h, x FROM kept ORDER BY h, x LIMIT {CENTROIDS})),
+{", ".join(_round(k, "kept", f"c{k}") for k in range(ROUNDS + 1))}
+SELECT vec_id, best[2]::INT AS cluster, best[1] AS distance, sum(best[1]) OVER (PARTITION BY best[2])::BIGINT AS cluster_inertia, sum(best[1]) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM near{ROUNDS} JOIN c{ROUNDS} c ON c.no = best[2]
+"""
+
+_GRAMS = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(ws[i:i + {k - 1}], ' ') AS phrase FROM (SELECT lang, ws, unnest(range(1, len(ws) - {k - 2})) AS i FROM w)" for k in range(1, LONGEST + 1))
+
+OP12 = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece FROM documents
+), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p),
+g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM ({_GRAMS}) GROUP BY ALL HAVING k = 1 OR count(*) >= {OFTEN}),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM g WHERE k > 1),
+x AS (SELECT lang, phrase, f AS a, cut, array_to_string(ws[1:cut], ' ') AS first_, array_to_string(ws[cut + 1:k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+s AS (SELECT x.lang, x.phrase, a, cut, y.f AS l, z.f AS r, n, ((1000::HUGEINT * a * n) // (y.f::HUGEINT * z.f))::BIGINT AS score
+  FROM x JOIN n USING (lang) JOIN g y ON y.lang = x.lang AND y.phrase = x.first_ JOIN g z ON z.lang = x.lang AND z.phrase = x.rest),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (SELECT lang, phrase, max(f) AS most FROM (
+  SELECT lang, f, unnest(list_transform(range(1, k * k + 1), lambda j: CASE WHEN (j - 1) // k + (j - 1) % k + 1 <= k AND (j - 1) % k + 1 < k THEN array_to_string(ws[(j - 1) // k + 1:(j - 1) // k + (j - 1) % k + 1], ' ') END)) AS phrase FROM c) WHERE phrase IS NOT NULL GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank, b.phrase, a, l, r, n, score
+FROM b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE coalesce(100 * most < {INSIDE} * a, true) QUALIFY rank <= {FIRST}
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, i, ls[i] AS line, translate(trim(ls[i], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+f AS (SELECT key FROM l WHERE length(key) >= {LEAST} GROUP BY key HAVING count(DISTINCT (doc_id,)) >= {DOCUMENTS})
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.key) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN f USING (key) GROUP BY r
+"""
+
 ORACLES = {
     "op1_chat_format": OP1,
     "op2_decontaminate": OP2,
@@ -149,4 +203,7 @@ ORACLES = {
     "op7_url_filter": OP7,
     "op10_quality_rules": OP10,
     "quality_ablations": ABLATIONS,
+    "op11_centroid_clustering": OP11,
+    "op12_phrase_collocations": OP12,
+    "op13_line_dedup": OP13,
 }

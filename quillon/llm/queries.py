@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat_format, decontaminate, jaccard_join, language_id, license_scan, packing, pii, quality_rules, token_counts, url_filter
+from quillon.llm import centroids, chat_format, collocations, decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, pii, quality_rules, token_counts, url_filter
 from quillon.llm.common import table, text_or_empty
 
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -93,10 +93,24 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.all_ablations(_ledger(spark, sf_dir))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mined(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.without_frequent_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty("text"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_decontaminate, op3_jaccard_join, op4_pii, op5_token_counts, op6_license_scan,
         op7_url_filter, op8_best_fit_packing, op9_language_id, op10_quality_rules, quality_ablations,
+        op11_centroid_clustering, op12_phrase_collocations, op13_line_dedup,
     )
 }
