@@ -1,16 +1,18 @@
 """Phrases that stand together more often than their parts suggest, mined by stripes.
 
-A stripe belongs to a prefix and holds a counter of its next words: with all its entries (one of
-them for "no frequent word follows"), so its sum is how often the prefix occurs. Tasks make stripes of
-their share of the texts; stripes of one prefix are merged elementwise. Everything is read off the
-merged stripes: entries are extensions, sums are the counts of first parts and rests, and the largest
-entry by prefix and by the phrase without its first word tells what a longer phrase subsumes.
-
-Prefixes grow by one word a pass. A phrase can be frequent only if its first and its last words
-are, so a pass counts only what stands between phrases of the pass before. These are told to the tasks
-as bits of a table of fixed size (BITS): a bit set by chance costs a row, never an answer. A
-prefix of many occurrences, and the empty one, has its stripe cut by the next word into PARTS
-rows; there are at most HOT such prefixes in a pass by arithmetic.
+A stripe belongs to a prefix and holds a counter of its next words. Tasks make the stripes of their
+share of the texts; stripes of one prefix are merged elementwise. Everything is read off the merged
+stripes: entries are extensions, the entry of a prefix's last word in the stripe of the words before
+it is the prefix's total, and the largest entry by prefix and by the phrase without its first word
+tells what a longer phrase subsumes. The stripe of the empty prefix has an entry (null) for all words that
+are not frequent, so its sum is the number of words of a language.
+
+Which phrases may be frequent is found before, one word longer each time: a phrase can be frequent only
+if its first and its last words are, so only such phrases are counted, by 32 bits of a hash. The
+frequent ones are told to the tasks as two bits each of a table of fixed size (BITS); bits set by chance
+cost a row, never an answer. So words are shuffled for frequent phrases only. A prefix of many
+occurrences, and the empty one, has its stripe cut by the next word into PARTS rows; there are at
+most HOT such prefixes of one length by arithmetic.
 
 Words are told apart by their bytes; hashes serve the bits and the cut only.
 """
@@ -30,10 +32,12 @@ from quillon.llm.shingles import mix
 
 #: Occurrences of a candidate; words of a phrase; share (per hundred) of a longer phrase that subsumes; rows of a language.
 OFTEN, LONGEST, INSIDE, FIRST = 100, 5, 100, 2000
-#: Bits told to the tasks, prefixes whose stripes are cut at most, and rows into which they are cut.
-BITS, HOT, PARTS = 1 << 26, 2000, 64
-#: Bytes of text that a task counts together, and rows that it holds before it sends them.
-PIECE, HELD = 4 << 20, 1_000_000
+#: Bits told to the tasks for each length, prefixes whose stripes are cut at most, and rows into which they are cut.
+BITS, HOT, PARTS = 1 << 24, 2000, 64
+#: An odd factor below 2^31 that gives the second bit of a 32-bit hash.
+SECOND = 1640531527
+#: Bytes of text that a task counts together, entries and hashes that it holds before it sends them, and groups of hashes.
+PIECE, HELD, HASHES, RANGES = 2 << 20, 1_000_000, 1_000_000, 1024
 UNKNOWN = "und"
 
 U = np.uint64
@@ -42,8 +46,7 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?"] + [*range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-ENTRIES = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("next", pa.string()), ("n", pa.int64()), ("h", pa.int64())])
-STRIPES = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64())), ("h", pa.list_(pa.int64()))])
+STRIPES = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
 
 def _words(raw: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -103,121 +106,212 @@ def _dense(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, inverse.astype(np.int64)
 
 
-def _rows(lang: str, prefix: pa.Array, part: np.ndarray, following: pa.Array, n: np.ndarray, h: np.ndarray) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([lang] * len(n), pa.string()), prefix, pa.array(part, pa.int32()), following, pa.array(n, pa.int64()), pa.array(h.view(np.int64))], schema=ENTRIES)
-
-
-def _counted(lang: str, raw: np.ndarray, k: int, bits: np.ndarray | None, hot: np.ndarray) -> pa.Table | None:
-    """(lang, prefix, part, next, n, h) of the phrases of k words in some text, infrequent or missing next words as null."""
-    words, piece = _words(raw)
-    if not len(words):
-        return None
-    coded = words.dictionary_encode()
-    code, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
-    seed = int(_hashed([lang], 7)[0] >> U(1))
-    hashes = _hashed(names.to_pylist(), seed)
-    if k == 1:
-        n = np.bincount(code, minlength=len(names))
-        part = (hashes % U(PARTS)).astype(np.int32)
-        return _rows(lang, pa.array([""] * len(n)), part, names, n, hashes)
-    of_word = hashes[code]
-    size = len(code) - (k - 1) + 1  # places at which a prefix of k - 1 words starts
-    if size <= 0:
-        return None
-    h = of_word[:size].copy()
-    for j in range(1, k - 1):
-        h = mix(h + of_word[j : j + size])
-    known = (bits[(h >> U(6)) & U(len(bits) - 1)] >> (h & U(63))) & U(1) == 1
-    one = piece[:size] == piece[k - 2 :]
-    at = np.flatnonzero(known & one)  # where a prefix stands that may be frequent
-    goes = np.zeros(len(at), bool)
-    inner = at + k - 1 < len(code)
-    goes[inner] = (piece[at[inner]] == piece[at[inner] + k - 1]) & known[at[inner] + 1]  # known[i + 1]: the last k - 1 words
-    if not len(at):
-        return None
-    prefix = code[at]
-    for j in range(1, k - 1):
-        prefix = _dense(prefix * len(names) + code[at + j])[1]
-    following = np.where(goes, code[np.minimum(at + k - 1, len(code) - 1)], len(names))
-    pair = prefix * (len(names) + 1) + following
-    first, inverse = _dense(pair)
-    n = np.bincount(inverse)
-    place, told = at[first], goes[first]
-    text = names.take(pa.array(code[place]))
-    for j in range(1, k - 1):
-        text = pc.binary_join_element_wise(text, names.take(pa.array(code[place + j])), " ")
-    last = np.minimum(place + k - 1, len(code) - 1)
-    whole = mix(h[place] + of_word[last])
-    part = np.where(np.isin(h[place], hot), np.where(told, of_word[last] % U(PARTS), U(0)).astype(np.int32), np.int32(-1)).astype(np.int32)
-    return _rows(lang, text, part, names.take(pa.array(code[last], mask=~told)), n, whole)
-
-
-def _stripes(k: int, bits: bytes | None, hot: list[int]):
-    """The task's function: texts (lang, text) to stripes of prefixes of k - 1 words."""
-
-    def merged(tables: list[pa.Table]) -> pa.Table:
-        keys = ["lang", "prefix", "part", "next"]
-        out = pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum"), ("h", "min")])
-        return out.select([*keys, "n_sum", "h_min"]).rename_columns(ENTRIES.names)
-
-    def striped(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        lists = table.group_by(["lang", "prefix", "part"], use_threads=False).aggregate([("next", "list"), ("n", "list"), ("h", "list")])
-        named = lists.select(["lang", "prefix", "part", "next_list", "n_list", "h_list"]).rename_columns(STRIPES.names).cast(STRIPES)
-        yield from named.to_batches(max_chunksize=20_000)
+class _Phrases:
+    """The phrases of some text: `code` (numbers of words in `names`), and for each length hashes and where they stand.
+
+    standing(k) tells, place by place, whether k words of one piece begin there; known(k) whether
+    these may be a frequent phrase, its first and last words included.
+    """
+
+    def __init__(self, lang: str, raw: np.ndarray, bits: list[np.ndarray]):
+        words, self.piece = _words(raw)
+        coded = words.dictionary_encode()
+        self.names, self.bits = coded.dictionary, bits
+        self.code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.of_name = _hashed(self.names.to_pylist(), int(_hashed([lang], 7)[0] >> U(1)))
+        self.hashes = [self.of_name[self.code]]
+        self.marks: list[np.ndarray] = []
+
+    def hashed(self, k: int) -> np.ndarray:
+        while len(self.hashes) < k:
+            before = self.hashes[-1]
+            self.hashes.append(mix(before[:-1] + self.hashes[0][len(self.hashes) :]))
+        return self.hashes[k - 1]
+
+    def standing(self, k: int) -> np.ndarray:
+        here = self.piece[: max(0, len(self.code) - k + 1)] == self.piece[k - 1 :]
+        return here & self.known(k - 1)[:-1] & self.known(k - 1)[1:] if k > 1 else here
+
+    def known(self, k: int) -> np.ndarray:
+        while len(self.marks) < k:
+            n = len(self.marks) + 1
+            bucket, mark = _bucket(self.hashed(n)), self.standing(n)
+            for at in (bucket & U(BITS - 1), ((bucket * U(SECOND)) >> U(17)) & U(BITS - 1)):
+                mark &= (self.bits[n - 1][at >> U(6)] >> (at & U(63))) & U(1) == 1
+            self.marks.append(mark)
+        return self.marks[k - 1]
+
+
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return h >> U(32)
+
+
+def _summed(value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order, and the sum of n of each."""
+    order = np.argsort(value, kind="stable")
+    value, n = value[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
+    return value[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def _hash_counts(k: int, bits: list[bytes]):
+    """The task's function: texts (lang, text) to (range, bucket, n) of the phrases of k words that may be frequent."""
+
+    def sent(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        value, n = _summed(np.concatenate([v for v, _ in held]), np.concatenate([c for _, c in held]))
+        wide = np.int64((1 << 32) // RANGES)
+        group = (value // wide).astype(np.int32)
+        first = np.flatnonzero(np.diff(group, prepend=-1))
+        cuts = pa.array(np.append(first, len(value)).astype(np.int32))
+        lists = [pa.array(group[first]), pa.ListArray.from_arrays(cuts, pa.array((value % wide).astype(np.int32))), pa.ListArray.from_arrays(cuts, pa.array(n.astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays(lists, names=["range", "place", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = None if bits is None else np.frombuffer(bits, U)
-        marked = np.array(hot, np.int64).view(U)
-        held: list[pa.Table] = []
-        rows, least = 0, 0
+        tables, held, size = [np.frombuffer(b, U) for b in bits], [], 0
         for lang, raw in _chunks(batches):
-            found = _counted(lang, raw, k, table_, marked)
-            if found is None:
+            text = _Phrases(lang, raw, tables)
+            if len(text.code) < k:
                 continue
-            held.append(found)
-            rows += len(found)
-            if rows - least > HELD:
-                held = [merged(held)]
-                least = rows = len(held[0])
-                if rows > HELD:
-                    yield from striped(held[0])
-                    held, rows, least = [], 0, 0
-        if held:
-            yield from striped(merged(held))
+            value, n = np.unique(_bucket(text.hashed(k)[text.standing(k)]).astype(np.int64), return_counts=True)
+            held.append((value, n.astype(np.int64)))
+            size += len(value)
+            if size > HASHES:
+                held = [_summed(np.concatenate([v for v, _ in held]), np.concatenate([c for _, c in held]))]
+                size = len(held[0][0])
+                if size > HASHES // 2:
+                    yield from sent(held)
+                    held, size = [], 0
+        if size:
+            yield from sent(held)
 
     return run
 
 
-def stripes(texts: DataFrame, k: int, often: int, bits: bytes | None = None, hot: list[int] | None = None) -> DataFrame:
-    """(lang, prefix, part, total, next): merged stripes of prefixes of k - 1 words of texts (lang, text).
+def _told(texts: DataFrame, k: int, often: int, bits: list[bytes]) -> tuple[bytes, list[int], int]:
+    """The bits of the phrases of k words that may be frequent, the buckets of those whose stripes are to be cut, and all occurrences counted.
 
-    `next` holds (word, n, h) of the words that follow at least `often` times; total is the sum of
-    all entries; part is -1 where a stripe is not cut. A stripe is merged by its rows' key, so its words meet without another shuffle.
+    The driver gets at most BITS / 64 numbers and at most HOT buckets, since so many can hold a HOT-th of all occurrences.
     """
-    keys = ["lang", "prefix", "part"]
-    made = texts.mapInArrow(_stripes(k, bits, hot or []), "lang string, prefix string, part int, next array<string>, n array<bigint>, h array<bigint>")
-    dealt = made.repartition(*keys)
-    each = dealt.select(*keys, F.explode(F.arrays_zip("next", "n", "h")).alias("e")).select(*keys, "e.next", "e.n", "e.h")
-    merged = each.groupBy(*keys, "next").agg(F.sum("n").alias("n"), F.min("h").alias("h"))
-    entry = F.when(F.col("next").isNotNull() & (F.col("n") >= often), F.struct(F.col("next").alias("word"), "n", "h"))
-    out = merged.groupBy(*keys).agg(F.sum("n").alias("total"), F.collect_list(entry).alias("next"))
-    return out.filter((F.col("part") >= 0) | (F.size("next") > 0) | (F.col("total") >= often))
+    made = texts.mapInArrow(_hash_counts(k, bits), "range int, place array<int>, n array<int>").repartition("range")
+    each = made.select("range", F.explode(F.arrays_zip("place", "n")).alias("e")).select("range", "e.place", "e.n")
+    bucket = F.col("range").cast("bigint") * ((1 << 32) // RANGES) + F.col("place")
+    found = checkpointed(each.groupBy("range", "place").agg(F.sum("n").alias("n")).filter(F.col("n") >= often).select(bucket.alias("bucket"), "n"))
+    both = found.select(F.expr(f"explode(array(bucket & {BITS - 1}, shiftright(bucket * {SECOND}L, 17) & {BITS - 1}))").alias("at"))
+    rows = both.groupBy(F.expr("shiftright(at, 6)").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("b")).toArrow()
+    out = np.zeros(max(1, BITS // 64), np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("b").to_numpy()
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = [r["bucket"] for r in found.filter(F.col("n") > total // HOT).select("bucket").collect()]
+    return out.tobytes(), hot, total
+
+
+def _distinct(columns: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of word numbers (from -1 to size - 1), and the sum of n of each."""
+    code = np.zeros(len(columns), np.int64)
+    for column in columns.T:
+        code = _dense(code * (size + 1) + column + 1)[1]
+    first, inverse = _dense(code)
+    return columns[first], np.bincount(inverse, n).astype(np.int64)
+
+
+class _Counters:
+    """What a task has counted of one language: phrases of frequent words as numbers of its own vocabulary."""
+
+    def __init__(self, longest: int):
+        self.words: dict[str, int] = {}
+        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(longest)]
+
+    def add(self, text: _Phrases) -> int:
+        """Counts some text; the number of entries added."""
+        known = text.known(1)
+        used = np.unique(text.code[known])
+        own = np.full(len(text.names) + 1, -1, np.int32)
+        own[used] = [self.words.setdefault(w, len(self.words)) for w in text.names.take(pa.array(used)).to_pylist()]
+        added = 0
+        for k, held in enumerate(self.held, 1):
+            if len(text.code) < k:
+                break
+            at = np.arange(len(text.code)) if k == 1 else np.flatnonzero(text.known(k))
+            columns = own[text.code[at[:, None] + np.arange(k)]]
+            held.append(_distinct(columns, np.ones(len(at)), len(self.words)))
+            added += len(held[-1][1])
+        return added
+
+    def merge(self) -> int:
+        for k, held in enumerate(self.held):
+            if held:
+                self.held[k] = [_distinct(np.concatenate([c for c, _ in held]), np.concatenate([n for _, n in held]), len(self.words))]
+        return sum(len(n) for held in self.held for _, n in held)
+
+    def striped(self, lang: str, hot: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The stripes of all that is held."""
+        self.merge()
+        names = pa.array([*self.words], pa.string())
+        of_name = _hashed([*self.words], int(_hashed([lang], 7)[0] >> U(1)))
+        for k, held in enumerate(self.held, 1):
+            for columns, n in held:
+                if not len(n):
+                    continue
+                prefix, h = np.zeros(len(n), np.int64), None
+                for column in columns.T[:-1]:
+                    prefix = _dense(prefix * len(names) + column)[1]
+                    h = of_name[column] if h is None else mix(h + of_name[column])
+                last = columns[:, -1]
+                part = np.where(last >= 0, (of_name[last] % U(PARTS)).astype(np.int32) if len(names) else 0, 0)
+                if h is not None:
+                    part = np.where(np.isin(_bucket(h).astype(np.int64), hot[k - 2]), part, -1)
+                order = np.lexsort((part, prefix))
+                first = np.flatnonzero((np.diff(prefix[order], prepend=-1) != 0) | (np.diff(part[order], prepend=-2) != 0))
+                shown = pa.array([""] * len(first)) if k == 1 else names.take(pa.array(columns[order[first], 0]))
+                for j in range(1, k - 1):
+                    shown = pc.binary_join_element_wise(shown, names.take(pa.array(columns[order[first], j])), " ")
+                cuts = pa.array(np.append(first, len(n)).astype(np.int32))
+                following = names.take(pa.array(last[order], mask=last[order] < 0))
+                lists = [pa.ListArray.from_arrays(cuts, following), pa.ListArray.from_arrays(cuts, pa.array(n[order]))]
+                yield from pa.Table.from_arrays([pa.array([lang] * len(first), pa.string()), shown, pa.array(part[order[first]].astype(np.int32)), *lists], schema=STRIPES).to_batches(max_chunksize=20_000)
+
+
+def _stripes(longest: int, bits: list[bytes], hot: list[list[int]]):
+    """The task's function: texts (lang, text) to stripes of prefixes of less than `longest` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, marked = [np.frombuffer(b, U) for b in bits], [np.array(x, np.int64) for x in hot]
+        counters: dict[str, _Counters] = {}
+        rows = least = 0
+        for lang, raw in _chunks(batches):
+            rows += counters.setdefault(lang, _Counters(longest)).add(_Phrases(lang, raw, tables))
+            if rows - least > HELD:
+                least = rows = sum(c.merge() for c in counters.values())
+            if rows > 2 * HELD:
+                for own, c in counters.items():
+                    yield from c.striped(own, marked)
+                counters, rows, least = {}, 0, 0
+        for own, c in counters.items():
+            yield from c.striped(own, marked)
 
+    return run
 
-def _told(level: DataFrame, n_words: int) -> tuple[bytes, list[int]]:
-    """The bits of a level's frequent phrases, and the hashes of those whose stripes are to be cut.
 
-    The driver gets at most BITS / 64 numbers, and at most HOT: so many phrases of one length can
-    stand at a HOT-th of all places.
+def stripes(texts: DataFrame, longest: int, often: int) -> DataFrame:
+    """(lang, prefix, part, total, next): merged stripes of the prefixes of less than `longest` words of texts (lang, text).
+
+    `next` holds (word, n) of the words that follow at least `often` times; total is the sum of all
+    entries, which for the empty prefix is the number of words; part is -1 where a stripe is not cut. A stripe is merged by its rows' key, so its words
+    meet without another shuffle.
     """
-    found = level.select(F.explode("next").alias("e")).select("e.n", "e.h")
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    place = F.expr(f"shiftrightunsigned(h, 6) & {BITS // 64 - 1}")
-    rows = found.groupBy(place.alias("at")).agg(F.bit_or(bit).alias("b")).toArrow()
-    bits = np.zeros(BITS // 64, np.int64)
-    bits[rows.column("at").to_numpy()] = rows.column("b").to_numpy()
-    hot = [r["h"] for r in found.filter(F.col("n") > n_words // HOT).select("h").collect()]
-    return bits.tobytes(), hot
+    bits: list[bytes] = []
+    hot: list[list[int]] = []
+    for k in range(1, longest + 1):
+        table, cut, _ = _told(texts, k, often, bits)
+        bits.append(table)
+        hot.append(cut)
+    keys = ["lang", "prefix", "part"]
+    made = texts.mapInArrow(_stripes(longest, bits, hot), "lang string, prefix string, part int, next array<string>, n array<bigint>")
+    each = made.repartition(*keys).select(*keys, F.explode(F.arrays_zip("next", "n")).alias("e")).select(*keys, "e.next", "e.n")
+    merged = each.groupBy(*keys, "next").agg(F.sum("n").alias("n"))
+    entry = F.when(F.col("next").isNotNull() & (F.col("n") >= often), F.struct(F.col("next").alias("word"), "n"))
+    out = merged.groupBy(*keys).agg(F.sum("n").alias("total"), F.collect_list(entry).alias("next"))
+    return out.filter((F.col("prefix") == "") | (F.size("next") > 0))
 
 
 def mined(docs: DataFrame, often: int = OFTEN, longest: int = LONGEST, inside: int = INSIDE, first: int = FIRST) -> DataFrame:
@@ -232,20 +326,12 @@ def mined(docs: DataFrame, often: int = OFTEN, longest: int = LONGEST, inside: i
     other columns are ignored, an empty table gives no rows.
     """
     texts = docs.select(F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"), text_or_empty("text").alias("text"))
-    levels = [checkpointed(stripes(texts, 1, often))]
-    totals = checkpointed(levels[0].groupBy("lang").agg(F.sum("total").alias("n")))
-    n_words = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    for k in range(2, longest + 1):
-        bits, hot = _told(levels[-1], n_words)
-        levels.append(checkpointed(stripes(texts, k, often, bits, hot)))
-
-    entry = lambda level: level.select("lang", "prefix", F.explode("next").alias("e"))
-    found = [entry(level).select("lang", F.concat("prefix", F.lit(" "), "e.word").alias("phrase"), F.col("e.n").alias("a")) for level in levels[1:]]
-    known = [level.groupBy("lang", F.col("prefix").alias("phrase")).agg(F.sum("total").alias("f")) for level in levels[1:]]
-    candidates, counts = found[0], known[0]
-    for more, also in zip(found[1:], known[1:], strict=True):
-        candidates, counts = candidates.unionByName(more), counts.unionByName(also)
-    candidates, counts = checkpointed(candidates), checkpointed(counts.filter(F.col("f") >= often))
+    merged = checkpointed(stripes(texts, longest, often))
+    totals = checkpointed(merged.filter("prefix = ''").groupBy("lang").agg(F.sum("total").alias("n")))
+    longer = merged.filter("prefix <> ''")
+    candidates = checkpointed(longer.select("lang", "prefix", F.explode("next").alias("e")).select("lang", F.concat("prefix", F.lit(" "), "e.word").alias("phrase"), F.col("e.n").alias("a")))
+    alone = merged.filter("prefix = ''").select("lang", F.explode("next").alias("e")).select("lang", F.col("e.word").alias("phrase"), F.col("e.n").alias("f"))
+    counts = alone.unionByName(candidates.withColumnRenamed("a", "f"))
 
     part = lambda start, size: F.array_join(F.slice("w", start, size), " ")
     cuts = candidates.withColumn("w", F.split("phrase", " ", -1)).withColumn("cut", F.explode(F.sequence(F.lit(1), F.size("w") - 1)))
@@ -256,9 +342,8 @@ def mined(docs: DataFrame, often: int = OFTEN, longest: int = LONGEST, inside: i
     score = F.expr(f"(cast(1000 as {wide}) * cast(a as {wide}) * cast(n as {wide})) div (cast(l as {wide}) * cast(r as {wide}))")
     scored = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("c"))
 
-    longer = candidates.filter(F.size(F.split("phrase", " ", -1)) > 2)
     ends = F.explode(F.array(F.regexp_extract("phrase", "(?s)^(.*) [^ ]*$", 1), F.regexp_extract("phrase", "(?s)^[^ ]* (.*)$", 1)))
-    held = longer.select("lang", "a", ends.alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("most"))
+    held = candidates.filter(F.size(F.split("phrase", " ", -1)) > 2).select("lang", "a", ends.alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("most"))
     left = scored.join(held, ["lang", "phrase"], "left").filter(F.coalesce(F.col("most").cast(wide) * 100 < F.col("a").cast(wide) * inside, F.lit(True)))
     order = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase")
     ranked = left.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)

@@ -192,7 +192,7 @@ def test_collocations_equal_brute_force(spark, often, inside, first):
 def test_collocations_with_cut_stripes_and_small_pieces(spark, monkeypatch):
     """Cut stripes, full bit tables, many merges in a task and cut long texts change no row."""
     rows = [("en", prose(i, 200)) for i in range(6)]
-    for name, value in (("HOT", 4), ("PARTS", 3), ("BITS", 64), ("PIECE", 64), ("HELD", 40)):
+    for name, value in (("HOT", 4), ("PARTS", 3), ("BITS", 64), ("PIECE", 64), ("HELD", 40), ("HASHES", 50), ("RANGES", 4)):
         monkeypatch.setattr(collocations, name, value)
     df = spark.createDataFrame(rows, "lang string, text string")
     assert sorted(tuple(r) for r in collocations.mined(df, often=4).collect()) == brute_collocations(rows, 4)
