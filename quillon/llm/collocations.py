@@ -11,8 +11,9 @@ Which phrases may be frequent is found before, one word longer each time: a phra
 if its first and its last words are, so only such phrases are counted, by 32 bits of a hash. The
 frequent ones are told to the tasks as two bits each of a table of fixed size (BITS); bits set by chance
 cost a row, never an answer. So words are shuffled for frequent phrases only. A prefix of many
-occurrences, and the empty one, has its stripe cut by the next word into PARTS rows; there are at
-most HOT such prefixes of one length by arithmetic.
+occurrences has its stripe cut by the next word, so that a part stands for at most about a HOT-th of all
+occurrences; there are at most HOT such prefixes of one length by arithmetic. The empty prefix is
+cut into PARTS.
 
 Words are told apart by their bytes; hashes serve the bits and the cut only.
 """
@@ -32,8 +33,8 @@ from quillon.llm.shingles import mix
 
 #: Occurrences of a candidate; words of a phrase; share (per hundred) of a longer phrase that subsumes; rows of a language.
 OFTEN, LONGEST, INSIDE, FIRST = 100, 5, 100, 2000
-#: Bits told to the tasks for each length, prefixes whose stripes are cut at most, and rows into which they are cut.
-BITS, HOT, PARTS = 1 << 24, 2000, 64
+#: Bits told to the tasks for each length, prefixes whose stripes are cut at most, and rows into which the empty prefix is cut.
+BITS, HOT, PARTS = 1 << 24, 2000, 512
 #: An odd factor below 2^31 that gives the second bit of a 32-bit hash.
 SECOND = 1640531527
 #: Bytes of text that a task counts together, entries and hashes that it holds before it sends them, and groups of hashes.
@@ -187,8 +188,8 @@ def _hash_counts(k: int, bits: list[bytes]):
     return run
 
 
-def _told(texts: DataFrame, k: int, often: int, bits: list[bytes]) -> tuple[bytes, list[int], int]:
-    """The bits of the phrases of k words that may be frequent, the buckets of those whose stripes are to be cut, and all occurrences counted.
+def _told(texts: DataFrame, k: int, often: int, bits: list[bytes]) -> tuple[bytes, list[tuple[int, int]]]:
+    """The bits of the phrases of k words that may be frequent, and (bucket, parts) of those whose stripes are to be cut.
 
     The driver gets at most BITS / 64 numbers and at most HOT buckets, since so many can hold a HOT-th of all occurrences.
     """
@@ -201,8 +202,8 @@ def _told(texts: DataFrame, k: int, often: int, bits: list[bytes]) -> tuple[byte
     out = np.zeros(max(1, BITS // 64), np.int64)
     out[rows.column("at").to_numpy()] = rows.column("b").to_numpy()
     total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = [r["bucket"] for r in found.filter(F.col("n") > total // HOT).select("bucket").collect()]
-    return out.tobytes(), hot, total
+    hot = [(r["bucket"], -(-r["n"] * HOT // total)) for r in found.filter(F.col("n") > total // HOT).collect()]
+    return out.tobytes(), sorted(hot)
 
 
 def _distinct(columns: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,9 +258,13 @@ class _Counters:
                     prefix = _dense(prefix * len(names) + column)[1]
                     h = of_name[column] if h is None else mix(h + of_name[column])
                 last = columns[:, -1]
-                part = np.where(last >= 0, (of_name[last] % U(PARTS)).astype(np.int32) if len(names) else 0, 0)
+                cut = np.full(len(n), PARTS, np.int64)
                 if h is not None:
-                    part = np.where(np.isin(_bucket(h).astype(np.int64), hot[k - 2]), part, -1)
+                    bucket, (cuts, parts) = _bucket(h).astype(np.int64), hot[k - 2].T
+                    at = np.minimum(np.searchsorted(cuts, bucket), max(0, len(cuts) - 1))
+                    cut = np.where(cuts[at] == bucket, parts[at], 1) if len(cuts) else np.ones(len(n), np.int64)
+                of_last = of_name[last] if len(names) else np.zeros(len(n), U)
+                part = np.where(cut == 1, -1, np.where(last >= 0, (of_last % cut.astype(U)).astype(np.int64), 0))
                 order = np.lexsort((part, prefix))
                 first = np.flatnonzero((np.diff(prefix[order], prepend=-1) != 0) | (np.diff(part[order], prepend=-2) != 0))
                 shown = pa.array([""] * len(first)) if k == 1 else names.take(pa.array(columns[order[first], 0]))
@@ -271,11 +276,11 @@ class _Counters:
                 yield from pa.Table.from_arrays([pa.array([lang] * len(first), pa.string()), shown, pa.array(part[order[first]].astype(np.int32)), *lists], schema=STRIPES).to_batches(max_chunksize=20_000)
 
 
-def _stripes(longest: int, bits: list[bytes], hot: list[list[int]]):
+def _stripes(longest: int, bits: list[bytes], hot: list[list[tuple[int, int]]]):
     """The task's function: texts (lang, text) to stripes of prefixes of less than `longest` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, marked = [np.frombuffer(b, U) for b in bits], [np.array(x, np.int64) for x in hot]
+        tables, marked = [np.frombuffer(b, U) for b in bits], [np.array(x, np.int64).reshape(-1, 2) for x in hot]
         counters: dict[str, _Counters] = {}
         rows = least = 0
         for lang, raw in _chunks(batches):
@@ -300,9 +305,9 @@ def stripes(texts: DataFrame, longest: int, often: int) -> DataFrame:
     meet without another shuffle.
     """
     bits: list[bytes] = []
-    hot: list[list[int]] = []
+    hot: list[list[tuple[int, int]]] = []
     for k in range(1, longest + 1):
-        table, cut, _ = _told(texts, k, often, bits)
+        table, cut = _told(texts, k, often, bits)
         bits.append(table)
         hot.append(cut)
     keys = ["lang", "prefix", "part"]
