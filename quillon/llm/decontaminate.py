@@ -5,9 +5,11 @@ joined with the windows of the benchmark. Matches of one alignment form a run; o
 values in the slots of item and document must correspond one way, so a question asked again with
 other numbers or names is caught, and an accidental likeness of templates is not.
 
-A word's placeholder depends on the word alone (a unit also on the number before it), so an item
-gives the same windows wherever it stands. Windows of almost nothing but placeholders would match
-any list of numbers; they are matched by their plain words.
+A word's placeholder depends on the word alone (a unit also on the number before it), whatever
+punctuation stands at its ends. Every window is also hashed by its plain words, without case and
+punctuation, and either hash may carry a run: so a copy is found word for word even where its
+capitals are lost, and a changed question by its template. Windows of almost nothing but placeholders
+would match any list of numbers; they are matched by their plain words alone.
 """
 
 from __future__ import annotations
@@ -40,11 +42,11 @@ def telling(n: int) -> int:
 def _canonical(flat: Column) -> Column:
     """The template of a text with single spaces, word by word: placeholders, else lower case without punctuation.
 
-    A name is a word that begins with a capital; a number is a word whose first letter or digit is a
+    A name is a word whose first letter or digit is a capital; a number is a word whose first letter or digit is a
     digit; a unit is a listed word after a number. Words stay in place, words of punctuation alone
     become empty.
     """
-    named = F.regexp_replace(flat, "(?<![^ ])[\\p{Lu}\\p{Lt}][^ ]*", NAME)
+    named = F.regexp_replace(flat, "(?<![^ ])[^\\p{L}\\p{N} ]*[\\p{Lu}\\p{Lt}][^ ]*", NAME)
     counted = F.regexp_replace(named, "(?<![^ ])[^\\p{L}\\p{N} ]*[0-9][^ ]*", NUMBER)
     mark = "[^\\p{L}\\p{N} ]*"
     united = F.regexp_replace(counted, f"(?i)(?<={NUMBER} ){mark}(?:{'|'.join(UNITS)}){mark}(?![^ ])", UNIT)
@@ -52,46 +54,36 @@ def _canonical(flat: Column) -> Column:
     return F.lower(F.regexp_replace(filled, f"[^\\p{{L}}\\p{{N}} {NUMBER}-{NAME}]+", ""))
 
 
-def with_tokens(df: DataFrame, text: str, lengths: list[int] | None = None) -> DataFrame:
-    """df with `w`, the template words of a text, and `p`, the plain words behind them.
-
-    If only windows of the given lengths are asked for, p is null where none of them needs it: a
-    window of WIDTH words that is matched by its plain words has four placeholders in a row.
-    """
+def with_tokens(df: DataFrame, text: str) -> DataFrame:
+    """df with `w`, the template words of a text, and `p`, the plain words behind them."""
     held = lambda x: F.filter(F.split(x, " ", -1), lambda y: y != "")
-    df = df.withColumn("_flat", F.regexp_replace(text_or_empty(text), f"{GAP}+", " ")).withColumn("_canon", _canonical(F.col("_flat")))
-    plain = held(F.lower(F.regexp_replace("_flat", "[^\\p{L}\\p{N} ]+", "")))
-    if lengths == [WIDTH]:
-        plain = F.when(F.col("_canon").rlike(f"(?:[{NUMBER}-{NAME}] +){{3}}[{NUMBER}-{NAME}]"), plain)
-    return df.withColumns({"w": held(F.col("_canon")), "p": plain}).drop("_flat", "_canon")
+    df = df.withColumn("_flat", F.regexp_replace(text_or_empty(text), f"{GAP}+", " "))
+    plain = F.lower(F.regexp_replace("_flat", "[^\\p{L}\\p{N} ]+", ""))
+    return df.withColumns({"w": held(_canonical(F.col("_flat"))), "p": held(plain)}).drop("_flat")
 
 
 def windows(tokens: DataFrame, keep: list[str], at: str, lengths: list[int]) -> DataFrame:
-    """(keep, at, hash) of every window of each of the given lengths in `w`; texts without a word have none.
+    """(keep, at, hash) of every window of each of the given lengths, by template and by plain words; texts without a word have none.
 
     Places are exploded and words are read by position, so that hashes are computed in compiled code.
     """
     place = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - min(lengths)))
     each = tokens.select(*keep, "w", "p", F.explode_outer(place).alias(at)).filter(F.get("w", F.col(at) + (min(lengths) - 1)).isNotNull())
-    hashes = [_hash(at, n)[0] for n in lengths]
-    if len(lengths) == 1:
-        return each.select(*keep, at, hashes[0].alias("hash"))
-    many = F.explode_outer(F.array(*[F.when(F.get("w", F.col(at) + (n - 1)).isNotNull(), h) for n, h in zip(lengths, hashes, strict=True)]))
-    return each.select(*keep, at, many.alias("hash")).filter("hash is not null")
+    hashes = [F.when(F.get("w", F.col(at) + (n - 1)).isNotNull(), h) for n in lengths for h in _hash(at, n)[:2]]
+    return each.select(*keep, at, F.explode_outer(F.array(*hashes)).alias("hash")).filter("hash is not null")
 
 
-def _hash(at: str, n: int) -> tuple[Column, Column]:
-    """The hash of the window of n words from `at`, and whether it stands for the template."""
+def _hash(at: str, n: int) -> tuple[Column, Column, Column]:
+    """The hashes of the window of n words from `at` by template (null if it tells too little) and by plain words, and whether it has the former."""
     near = [F.get("w", F.col(at) + k) for k in range(n)]
     light = sum((F.when(w.isin(NUMBER, UNIT, NAME), 0).otherwise(1) for w in near), F.lit(0)) >= telling(n)
-    plain = F.xxhash64(F.lit(-n), *[F.get("p", F.col(at) + k) for k in range(n)])
-    return F.when(light, F.xxhash64(F.lit(n), *near)).otherwise(plain), light
+    return F.when(light, F.xxhash64(F.lit(n), *near)), F.xxhash64(F.lit(-n), *[F.get("p", F.col(at) + k) for k in range(n)]), light
 
 
 def item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
     """(item_id, item_pos, hash, n, need, rare) of the windows of items (item_id, w, p).
 
-    A first word that would be a unit after a number gives its window in both forms. A run needs
+    A first word that would be a unit after a number gives its template in both forms. A run needs
     RUN windows or all that match by template, if any do, else all. Of n windows of which `need` must be met, any
     n - need + 1 hold one that is: the rarest in the benchmark are marked, and find the candidates.
     """
@@ -100,8 +92,9 @@ def item_windows(items: DataFrame, lengths: list[int]) -> DataFrame:
     for n in lengths:
         own = lambda df, n=n: df.filter(F.least(F.size("w"), F.lit(WIDTH)) == n)
         for df, places in ((own(items), F.sequence(F.lit(0), F.size("w") - n)), (own(first), F.array(F.lit(0)))):
-            hash_, light = _hash("item_pos", n)
-            parts.append(df.select("item_id", "w", "p", F.explode_outer(places).alias("item_pos")).select("item_id", "item_pos", hash_.alias("hash"), light.alias("light"), F.lit(n).alias("n")))
+            template, plain, light = _hash("item_pos", n)
+            placed = df.select("item_id", "w", "p", F.explode_outer(places).alias("item_pos")).select("item_id", "item_pos", F.array(template, plain).alias("both"), light.alias("light"), F.lit(n).alias("n"))
+            parts.append(placed.select("item_id", "item_pos", F.explode_outer("both").alias("hash"), "light", "n").filter("hash is not null"))
     each = parts[0]
     for part in parts[1:]:
         each = each.unionByName(part)
@@ -127,7 +120,7 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     lengths = sorted(r["n"] for r in items.select(F.least(F.size("w"), F.lit(WIDTH)).alias("n")).distinct().collect()) or [WIDTH]
     wanted = checkpointed(item_windows(items, lengths))
     texts = docs.select(text_or_empty("text").alias("text")).withColumn("text_hash", F.md5("text"))
-    read = windows(with_tokens(texts, "text", lengths), ["text_hash"], "pos", lengths)
+    read = windows(with_tokens(texts, "text"), ["text_hash"], "pos", lengths)
     met = checkpointed(read.join(small(wanted.select("hash").distinct()), "hash", "left_semi").distinct())
     rare = wanted.filter("rare").select("hash", "item_id", "item_pos")
     tried = met.join(small(rare), "hash").select("text_hash", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).distinct()

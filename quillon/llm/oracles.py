@@ -34,13 +34,13 @@ def _tokens(table: str, key: str) -> str:
     return rf"""
   SELECT {key}, word, canon, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS place FROM (
     SELECT {key}, i, word, CASE WHEN substr(word, 1, 1) BETWEEN '0' AND '9' THEN '#q'
-      WHEN substr(raw, 1, 1) <> lower(substr(raw, 1, 1)) THEN '#n'
+      WHEN substr(bare, 1, 1) <> lower(substr(bare, 1, 1)) THEN '#n'
       WHEN coalesce(substr(before_word, 1, 1) BETWEEN '0' AND '9', false) AND word IN ({_UNITS}) THEN '#u'
       ELSE word END AS canon
     FROM (
-      SELECT {key}, i, raw, word, lag(word) OVER (PARTITION BY {key} ORDER BY i) AS before_word
-      FROM (SELECT {key}, unnest(raws) AS raw, unnest(plains) AS word, unnest(range(len(raws))) AS i FROM (
-        SELECT {key}, string_split(flat, ' ') AS raws, string_split(lower(regexp_replace(flat, '[^\p{{L}}\p{{N}} ]+', '', 'g')), ' ') AS plains
+      SELECT {key}, i, bare, word, lag(word) OVER (PARTITION BY {key} ORDER BY i) AS before_word
+      FROM (SELECT {key}, unnest(bares) AS bare, unnest(plains) AS word, unnest(range(len(bares))) AS i FROM (
+        SELECT {key}, string_split(regexp_replace(flat, '[^\p{{L}}\p{{N}} ]+', '', 'g'), ' ') AS bares, string_split(lower(regexp_replace(flat, '[^\p{{L}}\p{{N}} ]+', '', 'g')), ' ') AS plains
         FROM (SELECT {key}, regexp_replace(coalesce(text, ''), '{_SPACE}+', ' ', 'g') AS flat FROM {table}))))
   ) WHERE word <> ''"""
 
@@ -48,7 +48,7 @@ def _tokens(table: str, key: str) -> str:
 def _keyed(table: str, key: str) -> str:
     """(key, n, place, light, window_) of the windows of n words of (key, n, starts, cs, ws), from the places `starts`."""
     return rf"""
-  SELECT {key}, n, place, light, CASE WHEN light THEN n || ' ' || array_to_string(c, ' ') ELSE -n || ' ' || array_to_string(w, ' ') END AS window_ FROM (
+  SELECT {key}, n, place, light, unnest(CASE WHEN light THEN [n || ' ' || array_to_string(c, ' '), -n || ' ' || array_to_string(w, ' ')] ELSE [-n || ' ' || array_to_string(w, ' ')] END) AS window_ FROM (
     SELECT *, len(list_filter(c, lambda x: x NOT IN ('#q', '#u', '#n'))) >= CASE WHEN n = {WIDTH} THEN {TELLING} ELSE least(n, {SHORT_TELLING}) END AS light FROM (
       SELECT {key}, n, place, cs[place + 1:place + n] AS c, ws[place + 1:place + n] AS w FROM (SELECT {key}, n, cs, ws, unnest(starts) AS place FROM {table})))"""
 
@@ -171,7 +171,8 @@ _GRAMS = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(ws[i:i + {k
 OP12 = rf"""
 WITH p AS (
   SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents
+-
+]')) AS piece FROM documents
 ), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p),
 g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM ({_GRAMS}) GROUP BY ALL HAVING k = 1 OR count(*) >= {OFTEN}),
 n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
