@@ -19,7 +19,11 @@ def broadcast_if_small(df: DataFrame, rows: int = 200_000, most: int = 32 << 20)
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, paper_id, tf, dl) of every chunk."""
-    words = chunks.select("chunk_id", "paper_id", T.index_tokens(F.col("body")).alias("w"))
+    return counted(chunks.select("chunk_id", "paper_id", T.index_tokens(F.col("body")).alias("w")))
+
+
+def counted(words: DataFrame) -> DataFrame:
+    """The postings of chunks with their tokens `w`."""
     each = words.select("chunk_id", "paper_id", F.size("w").alias("dl"), F.explode_outer("w").alias("term")).filter("term is not null")
     return each.groupBy("term", "chunk_id", "paper_id", "dl").agg(F.count("*").alias("tf"))
 

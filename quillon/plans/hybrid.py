@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import chunking, search
+from quillon.operators import chunking, index, search
 from quillon.plans.base import registrar
 from quillon.plans.corpus import CLAIM_STOP, SECTION_CHUNKS, TYPED, markdown, typed
-from quillon.plans.retrieval import ASKED, DENSE, INDEX, LEXICAL, ORACLES as BEFORE, TERMS, asked, chunks, dense, hydrate, lexical, quota_sql, text_retrieve
+from quillon.plans.retrieval import ASKED, DENSE, INDEX, LEXICAL, ORACLES as BEFORE, TERMS, asked, chunks, dense, hydrate, lexical, quota_sql, stored, text_retrieve, with_bodies
 from quillon.sources.corpus import CHUNKS, read, tasks, TASKS
 
 QUERIES: dict = {}
@@ -26,7 +26,7 @@ QUERY_VECTORS = "qv AS (SELECT query_id, embedding AS q FROM queries JOIN embedd
 def text_match(spark, sf_dir):
     """How many chunks hold a term of each query."""
     terms = search.broadcast_if_small(search.query_terms(asked(spark, sf_dir)))
-    hits = search.postings(chunks(spark, sf_dir)).select("term", "chunk_id").join(terms, "term")
+    hits = index.postings(spark, stored(spark, sf_dir), terms).select("term", "chunk_id").join(terms, "term")
     return hits.select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("n_chunks"))
 
 
@@ -43,7 +43,7 @@ def merge_query_hits(spark, sf_dir):
 
 @query(f"WITH r AS ({BEFORE['text_retrieve']}), {CHUNKS} SELECT query_id, place AS ref, chunk_id, substr(body, 1, 280) || CASE WHEN length(body) > 280 THEN '…' ELSE '' END AS preview FROM r JOIN chunks USING (chunk_id)")
 def number_citations(spark, sf_dir):
-    rows = text_retrieve(spark, sf_dir).select("query_id", "chunk_id", F.col("place").alias("ref")).join(chunks(spark, sf_dir).select("chunk_id", "body"), "chunk_id")
+    rows = with_bodies(spark, sf_dir, text_retrieve(spark, sf_dir).select("query_id", "chunk_id", "paper_id", F.col("place").alias("ref")))
     return rows.select("query_id", "ref", "chunk_id", F.concat(F.substring("body", 1, 280), F.when(F.length("body") > 280, "…").otherwise("")).alias("preview"))
 
 

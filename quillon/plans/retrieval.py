@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import chunking, search
+from quillon.operators import chunking, index, search
 from quillon.plans.base import registrar
+from quillon.sources import sinks
 from quillon.sources.corpus import CHUNKS, read
 
 QUERIES: dict = {}
@@ -43,13 +47,29 @@ def chunks(spark, sf_dir):
     return chunking.chunks(read(spark, sf_dir, "documents"))
 
 
+def stored(spark, sf_dir) -> str:
+    """The folder of the index of documents: written once for these files, by their paths, times and sizes, and then read by every search."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
+    mark = files.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(path, modificationTime, length))").alias("x")).first()
+    path = f"{sinks.shared_folder(spark)}/index-{hashlib.sha256(f'{sf_dir}|{mark}'.encode()).hexdigest()[:32]}"
+    if not index.manifest(spark, path)[0]:
+        index.build(spark, chunks(spark, sf_dir), path)
+    return path
+
+
 def lexical(spark, sf_dir, k=40, ask=None, rows=None):
-    """The k best chunks (of documents, or of `rows`) of each query by BM25; statistics cover the whole index."""
-    rows = chunks(spark, sf_dir) if rows is None else rows
-    index = search.postings(rows)
+    """The k best chunks (of the stored index of documents, or of `rows`) of each query by BM25; statistics cover the whole index."""
+    ask = asked(spark, sf_dir) if ask is None else ask
+    if rows is None:
+        return index.bm25_topk(spark, stored(spark, sf_dir), ask, k)
     lengths = rows.select(F.size(T.index_tokens(F.col("body"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("m")).first()
-    scored = search.bm25(index, search.query_terms(asked(spark, sf_dir) if ask is None else ask), lengths["n"], lengths["m"] or 1.0)
-    return search.ranked(scored, F.col("score"), k)
+    return search.ranked(search.bm25(search.postings(rows), search.query_terms(ask), lengths["n"], lengths["m"] or 1.0), F.col("score"), k)
+
+
+def with_bodies(spark, sf_dir, found):
+    """found (chunk_id, paper_id and more) with the bodies of its chunks, from the stored index."""
+    found = sinks.kept(found)
+    return found.join(index.chunks(spark, stored(spark, sf_dir), found).select("chunk_id", "body"), "chunk_id")
 
 
 def dense(spark, sf_dir):
@@ -66,7 +86,22 @@ def search_tokens(spark, sf_dir):
 
 @query(f"WITH {CHUNKS}, {INDEX} SELECT term, chunk_id, paper_id, dl, tf FROM postings")
 def build_text_index(spark, sf_dir):
-    return search.postings(chunks(spark, sf_dir)).select("term", "chunk_id", "paper_id", "dl", "tf")
+    """The postings of the stored index, read back."""
+    return index.postings(spark, stored(spark, sf_dir)).select("term", "chunk_id", "paper_id", "dl", "tf")
+
+
+CHANGED = "changed AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN coalesce(text, '') || ' ' || lang || ' ' || source ELSE text END AS text FROM documents WHERE doc_id % 10 <> 7)"
+
+
+@query(LEXICAL.replace(CHUNKS, f"{CHANGED}, {CHUNKS.replace('FROM documents', 'FROM changed')}") + " SELECT query_id, chunk_id, paper_id, score, rank FROM top")
+def updated_index_topk(spark, sf_dir):
+    """Searches after an update of the index in which a tenth of the papers has a new text and a tenth is gone."""
+    base = stored(spark, sf_dir)
+    docs = read(spark, sf_dir, "documents").filter("doc_id % 10 in (3, 7)")
+    longer = F.concat_ws(" ", F.coalesce("text", F.lit("")), "lang", "source")
+    path = f"{sinks.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    index.replace(spark, chunking.chunks(docs.filter("doc_id % 10 = 3").withColumn("text", longer)), docs.select(F.col("doc_id").cast("string").alias("paper_id")), path, index.manifest(spark, base)[1])
+    return index.bm25_topk(spark, path, asked(spark, sf_dir))
 
 
 @query(f"{LEXICAL} SELECT query_id, chunk_id, paper_id, score, rank FROM top")
@@ -76,7 +111,7 @@ def bm25_topk(spark, sf_dir):
 
 @query(f"{LEXICAL} SELECT query_id, chunk_id, paper_id, rank, body FROM top JOIN chunks USING (chunk_id, paper_id)")
 def hydrate(spark, sf_dir):
-    return lexical(spark, sf_dir).join(chunks(spark, sf_dir).select("chunk_id", "body"), "chunk_id").select("query_id", "chunk_id", "paper_id", "rank", "body")
+    return with_bodies(spark, sf_dir, lexical(spark, sf_dir)).select("query_id", "chunk_id", "paper_id", "rank", "body")
 
 
 DEDUPED = f"""{LEXICAL}, deduped AS (SELECT * FROM top JOIN chunks USING (chunk_id, paper_id)
@@ -96,7 +131,7 @@ def paper_quota(spark, sf_dir):
 @query(f"{DEDUPED} SELECT query_id, chunk_id, paper_id, score, place FROM ({quota_sql('deduped')})")
 def text_retrieve(spark, sf_dir):
     """Lexical candidates, one row for each text, at most three chunks of a paper, eight papers, eight rows."""
-    top = lexical(spark, sf_dir).join(chunks(spark, sf_dir).select("chunk_id", "body"), "chunk_id")
+    top = with_bodies(spark, sf_dir, lexical(spark, sf_dir))
     return search.paper_quota(search.dedupe_results(top)).select("query_id", "chunk_id", "paper_id", "score", "place")
 
 

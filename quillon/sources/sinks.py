@@ -84,15 +84,23 @@ def with_latest_score(papers: DataFrame, reports: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.coalesce("new_score", "score")).drop("new_score")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df, written to and read from the shared folder, so that it is computed once."""
+    if df.sparkSession.sparkContext.getCheckpointDir() is None:
+        df.sparkSession.sparkContext.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which driver and executors share.
 
-    A local session without one gets a folder of its own; on a cluster that is an error.
+    A local session without one gets a folder of its own, which it keeps; on a cluster that is an error.
     """
     sc = spark.sparkContext
     folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if folder is None and sc.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getCheckpointDir()
     if folder is None:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return folder
