@@ -187,9 +187,24 @@ def is_mostly_cjk(text: Column) -> Column:
     return (F.length(F.regexp_replace(text, "[^\\u4e00-\\u9fff]", "")) >= 0.25 * solid) & (solid > 0)
 
 
+#: A closed fence of code in Markdown.
+FENCE = "(?s)```.*?```"
+
+
+def outside_fences(text: Column, rule) -> Column:
+    """A text with a rule applied to each stretch between closed fences of code; the fences stay as they are."""
+    fences = F.regexp_extract_all(text, F.lit(FENCE), F.lit(0))
+    return F.array_join(F.transform(F.split(text, FENCE, -1), lambda part, i: F.concat(rule(part), F.coalesce(F.get(fences, i), F.lit("")))), "")
+
+
 def normalize_math(text: Column) -> Column:
-    r"""\[..\] and \(..\) become dollar marks."""
-    return F.regexp_replace(F.regexp_replace(text, "\\\\[\\[\\]]", "\\$\\$"), "\\\\[()]", "\\$")
+    r"""Outside of fences \[..\] becomes a display in dollar marks of its own, \(..\) stands in single ones, a full-width star is a plain one."""
+
+    def rule(part: Column) -> Column:
+        shown = F.regexp_replace(part, r"(?sU)\\\[\s*(.*?)\s*\\\]", "\n\n\\$\\$\n$1\n\\$\\$\n\n")
+        return F.replace(F.regexp_replace(shown, r"(?sU)\\\(\s*(.*?)\s*\\\)", "\\$$1\\$"), F.lit("\uff0a"), F.lit("*"))
+
+    return outside_fences(text, rule)
 
 
 def page_hints(text: Column) -> tuple[Column, Column]:
@@ -242,10 +257,15 @@ def repetition(text: Column) -> Column:
     return F.when((F.length(text) < 500) | (last < 80), False).when(~thrice(F.lit(80)), False).otherwise(F.exists(F.sequence(F.lit(80), F.greatest(last, F.lit(80))), thrice))
 
 
+#: Field names of the two languages of a query.
+CHINESE_KEYS = ("zh", "chinese", "query_zh", "zh_query", "中文")
+ENGLISH_KEYS = ("en", "english", "query_en", "en_query", "英文")
+
+
 def query_json(raw: Column, *names: str) -> Column:
     """The first field of these names in a lenient JSON text: fenced, embedded in prose, or only near JSON."""
     body = F.regexp_extract(raw, "(?s)(\\{.*\\})", 1)
-    fields = [F.nullif(F.trim(F.get_json_object(body, f"$.{n}")), F.lit("")) for n in names]
+    fields = [F.nullif(F.trim(F.get_json_object(body, f"$['{n}']")), F.lit("")) for n in names]
     loose = F.regexp_extract(raw, f"(?i)[\"']?(?:{'|'.join(names)})[\"']?\\s*[:=]\\s*[\"']([^\"']+)[\"']", 1)
     return F.coalesce(*fields, F.nullif(F.trim(loose), F.lit("")))
 

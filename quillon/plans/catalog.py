@@ -220,15 +220,19 @@ def batch_outcome(spark, sf_dir, sample=5):
     return counts.join(F.broadcast(told)).select("total", "succeeded", "skipped", "failed", F.when(F.size("l") > 0, F.array_join(F.transform("l", lambda x: x["e"]), "; ")).alias("errors"))
 
 
-@query(f"WITH {PAPERS}, {CHUNKS} SELECT id, parse_status, index_status, CASE WHEN length(coalesce(text, '')) >= 100 THEN 'parsed' ELSE parse_status END AS new_parse, CASE WHEN coalesce(n, 0) > 1 THEN 'indexed' WHEN index_status = 'indexed' THEN 'pending' ELSE index_status END AS new_index FROM papers LEFT JOIN (SELECT paper_id, count(*) AS n FROM chunks GROUP BY 1) ON paper_id = id")
+@query(f"WITH {PAPERS}, {CHUNKS} SELECT id, parse_status, status AS index_status, CASE WHEN length(coalesce(text, '')) >= 100 THEN 'parsed' ELSE parse_status END AS new_parse, CASE WHEN n > 0 THEN 'indexed' WHEN status IN ('indexed', 'indexing') THEN 'pending' ELSE status END AS new_index FROM (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'indexing' ELSE index_status END AS status FROM papers) LEFT JOIN (SELECT paper_id, count(*) AS n FROM chunks WHERE paper_id::BIGINT % 3 <> 0 GROUP BY 1) ON paper_id = id")
 def reconcile(spark, sf_dir):
-    """Statuses set right from what is there: a text of 100 characters is parsed, more than one chunk is indexed."""
+    """Statuses set right from what is there: a text of 100 characters is parsed, any chunk makes a paper indexed, one without is pending again if it was indexed or being indexed.
+
+    Every third paper has lost its chunks, and every seventh is being indexed.
+    """
     from quillon.plans.corpus import chunks
 
-    counts = chunks(spark, sf_dir).groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("n"))
-    rows = papers(spark, sf_dir).join(counts, "id", "left")
+    counts = chunks(spark, sf_dir).filter(F.col("paper_id").cast("bigint") % 3 != 0).groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("n"))
+    status = F.when(F.col("doc_id") % 7 == 0, "indexing").otherwise(F.col("index_status"))
+    rows = papers(spark, sf_dir).withColumn("index_status", status).join(counts, "id", "left")
     parse = F.when(F.length(F.coalesce("text", F.lit(""))) >= 100, "parsed").otherwise(F.col("parse_status"))
-    index = F.when(F.coalesce("n", F.lit(0)) > 1, "indexed").when(F.col("index_status") == "indexed", "pending").otherwise(F.col("index_status"))
+    index = F.when(F.col("n") > 0, "indexed").when(F.col("index_status").isin("indexed", "indexing"), "pending").otherwise(F.col("index_status"))
     return rows.select("id", "parse_status", "index_status", parse.alias("new_parse"), index.alias("new_index"))
 
 

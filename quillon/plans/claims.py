@@ -38,10 +38,10 @@ def contexts(spark, sf_dir) -> DataFrame:
 def normalized_locks(rows: DataFrame, evidence: DataFrame) -> DataFrame:
     """(conv_id, turn, answer, invalid): locks on chunks become reference numbers; unknown locks go and are listed.
 
-    The locks of an answer are looked up by a join, so the work follows the locks, not the evidence.
+    Locks are told in any case; ids are compared as they stand, so one in other letters is unknown. The locks of an answer are looked up by a join, so the work follows the locks, not the evidence.
     """
-    lock = F.lit("\\[CHUNK:([a-f0-9]{32})\\]")
-    cut = rows.withColumns({"between": F.split("answer", "\\[CHUNK:[a-f0-9]{32}\\]"), "ids": F.regexp_extract_all("answer", lock, F.lit(1))})
+    lock = "(?i)\\[CHUNK:([a-f0-9]{32})\\]"
+    cut = rows.withColumns({"between": F.split("answer", lock), "ids": F.regexp_extract_all("answer", F.lit(lock), F.lit(1))})
     each = cut.select(*KEY, "between", F.posexplode_outer("ids").alias("i", "chunk_id"))
     met = each.join(evidence.select("conv_id", "chunk_id", "ref"), ["conv_id", "chunk_id"], "left")
     whole = met.groupBy(*KEY).agg(F.first("between").alias("between"), F.array_sort(F.collect_list(F.struct("i", "ref", "chunk_id"))).alias("found"))
@@ -103,12 +103,16 @@ def citation_status_merge(spark, sf_dir):
 
 
 @query(f"""WITH {CONTEXTS}, t AS (SELECT conv_id, turn, text, md5(conv_id || ':' || (turn - 1)) AS one, md5('x' || conv_id) AS two FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)
-SELECT t.conv_id, turn, text || ' ' || coalesce('[' || ref || ']', '') || ' and ' AS answer, concat_ws(',', CASE WHEN ref IS NULL THEN one END, two) AS invalid FROM t LEFT JOIN contexts c ON c.conv_id = t.conv_id AND c.chunk_id = one""")
+SELECT t.conv_id, turn, CASE WHEN turn % 4 = 1 THEN text || '  AND ' ELSE text || ' ' || coalesce('[' || ref || ']', '') || ' and ' END AS answer,
+  CASE WHEN turn % 4 = 1 THEN upper(one || ',' || two) ELSE concat_ws(',', CASE WHEN ref IS NULL THEN one END, two) END AS invalid FROM t LEFT JOIN contexts c ON c.conv_id = t.conv_id AND c.chunk_id = one""")
 def normalize_locks(spark, sf_dir):
+    """Answers with a lock on a turn, if there is one, and one on nothing; some have their locks in capitals."""
     lock = lambda *key: F.concat(F.lit("[CHUNK:"), F.md5(F.concat(*key)), F.lit("]"))
     rows = read(spark, sf_dir, "conversations").filter("role = 'assistant' and text is not null")
     locked = F.concat("text", F.lit(" "), lock(F.col("conv_id").cast("string"), F.lit(":"), (F.col("turn") - 1).cast("string")), F.lit(" and "), lock(F.lit("x"), F.col("conv_id").cast("string")))
-    return normalized_locks(rows.select(*KEY, locked.alias("answer")), contexts(spark, sf_dir))
+    raised = F.when(F.col("turn") % 4 == 1, F.regexp_replace(F.upper(F.substring_index(locked, "[CHUNK:", -2)), "^", "[CHUNK:"))
+    mixed = F.concat("text", F.lit(" "), raised)
+    return normalized_locks(rows.select(*KEY, F.coalesce(mixed, locked).alias("answer")), contexts(spark, sf_dir))
 
 
 @query(rf"""WITH {ANSWERS}, {CONTEXTS}, n AS (SELECT conv_id, count(*) AS n FROM contexts GROUP BY 1), r AS (SELECT conv_id, turn, answer, coalesce(n, 0) AS n, list_sort(list_distinct(list_transform(regexp_extract_all(answer, '\[([0-9]{{1,18}})\]', 1), lambda x: x::BIGINT))) AS refs FROM a LEFT JOIN n USING (conv_id) WHERE answer IS NOT NULL),

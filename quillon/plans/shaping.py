@@ -51,14 +51,15 @@ def is_mostly_cjk(spark, sf_dir):
 ASKS = "q AS (SELECT item_id, trim(regexp_replace(text, '[^A-Za-z ]', '', 'g')) AS q FROM benchmark)"
 
 
-@query(f"WITH {ASKS} SELECT item_id, CASE WHEN item_id % 4 < 3 THEN nullif(q, '') END AS en, CASE WHEN item_id % 4 = 0 THEN '甲' END AS zh FROM q")
+@query(f"WITH {ASKS} SELECT item_id, CASE WHEN item_id % 6 < 5 THEN nullif(q, '') END AS en, CASE WHEN item_id % 6 IN (0, 3, 4) THEN '甲' END AS zh FROM q")
 def parse_query_json(spark, sf_dir):
     """Queries read from fenced, embedded and loose JSON."""
     q = F.trim(F.regexp_replace("text", "[^A-Za-z ]", ""))
-    k = F.col("item_id") % 4
-    raw = F.when(k == 0, F.concat(F.lit('```json\n{"zh": "甲", "en": "'), q, F.lit('"}\n```'))).when(k == 1, F.concat(F.lit('Sure: {"english": "'), q, F.lit('"} ok'))).when(k == 2, F.concat(F.lit("en = '"), q, F.lit("'"))).otherwise("none")
+    k = F.col("item_id") % 6
+    raw = F.when(k == 0, F.concat(F.lit('```json\n{"zh": "甲", "en": "'), q, F.lit('"}\n```'))).when(k == 1, F.concat(F.lit('Sure: {"english": "'), q, F.lit('"} ok'))).when(k == 2, F.concat(F.lit("en = '"), q, F.lit("'")))
+    raw = raw.when(k == 3, F.concat(F.lit('{"zh_query": "甲", "en_query": "'), q, F.lit('"}'))).when(k == 4, F.concat(F.lit('{"中文": "甲", "英文": "'), q, F.lit('"}'))).otherwise("none")
     rows = read(spark, sf_dir, "benchmark").select("item_id", raw.alias("raw"))
-    return rows.select("item_id", T.query_json(F.col("raw"), "en", "english", "query_en").alias("en"), T.query_json(F.col("raw"), "zh", "chinese", "query_zh").alias("zh"))
+    return rows.select("item_id", T.query_json(F.col("raw"), *T.ENGLISH_KEYS).alias("en"), T.query_json(F.col("raw"), *T.CHINESE_KEYS).alias("zh"))
 
 
 @query(rf"""WITH t AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {STRIPPED}), lambda x: x <> '') AS l FROM documents)
@@ -108,9 +109,14 @@ def task_start(spark, sf_dir):
     return tasks(spark, sf_dir).select("id", F.coalesce(noted, F.array_min(history), "created_at").alias("started_at"))
 
 
-@query("SELECT item_id, '$' || text || '$ and $$x$$' AS text FROM benchmark")
+@query(r"""SELECT item_id, CASE item_id % 3 WHEN 0 THEN '$' || t || '$ and ' || n || n || '$$' || n || 'x' || n || '$$' || n || n WHEN 1 THEN '```' || n || '\(a\) ＊' || n || '``` * $' || t || '$' ELSE '``` $' || t || '$ * \(' END AS text
+  FROM (SELECT item_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t, chr(10) AS n FROM benchmark)""")
 def normalize_math(spark, sf_dir):
-    return read(spark, sf_dir, "benchmark").select("item_id", T.normalize_math(F.concat(F.lit("\\("), "text", F.lit("\\) and \\[x\\]"))).alias("text"))
+    """Items as formulas in line, after a closed fence, and after one that is never closed."""
+    k = F.col("item_id") % 3
+    raw = F.when(k == 0, F.concat(F.lit("\\( "), "text", F.lit("\n\\) and \\[ x\n\\]"))).when(k == 1, F.concat(F.lit("```\n\\(a\\) ＊\n``` ＊ \\("), "text", F.lit("\\)")))
+    rows = read(spark, sf_dir, "benchmark").select("item_id", raw.otherwise(F.concat(F.lit("``` \\("), "text", F.lit("\\) ＊ \\("))).alias("raw"))
+    return rows.select("item_id", T.normalize_math(F.col("raw")).alias("text"))
 
 
 @query(P + "SELECT id, title || chr(10) || chr(10) || substr(text, 1, 8000) AS prompt FROM papers WHERE NOT deleted AND index_status = 'indexed' AND length(text) > 0")

@@ -60,3 +60,27 @@ def test_quotas_of_zero_set_no_bound(spark):
     rows = spark.createDataFrame([(1, f"p{i // 5}", f"c{i:03}", i) for i in range(60)], "query_id int, paper_id string, chunk_id string, rank int")
     n = lambda *quota: search.paper_quota(rows, *quota).count()
     assert (n(), n(0, 0, 0), n(3, 0, 0), n(0, 2, 0), n(0, 0, 7)) == (8, 60, 36, 10, 7)
+
+
+def test_math_outside_closed_fences(spark):
+    rows = [r"a \( b \) c", "```\n\\(b\\) \uff0a\n``` \\(c\\) \uff0a", "``` \\(b\\)", r"\[ x" + "\n" + r"\] \(\)", "```a``` \\(x\\) ```\\(b\\)```", "", None]
+    want = ["a $b$ c", "```\n\\(b\\) \uff0a\n``` $c$ *", "``` $b$", "\n\n$$\nx\n$$\n\n $$", "```a``` $x$ ```\\(b\\)```", "", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r["m"] for r in df.select(T.normalize_math(F.col("t")).alias("m")).collect()] == want
+
+
+def test_query_fields_of_all_names(spark):
+    rows = ['{"en_query": "a", "zh_query": "b"}', '{"\u82f1\u6587": " c ", "\u4e2d\u6587": ""}', "\u4e2d\u6587: 'd'", "none"]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = df.select(T.query_json(F.col("t"), *T.ENGLISH_KEYS).alias("en"), T.query_json(F.col("t"), *T.CHINESE_KEYS).alias("zh")).collect()
+    assert [tuple(r) for r in got] == [("a", "b"), ("c", None), (None, "d"), (None, None)]
+
+
+def test_locks_in_any_case_are_taken_out(spark):
+    from quillon.plans.claims import normalized_locks
+
+    key = "0a" * 16
+    rows = spark.createDataFrame([(1, 1, f"x [CHUNK:{key}] y [chunk:{key.upper()}] z [Chunk:{key}]")], "conv_id bigint, turn bigint, answer string")
+    evidence = spark.createDataFrame([(1, key, 3)], "conv_id bigint, chunk_id string, ref bigint")
+    row = normalized_locks(rows, evidence).first()
+    assert (row["answer"], row["invalid"]) == ("x [3] y  z [3]", key.upper())
