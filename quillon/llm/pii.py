@@ -34,8 +34,8 @@ PATTERNS = {
 }
 #: Generators of high recall: numbers with separators, addresses with a spelled at, long strings of letters and digits.
 NUMBER = r"(?<![0-9])[+(]?[0-9][0-9 ().-]{5,28}[0-9]"
-ADDRESS = rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9.-]{{2,64}}"
-STRING = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,512}+"
+ADDRESS = rf"(?<![{_LOCAL}])[{_LOCAL}]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9.-]{{2,}}+"
+STRING = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+"
 #: Characters before a candidate that are read, and words that vouch for a secret there.
 LEFT = 24
 VOUCHED = "(?i)(?:token|secret|passw|api.?key|auth|credential)[^\\p{L}]*$"

@@ -86,3 +86,14 @@ def test_odd_inputs(spark):
     assert pii.detected(df.limit(0), F.col("text")).count() == pii.redacted(df.limit(0)).count() == 0
     out = {r["doc_id"]: r for r in pii.redacted(df).collect()}
     assert out[3]["text"] == "[PHONE]" == out[4]["text"] and out[0]["text"] is None and out[3]["spans"] == 3 and out[3].asDict().keys() == set(df.columns)
+
+
+def test_long_secrets_and_addresses_go_whole(spark):
+    """A key of 800 characters and an address with a long local part leave nothing behind."""
+    made = [t for t, _ in planted()]
+    key = "".join(np.random.default_rng(9).choice(list("0123456789abcdef"), 798)) + "a7"
+    long_name = "ann." * 30 + "lee"
+    texts = [*made, f'{prose(1, 5)} token = "{key}" {prose(2, 4)}', f'{prose(3, 5)} say "{long_name} (at) mail3.example.com" {prose(4, 4)}']
+    out = {r["doc_id"]: r["text"] for r in pii.redacted(docs(spark, texts)).collect()}
+    assert out[len(made)] == f'{prose(1, 5)} token = "[SECRET]" {prose(2, 4)}'
+    assert out[len(made) + 1] == f'{prose(3, 5)} say "[EMAIL]" {prose(4, 4)}'
