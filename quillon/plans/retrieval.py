@@ -48,10 +48,10 @@ def chunks(spark, sf_dir):
 
 
 def stored(spark, sf_dir) -> str:
-    """The folder of the index of documents: written once for these files, by their paths, times and sizes, and then read by every search."""
+    """The folder of the index of documents: written once in an application for these files, told by paths, times and sizes, and then read by every search."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
     mark = files.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(path, modificationTime, length))").alias("x")).first()
-    path = f"{sinks.shared_folder(spark)}/index-{hashlib.sha256(f'{sf_dir}|{mark}'.encode()).hexdigest()[:32]}"
+    path = f"{sinks.shared_folder(spark)}/index-{hashlib.sha256(f'{spark.sparkContext.applicationId}|{sf_dir}|{mark}'.encode()).hexdigest()[:32]}"
     if not index.manifest(spark, path)[0]:
         index.build(spark, chunks(spark, sf_dir), path)
     return path

@@ -97,7 +97,7 @@ def shared_folder(spark: SparkSession) -> str:
     A local session without one gets a folder of its own, which it keeps; on a cluster that is an error.
     """
     sc = spark.sparkContext
-    folder = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if folder is None and sc.master.startswith("local"):
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         folder = sc.getCheckpointDir()
