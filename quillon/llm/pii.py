@@ -1,15 +1,16 @@
 """Personal data by boosted trees over candidate spans, with DataFrame expressions only.
 
-Base patterns give certain spans. Wider generators propose further, overlapping candidates: numbers
-with separators, addresses with a spelled at, long mixed strings. Each is described by binary
+Base patterns give certain spans. Wider generators propose further, overlapping candidates: every stretch
+of linked pieces of digits that holds 7 to 19 digits, addresses with a spelled at, long mixed strings. Each is described by binary
 features of its form and its context. Labels do not follow the features alone: a candidate counts as
-positive where a base span (for secrets: a word such as "token" before it) vouches for it, as negative where
-its form rules it out, and as unlabelled else; what the vouching itself looks at (the plus, the at
+positive where it is a base span (an address: meets one; a secret: follows a word such as "token"), as negative
+where its form rules it out or where it is a mere part or extension of a base span of its kind, and as unlabelled else; what the vouching itself looks at (the plus, the at
 sign, sixteen digits, the word) is hidden from the trees. So a phone without plus or an address with
 "(at)" is judged by what it shares with certain ones. Labelled candidates of the corpus are counted by
 feature cell, a table bounded by the number of cells; on these counts trees of depth two are boosted
 for each kind, and a threshold is calibrated on the held-out half. Trees and thresholds become Column
-expressions that select spans among all candidates that overlap no base span.
+expressions that select spans among all candidates that overlap no base span; of selected numbers that
+overlap each other one that is no loose cut stays, then the one furthest above its threshold.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ PATTERNS = {
     CARD: r"[0-9](?:[ -]?[0-9]){15,}+",
     PHONE: r"\+[0-9][ ().0-9-]+[0-9]",
 }
-#: Generators of high recall: numbers with separators, addresses with a spelled at, long strings of letters and digits.
-NUMBER = r"(?<![0-9])[+(]?[0-9][0-9 ().-]{5,28}[0-9]"
+#: Generators of high recall: pieces of digits, each with the space that links it to the next, addresses with a spelled at, long strings of letters and digits.
+PIECE = r"(?<![0-9])[+(]{0,2}+[0-9](?:[0-9().-]*[0-9])?\)?(?: [ .-]{0,2}(?=[+(]{0,2}[0-9]))?"
+#: A number has so many digits, thus at most so many pieces.
+FEWEST, MOST = 7, 19
 ADDRESS = rf"(?<![{_LOCAL}])[{_LOCAL}]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9.-]{{2,}}+"
 STRING = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+"
 #: Characters before a candidate that are read, and words that vouch for a secret there.
@@ -113,6 +116,11 @@ _DATE = lambda x: x["match"].rlike("^[(]?[12][0-9]{3}([-.])[01]?[0-9]\\1[0-3]?[0
 _QUAD = "^[0-9]{1,3}(?:\\.[0-9]{1,3}){3}$"
 _NAMED = lambda x: x["match"].rlike("[A-Za-z0-9-]\\.[A-Za-z]{2,}$")
 _PARTED = lambda x: x["match"].rlike("[0-9][ ().-]+[0-9]")
+#: A number of several pieces that is cut off from further ones, unless a bracket or a plus begins the next number after four digits.
+_LOOSE = lambda x: F.contains(x["match"], F.lit(" ")) & (
+    (x["left"].rlike("[0-9)] [ .-]{0,2}$") & ~(x["match"].rlike("^[(+]") & x["left"].rlike("[0-9]{4} $")))
+    | (x["right"].rlike("^ [0-9(+]") & ~(x["right"].rlike("^ [(+]") & x["match"].rlike("[0-9]{4}$")))
+)
 #: Binary features of a candidate `x` (start, end, match) with the characters before (left) and after it (right).
 FEATURES = (
     ("phone_word", _near("phone|tel|call|mobile|cell|fax|number")),
@@ -134,7 +142,9 @@ FEATURES = (
     ("hex", lambda x: x["match"].rlike("^[0-9a-fA-F]+$")),
     ("long", lambda x: F.length(x["match"]) >= 32),
     ("mixed", lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]")),
+    ("loose_cut", _LOOSE),
 )
+LOOSE_BIT = 1 << [name for name, _ in FEATURES].index("loose_cut")
 #: For each kind the features that its vouching looks at, which its trees do not see.
 HIDDEN = {CARD: ("digits_16",)}
 
@@ -153,13 +163,31 @@ def _ruled_out(kind: int, x: Column) -> Column:
     return ~(x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]")) | x["left"].rlike("[./@:]$") | x["right"].rlike("^[./@]") | x["match"].rlike("[/-].*[/-]")
 
 
+def _numbers(pieces: Column) -> Column:
+    """The stretches (start, end, match) of linked pieces that hold FEWEST to MOST digits, and single pieces of that many characters or more."""
+
+    def from_piece(p: Column, i: Column) -> Column:
+        def stretch(n: Column) -> Column:
+            own = F.slice(pieces, i + 1, n)
+            match = F.regexp_replace(F.array_join(F.transform(own, lambda x: x["match"]), ""), "[ .-]+$", "")
+            joined = F.forall(F.slice(own, 1, n - 1), lambda x: x["match"].rlike(" [ .-]{0,2}$"))
+            return F.struct(p["start"].alias("start"), (p["start"] + F.length(match)).alias("end"), match.alias("match"), (joined & (F.size(own) == n)).alias("joined"))
+
+        lengths = F.sequence(F.lit(1), F.when(p["match"].rlike(" [ .-]{0,2}$"), F.lit(MOST)).otherwise(F.lit(1)))
+        fits = lambda x: x["joined"] & F.when(F.contains(x["match"], F.lit(" ")), F.length(_digits(x["match"])).between(FEWEST, MOST)).otherwise(F.length(x["match"]) >= FEWEST)
+        return F.transform(F.filter(F.transform(lengths, stretch), fits), lambda x: F.struct(x["start"], x["end"], x["match"]))
+
+    return F.flatten(F.transform(pieces, from_piece))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """docs with `_text` with `base` (spans of certain kinds) and `wide` (candidates: kind, start, end, bits, label, free).
 
     label is 1 for a candidate that is vouched for, 0 for one that is ruled out, else null; free ones overlap no base span.
     """
     rows = with_base(docs)
-    rows = with_spans(rows, "_number", NUMBER, F.col("_text").rlike("[0-9][0-9 ().-]{5}"))
+    rows = with_spans(rows, "_piece", PIECE, F.col("_text").rlike("[0-9][0-9 ().-]{5}"))
+    rows = rows.withColumn("_number", _numbers(F.col("_piece"))).drop("_piece")
     spelled = F.contains(F.col("_text"), F.lit("@")) | F.contains(F.col("_text"), F.lit("(at)")) | F.contains(F.col("_text"), F.lit("[at]"))
     rows = with_spans(rows, "_address", ADDRESS, spelled)
     rows = with_spans(rows, "_string", STRING, F.col("_text").rlike("[0-9]") & F.col("_text").rlike("(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20}"))
@@ -167,7 +195,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     def drawn(found: str, kind: int | None):
         around = lambda x: F.struct(
             F.lit(kind).cast("int").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"),
-            F.substring("_text", F.greatest(F.lit(1), x["start"] + 1 - LEFT), F.least(F.lit(LEFT), x["start"])).alias("left"), F.substring("_text", x["end"] + 1, F.lit(1)).alias("right"),
+            F.substring("_text", F.greatest(F.lit(1), x["start"] + 1 - LEFT), F.least(F.lit(LEFT), x["start"])).alias("left"), F.substring("_text", x["end"] + 1, F.lit(2)).alias("right"),
         )
         return F.transform(found, around)
 
@@ -183,9 +211,11 @@ def candidates(docs: DataFrame) -> DataFrame:
         bits = sum((F.when(test(x), F.lit(1 << i)).otherwise(0) for i, (_, test) in enumerate(FEATURES)), F.lit(0))
         over = lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])
         met = lambda test: F.exists("_blocks", lambda b: (b["low"] < x["end"]) & (x["start"] < b["high"]) & F.exists(b["spans"], test))
-        vouched = F.when(kind == SECRET, x["left"].rlike(VOUCHED)).otherwise(met(lambda b: over(b) & (b["kind"] == kind)))
+        same = lambda b: over(b) & (b["kind"] == kind)
+        whole = lambda b: same(b) & (b["start"] == x["start"]) & (b["end"] == x["end"])
+        vouched = F.when(kind == SECRET, x["left"].rlike(VOUCHED)).when(kind == EMAIL, met(same)).otherwise(met(whole))
         out = F.coalesce(*[F.when(kind == k, _ruled_out(k, x)) for k in range(len(KINDS))])
-        label = F.when(vouched & ~(out & (kind == SECRET)), 1).when(out, 0)
+        label = F.when(vouched & ~(out & (kind == SECRET)), 1).when(out | met(same), 0)
         return F.struct(kind.alias("kind"), x["start"].alias("start"), x["end"].alias("end"), bits.alias("bits"), label.alias("label"), (~met(over)).alias("free"))
 
     return rows.withColumn("wide", F.transform("_wide", described)).drop("_wide", "_blocks")
@@ -265,23 +295,35 @@ def fit(described: DataFrame) -> dict[int, tuple[list[tuple], float]]:
     return out
 
 
-def _selected(models: dict[int, tuple[list[tuple], float]], x: Column) -> Column:
-    bits, chosen = x["bits"], F.lit(False)
+def _excess(models: dict[int, tuple[list[tuple], float]], x: Column) -> Column:
+    """How far a candidate lies above the threshold of its kind; null for a kind without one."""
+    bits, out = x["bits"], F.lit(None).cast("double")
     has = lambda b: bits.bitwiseAND(F.lit(1 << b)) != 0
     leaf = lambda side: F.when(has(side[0]), F.lit(RATE * side[2])).otherwise(F.lit(RATE * side[1]))
     for kind, (trees, least) in models.items():
         margin = sum((F.when(has(root), leaf(high)).otherwise(leaf(low)) for root, low, high in trees), F.lit(0.0))
-        chosen = F.when(x["kind"] == kind, margin >= least - 1e-9).otherwise(chosen)
-    return chosen
+        out = F.when(x["kind"] == kind, F.round(margin - least, 9)).otherwise(out)
+    return out
+
+
+def _best(chosen: Column) -> Column:
+    """Chosen spans (kind, start, end, loose, over) without the numbers that overlap a better one: no loose cut, further above its threshold, longer, earlier."""
+    number = lambda x: x["kind"].isin(IP, CARD, PHONE)
+    ranked = F.array_sort(F.transform(F.filter(chosen, number), lambda x: F.struct(x["loose"].alias("loose"), (-x["over"]).alias("o"), (x["start"] - x["end"]).alias("n"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    plain = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
+    free = lambda a, x: ~F.exists(a, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
+    kept = F.aggregate(ranked, none, lambda a, x: F.when(free(a, x), F.concat(a, F.array(plain(x)))).otherwise(a))
+    return F.concat(kept, F.transform(F.filter(chosen, lambda x: ~number(x)), plain))
 
 
 def _found(rows: DataFrame) -> DataFrame:
     """rows with `_text` with `base` and `spans`; the model is fitted on all rows first."""
     described = candidates(rows)
     models = fit(described.select("_text", "wide"))
-    added = F.filter("wide", lambda x: x["free"] & _selected(models, x))
-    plain = F.transform(added, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return described.withColumn("spans", F.array_sort(F.concat("base", plain))).withColumn("base", F.array_sort("base")).drop("wide")
+    judged = F.transform(F.filter("wide", lambda x: x["free"]), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), (x["bits"].bitwiseAND(F.lit(LOOSE_BIT)) != 0).alias("loose"), _excess(models, x).alias("over")))
+    described = described.withColumn("_chosen", F.filter(judged, lambda x: x["over"] >= 0))
+    return described.withColumn("spans", F.array_sort(F.concat("base", _best(F.col("_chosen"))))).drop("_chosen").withColumn("base", F.array_sort("base")).drop("wide")
 
 
 def detected(docs: DataFrame, text: Column) -> DataFrame:

@@ -97,3 +97,33 @@ def test_long_secrets_and_addresses_go_whole(spark):
     out = {r["doc_id"]: r["text"] for r in pii.redacted(docs(spark, texts)).collect()}
     assert out[len(made)] == f'{prose(1, 5)} token = "[SECRET]" {prose(2, 4)}'
     assert out[len(made) + 1] == f'{prose(3, 5)} say "[EMAIL]" {prose(4, 4)}'
+
+
+def test_neighbouring_numbers_are_told_apart(spark):
+    """Two phones side by side are two spans; a stretch over both is none; numbers judged never overlap."""
+    made = [t for t, _ in planted()] + [f"{prose(i, 5)} +1-555-{200 + i}-{1000 + 7 * i} {prose(i + 1, 5)}" for i in range(120)]
+    asked = ["(555) 123-4567 (555) 987-6543", "555-123-4567 555-987-6543", "(212) 555-0101 (212) 555-0199 (212) 555-0170"]
+    rows = {r["doc_id"]: r for r in pii.detected(docs(spark, [*made, *[f'say "{a}" {prose(7, 4)}' for a in asked]]), F.col("text")).collect()}
+    got = {a: [a[s["start"] - 5 : s["end"] - 5] for s in rows[len(made) + i]["spans"]] for i, a in enumerate(asked)}
+    assert got == {asked[0]: ["(555) 123-4567", "(555) 987-6543"], asked[1]: ["555-123-4567", "555-987-6543"], asked[2]: ["(212) 555-0101", "(212) 555-0199", "(212) 555-0170"]}
+    for r in rows.values():
+        numbers = sorted((s["start"], s["end"]) for s in r["spans"] if pii.KINDS[s["kind"]] in ("ip", "card", "phone") and s not in r["base"])
+        assert all(a[1] <= b[0] for a, b in zip(numbers, numbers[1:]))
+
+
+def test_stretches_of_pieces_by_brute_force(spark):
+    import re
+
+    texts = ["030 1234 5678 now", "1 2 3 4 5 6 7 8", "4111 1111 1111 1111, 12.", "+49 (30) 1234-5678 +1 (988) 555-2485", "1 - 2 3456 78", "", "10.0.0.1 2024-01-02", "((1234567))", "9" * 40 + " 1"]
+    df = pii.with_spans(docs(spark, texts).withColumn("_text", F.col("text")), "p", pii.PIECE, F.lit(True)).select("doc_id", pii._numbers(F.col("p")).alias("n"))
+    for r in df.collect():
+        text, want = texts[r["doc_id"]], set()
+        pieces = [(m.start(), m.group()) for m in re.finditer(pii.PIECE, text)]
+        for i in range(len(pieces)):
+            for j in range(i, len(pieces)):
+                if all(re.search(r" [ .-]{0,2}$", p) for _, p in pieces[i:j]):
+                    match = re.sub(r"[ .-]+$", "", "".join(p for _, p in pieces[i : j + 1]))
+                    n = sum(c.isdigit() for c in match)
+                    if 7 <= n <= 19 if " " in match else len(match) >= 7:
+                        want.add((pieces[i][0], pieces[i][0] + len(match), match))
+        assert {(x["start"], x["end"], x["match"]) for x in r["n"]} == want and all(text[a:b] == m for a, b, m in want)
