@@ -24,7 +24,7 @@ def replace_papers(spark: SparkSession, rows: DataFrame, path: str, papers: Data
     """
     hit = (rows if papers is None else papers).select("paper_id").distinct().withColumn("bucket", bucket(buckets=buckets))
     new = rows.withColumn("bucket", bucket(buckets=buckets))
-    if _exists(spark, path):
+    if exists(spark, path):
         old = spark.read.parquet(path)
         touched = [r["bucket"] for r in hit.select("bucket").distinct().collect()]  # at most `buckets` rows
         kept = old.filter(F.col("bucket").isin(touched) & F.col("paper_id").isNotNull()).join(hit.select("paper_id"), "paper_id", "left_anti")
@@ -40,7 +40,7 @@ def table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).filter("paper_id is not null").drop("bucket")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     from pyspark.errors import AnalysisException
 
     try:
