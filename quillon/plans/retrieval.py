@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import chunking, index, search
+from quillon.operators import cells, chunking, index, search
 from quillon.plans.base import registrar
 from quillon.sources import sinks
 from quillon.sources.corpus import CHUNKS, read
@@ -47,16 +47,29 @@ def chunks(spark, sf_dir):
     return chunking.chunks(read(spark, sf_dir, "documents"))
 
 
-def stored(spark, sf_dir) -> str:
-    """The folder of the index of documents: written once in an application for these files, told by paths, times and sizes, and then read by every search."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/documents.parquet").select("path", "modificationTime", "length")
+def place(spark, sf_dir, table: str, kind: str) -> str:
+    """A shared folder of this application for what is built from a table, told by paths, times and sizes of its files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf_dir}/{table}.parquet").select("path", "modificationTime", "length")
     mark = files.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(path, modificationTime, length))").alias("x")).first()
-    path = f"{sinks.shared_folder(spark)}/index-{hashlib.sha256(f'{spark.sparkContext.applicationId}|{sf_dir}|{mark}'.encode()).hexdigest()[:32]}"
+    return f"{sinks.shared_folder(spark)}/{kind}-{hashlib.sha256(f'{spark.sparkContext.applicationId}|{sf_dir}|{mark}'.encode()).hexdigest()[:32]}"
+
+
+def stored(spark, sf_dir) -> str:
+    """The folder of the index of documents: written once in an application and then read by every search."""
+    path = place(spark, sf_dir, "documents", "index")
     if not index.manifest(spark, path)[0]:
         index.build(spark, chunks(spark, sf_dir), path)
     return path
 
 
+def stored_cells(spark, sf_dir) -> str:
+    """The folder of the cells of embeddings, written once in an application."""
+    path = place(spark, sf_dir, "embeddings", "cells")
+    if not sinks.exists(spark, f"{path}/cells"):
+        cells.build(spark, labelled(spark, sf_dir), path)
+    return path
+
+
 def lexical(spark, sf_dir, k=40, ask=None, rows=None):
     """The k best chunks (of the stored index of documents, or of `rows`) of each query by BM25; statistics cover the whole index."""
     ask = asked(spark, sf_dir) if ask is None else ask
@@ -72,11 +85,18 @@ def with_bodies(spark, sf_dir, found):
     return found.join(index.chunks(spark, stored(spark, sf_dir), found).select("chunk_id", "body"), "chunk_id")
 
 
+def labelled(spark, sf_dir):
+    """Vectors as rows of an index; their label stands for the paper."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").cast("string").alias("paper_id"), F.col("embedding").alias("vector"))
+
+
+def asking(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
 def dense(spark, sf_dir):
     """Every hundredth vector asks, all vectors answer."""
-    vectors = read(spark, sf_dir, "embeddings")
-    ask = vectors.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return search.dense(ask, vectors.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("label").cast("string").alias("paper_id"), F.col("embedding").alias("vector")))
+    return search.dense(asking(spark, sf_dir), labelled(spark, sf_dir))
 
 
 @query(f"WITH {ASKED}, {TERMS} SELECT query_id, term FROM terms")
@@ -135,11 +155,26 @@ def text_retrieve(spark, sf_dir):
     return search.paper_quota(search.dedupe_results(top)).select("query_id", "chunk_id", "paper_id", "score", "place")
 
 
-@query(f"WITH x AS (SELECT 1){DENSE} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense QUALIFY rank <= 10")
+NEAREST = f"WITH x AS (SELECT 1){DENSE} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense QUALIFY rank <= 10"
+
+
+@query(NEAREST)
 def dense_topk(spark, sf_dir):
     return search.ranked(dense(spark, sf_dir), F.col("score"), 10)
 
 
+@query()
+def dense_cells_topk(spark, sf_dir):
+    """The ten nearest vectors of those in the cells nearest to each query; SQL has no such cells, tests measure the recall."""
+    return cells.topk(spark, stored_cells(spark, sf_dir), asking(spark, sf_dir), 10)
+
+
+@query(NEAREST)
+def dense_exact_topk(spark, sf_dir):
+    """The ten nearest vectors of all, by cells: those are left out that can't hold any of them."""
+    return cells.topk(spark, stored_cells(spark, sf_dir), asking(spark, sf_dir), 10, exact=True)
+
+
 @query(
     f"""WITH x AS (SELECT 1){DENSE}, lists AS (
   SELECT query_id, 0 AS list_no, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dense QUALIFY rank <= 40
