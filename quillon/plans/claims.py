@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.plans.base import registrar
 from quillon.plans.corpus import ANSWERS, CLAIM_STOP, STRIPPED, answers
+from quillon.sources import sinks
 from quillon.sources.corpus import read
 
 QUERIES: dict = {}
@@ -27,8 +30,6 @@ claims AS (SELECT conv_id, turn, claim_no::BIGINT AS claim_no, claim FROM told U
 
 def contexts(spark, sf_dir) -> DataFrame:
     """(conv_id, ref, chunk_id, evidence): the user turns of a conversation, numbered from 1."""
-    from pyspark.sql import Window
-
     rows = read(spark, sf_dir, "conversations").filter("role = 'user'")
     ref = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     key = F.md5(F.concat_ws(":", "conv_id", "turn"))
@@ -73,6 +74,74 @@ def checked(found: DataFrame, evidence: DataFrame) -> DataFrame:
     return best.select(*KEY, "claim_no", F.col("b.ref").alias("ref"), F.round("b.s", 4).alias("score"), status.alias("status")).unionByName(wrong).unionByName(bare)
 
 
+#: What is told of an answer that was changed, by language; the first two with what was taken out.
+NOTES = {
+    "zh": ("\n\n（注：已移除无效证据锁定 {}。）", "\n\n（注：已移除无效引用编号 {}，有效证据编号为 1–{}。）", "\n\n（提示：上文部分论断未标注 [n] 引用，请结合下方证据片段核对。）"),
+    "en": ("\n\n(Note: removed invalid CHUNK lock(s) {}.)", "\n\n(Note: removed invalid citation(s) {}; valid refs are 1–{}.)", "\n\n(Note: some statements above lack [n] citations; verify against the evidence list.)"),
+}
+
+
+def noted(lang, which: int, *values):
+    """A note in the language of a row with values put in."""
+    def filled(text: str):
+        parts = text.split("{}")
+        return F.concat(F.lit(parts[0]), *[c for v, t in zip(values, parts[1:]) for c in (v, F.lit(t))])
+
+    return F.when(lang == "zh", filled(NOTES["zh"][which])).otherwise(filled(NOTES["en"][which]))
+
+
+def cleaned(rows: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Answers (conv_id, turn, answer, lang) with locks as references, without invalid references, and with notes of what went.
+
+    (conv_id, turn, lang, n, answer, locks, valid, invalid); n is the number of pieces of evidence. Without any, the answer is the fixed one.
+    """
+    trimmed = lambda c: F.regexp_replace(c, "\\s+$", "")
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ", "), F.lit("]"))
+    count = evidence.groupBy("conv_id").agg(F.count("*").alias("n"))
+    out = normalized_locks(rows.withColumn("answer", F.coalesce("answer", F.lit(""))), evidence).join(rows.select(*KEY, "lang"), KEY).join(count, "conv_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = out.withColumn("locks", F.filter(F.split("invalid", ","), lambda x: x != ""))
+    quoted = listed(F.transform(F.slice("locks", 1, 5), lambda x: F.concat(F.lit("'"), x, F.lit("'"))))
+    out = out.withColumn("answer", F.when(F.size("locks") > 0, F.concat(trimmed(F.col("answer")), noted(F.col("lang"), 0, quoted))).otherwise(F.col("answer")))
+    out = out.withColumn("refs", F.array_sort(F.array_distinct(T.citation_refs(F.col("answer")))))
+    inside = lambda x: (x >= 1) & (x <= F.col("n"))
+    out = out.withColumns({"valid": F.filter("refs", inside), "invalid": F.filter("refs", lambda x: ~inside(x))})
+    bare = T.strip_refs(F.col("answer"), F.col("invalid"))
+    told = noted(F.col("lang"), 1, listed(F.col("invalid").cast("array<string>")), F.col("n").cast("string"))
+    out = out.withColumn("answer", F.when(F.size("invalid") > 0, T.strip(F.concat(trimmed(bare), told))).otherwise(F.col("answer")))
+    none = F.when(F.col("lang") == "en", NO_EVIDENCE["en"]).otherwise(NO_EVIDENCE["zh"])
+    empty = F.col("n") == 0
+    clear = lambda c, kind: F.when(~empty, F.col(c)).otherwise(F.array().cast(f"array<{kind}>")).alias(c)
+    return out.select(*KEY, "lang", "n", F.when(empty, none).otherwise(F.col("answer")).alias("answer"), clear("locks", "string"), clear("valid", "bigint"), clear("invalid", "bigint"))
+
+
+def verified(rows: DataFrame, evidence: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The job of checking answers (conv_id, turn, answer, lang): the answers with their totals, and one record for each checked claim.
+
+    A long answer without a valid reference ends with a hint. An answer is ok if no lock, no reference and no
+    claim was found wanting; one without evidence is not.
+    """
+    texts = sinks.kept(cleaned(rows, evidence))
+    found = claims(texts.filter("n > 0").select(*KEY, "answer"))
+    records = checked(found, evidence).join(found, [*KEY, "claim_no"]).join(evidence.select("conv_id", "ref", "chunk_id"), ["conv_id", "ref"], "left")
+    records = sinks.kept(records.select(*KEY, "claim_no", "claim", "ref", "chunk_id", "score", "status"))
+    of = lambda *names: F.count_if(F.col("status").isin(*names))
+    totals = records.groupBy(*KEY).agg(of("verified").alias("n_verified"), of("insufficient", "unreferenced").alias("n_insufficient"), of("invalid_ref").alias("n_invalid"))
+    totals = found.groupBy(*KEY).agg(F.count("*").alias("n_claims")).join(totals, KEY, "left")
+    out = texts.join(totals, KEY, "left").withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("n_claims", "n_verified", "n_insufficient", "n_invalid")})
+    hint = (F.col("n") > 0) & (F.size("valid") == 0) & (F.length(T.strip(F.col("answer"))) > 80)
+    text = F.when(hint, F.concat(F.regexp_replace("answer", "\\s+$", ""), noted(F.col("lang"), 2))).otherwise(F.col("answer"))
+    ok = (F.col("n") > 0) & (F.size("invalid") == 0) & (F.size("locks") == 0) & (F.col("n_insufficient") == 0)
+    return out.withColumns({"answer": text, "ok": ok}), records
+
+
+def record_citations(records: DataFrame, path: str) -> None:
+    """Adds records to the citations at path under the id of their answer; those that are there already are not added again."""
+    same = Window.partitionBy(*KEY, "claim_no", "ref", "status").orderBy("score")
+    rows = records.withColumn("no", F.row_number().over(same)).withColumn("answer_id", F.md5(F.concat_ws(":", *KEY)))
+    key = F.sha2(F.concat_ws(":", "answer_id", "claim_no", F.coalesce(F.col("ref").cast("string"), F.lit("")), "status", "no"), 256)
+    sinks.append_new(rows.select(key.alias("id"), "answer_id", "claim_no", "claim", "ref", "chunk_id", "score", "status"), path, "id", "answer_id")
+
+
 @query(rf"WITH {ANSWERS}, {CLAIMS} SELECT conv_id, turn, claim_no, claim FROM claims")
 def split_claims(spark, sf_dir):
     return claims(answers(spark, sf_dir).filter("answer is not null"))
@@ -133,3 +202,54 @@ def no_evidence_answer(spark, sf_dir):
     has = F.count_if((F.col("role") == "user") & (F.length("text") >= 200))
     rows = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(has.alias("n"))
     return rows.select("conv_id", F.when(F.col("n") > 0, None).when(F.col("conv_id") % 2 == 0, NO_EVIDENCE["en"]).otherwise(NO_EVIDENCE["zh"]).alias("answer"))
+
+
+def locked_answers(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Answers with two references and, by conversation, a lock on a turn, one on nothing or none; a tenth of the conversations has no evidence."""
+    k = F.col("conv_id")
+    lock = lambda *key: F.concat(F.lit(" [CHUNK:"), F.md5(F.concat(*key)), F.lit("]"))
+    mark = F.when(k % 3 == 0, lock(k.cast("string"), F.lit(":"), (F.col("turn") - 1).cast("string"))).when(k % 3 == 1, lock(F.lit("x"), k.cast("string"))).otherwise("")
+    rows = answers(spark, sf_dir).filter("answer is not null").withColumns({"answer": F.concat("answer", mark), "lang": F.when(k % 2 == 0, "en").otherwise("zh")})
+    return rows, contexts(spark, sf_dir).filter("conv_id % 10 <> 9")
+
+
+def _note_sql(which: int, *values: str) -> str:
+    fill = lambda text: "'" + text.replace("{}", "' || {} || '").format(*values) + "'"
+    return f"CASE WHEN lang = 'zh' THEN {fill(NOTES['zh'][which])} ELSE {fill(NOTES['en'][which])} END"
+
+
+_LOCK, _WRONG = "'[''' || bad || ''']'", "'[' || array_to_string(wrong, ', ') || ']'"
+WHOLE = rf"""WITH {CONTEXTS.replace("role = 'user'", "role = 'user' AND conv_id % 10 <> 9")}, n AS (SELECT conv_id, count(*) AS n FROM contexts GROUP BY 1),
+raw AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 0 THEN 'en' ELSE 'zh' END AS lang, text || ' [' || (turn % 3 + 1) || '] and [' || (conv_id % 7) || ']' AS t,
+  CASE conv_id % 3 WHEN 0 THEN md5(conv_id || ':' || (turn - 1)) WHEN 1 THEN md5('x' || conv_id) END AS lock FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+l1 AS (SELECT r.conv_id, turn, lang, coalesce(n, 0) AS n, t || CASE WHEN lock IS NULL THEN '' WHEN ref IS NULL THEN ' ' ELSE ' [' || ref || ']' END AS t, CASE WHEN lock IS NOT NULL AND ref IS NULL THEN lock END AS bad
+  FROM raw r LEFT JOIN n ON n.conv_id = r.conv_id LEFT JOIN contexts c ON c.conv_id = r.conv_id AND c.chunk_id = r.lock),
+l2 AS (SELECT *, CASE WHEN bad IS NULL THEN t ELSE regexp_replace(t, '\s+$', '') || {_note_sql(0, _LOCK)} END AS u FROM l1),
+l3 AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(u, '\[([0-9]{{1,18}})\]', 1), lambda x: x::BIGINT))) AS refs FROM l2),
+l4 AS (SELECT *, list_filter(refs, lambda x: x >= 1 AND x <= n) AS valid, list_filter(refs, lambda x: x < 1 OR x > n) AS wrong FROM l3),
+l5 AS (SELECT *, CASE WHEN n = 0 THEN CASE WHEN lang = 'en' THEN '{NO_EVIDENCE['en']}' ELSE '{NO_EVIDENCE['zh']}' END WHEN len(wrong) = 0 THEN u ELSE regexp_replace(regexp_replace(list_reduce(list_prepend(u, list_transform(wrong, lambda x: '[' || x || ']')), lambda t, m: replace(t, m, '')), '\s+$', '')
+  || {_note_sql(1, _WRONG, "n")}, '^\s+|\s+$', '', 'g') END AS answer FROM l4), a AS (SELECT conv_id, turn, answer FROM l5 WHERE n > 0),
+{CHECKED.replace(f"{CONTEXTS}, ", "")}"""
+
+
+@query(WHOLE + rf""", k AS (SELECT conv_id, turn, count(*) FILTER (WHERE status = 'verified') AS v, count(*) FILTER (WHERE status IN ('insufficient', 'unreferenced')) AS i, count(*) FILTER (WHERE status = 'invalid_ref') AS x FROM checked GROUP BY ALL), c AS (SELECT conv_id, turn, count(*) AS m FROM claims GROUP BY ALL)
+SELECT l.conv_id, l.turn, CASE WHEN n > 0 AND len(valid) = 0 AND length(regexp_replace(answer, '^\s+|\s+$', '', 'g')) > 80 THEN regexp_replace(answer, '\s+$', '') || {_note_sql(2)} ELSE answer END AS answer, n > 0 AND len(wrong) = 0 AND bad IS NULL AND coalesce(i, 0) = 0 AS ok,
+  CASE WHEN n = 0 THEN '' ELSE array_to_string(valid, ',') END AS valid, CASE WHEN n = 0 THEN '' ELSE array_to_string(wrong, ',') END AS invalid, CASE WHEN n = 0 THEN '' ELSE coalesce(bad, '') END AS locks, coalesce(m, 0) AS n_claims, coalesce(v, 0) AS n_verified, coalesce(i, 0) AS n_insufficient, coalesce(x, 0) AS n_invalid
+FROM l5 l LEFT JOIN k ON k.conv_id = l.conv_id AND k.turn = l.turn LEFT JOIN c ON c.conv_id = l.conv_id AND c.turn = l.turn""")
+def answer_checks(spark, sf_dir):
+    """Answers as they are shown after the whole check, with their totals."""
+    rows = verified(*locked_answers(spark, sf_dir))[0]
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return rows.select(*KEY, "answer", "ok", joined("valid"), joined("invalid"), joined("locks"), "n_claims", "n_verified", "n_insufficient", "n_invalid")
+
+
+@query(WHOLE + " SELECT md5(k.conv_id || ':' || k.turn) AS answer_id, k.claim_no, k.claim, k.ref, chunk_id, score, status FROM (SELECT x.*, claim FROM checked x JOIN claims USING (conv_id, turn, claim_no)) k LEFT JOIN contexts c ON c.conv_id = k.conv_id AND c.ref = k.ref WHERE k.turn % 4 <> 3")
+def answer_citations(spark, sf_dir):
+    """The recorded citations of some answers, read back after all were added twice."""
+    rows, evidence = locked_answers(spark, sf_dir)
+    records = verified(rows, evidence)[1]
+    path = f"{sinks.shared_folder(spark)}/citations-{uuid.uuid4().hex}"
+    record_citations(records, path)
+    record_citations(records, path)
+    asked = rows.filter("turn % 4 <> 3").select(F.md5(F.concat_ws(":", *KEY)).alias("answer_id"))
+    return sinks.owned(path, asked).drop("id")

@@ -77,6 +77,27 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def append_new(rows: DataFrame, path: str, key: str, owner: str, buckets: int = BUCKETS) -> None:
+    """Rows whose key the table at path does not hold yet are added, in buckets of their owner, so a repeated append changes nothing.
+
+    Only the buckets of these owners are read.
+    """
+    spark = rows.sparkSession
+    new = kept(rows.dropDuplicates([key]).withColumn("bucket", bucket(owner, buckets)))
+    if exists(spark, path):
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most `buckets` rows
+        new = new.join(spark.read.parquet(path).filter(F.col("bucket").isin(touched)).select(key), key, "left_anti")
+    new.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def owned(path: str, owners: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """The rows that `append_new` wrote for owners (one column), read from their buckets only."""
+    owner = owners.columns[0]
+    touched = [r["bucket"] for r in owners.select(bucket(owner, buckets).alias("bucket")).distinct().collect()]  # at most `buckets` rows
+    rows = owners.sparkSession.read.parquet(path).filter(F.col("bucket").isin(touched))
+    return rows.join(owners, owner, "left_semi").drop("bucket")
+
+
 def with_latest_score(papers: DataFrame, reports: DataFrame) -> DataFrame:
     """papers with the score of their newest report."""
     newest = reports.groupBy("paper_id").agg(F.max_by("score", "created_at").alias("new_score"))
