@@ -19,7 +19,11 @@ query = registrar(QUERIES, ORACLES)
 
 KEY = ["conv_id", "turn"]
 LEAST_OVERLAP = 0.12
-NO_EVIDENCE = {"zh": "没有找到足够的证据。", "en": "There is not enough evidence."}
+#: The answer where there is no evidence, by language.
+NO_EVIDENCE = {
+    "zh": "当前知识库中未检索到足够证据支持该结论。请尝试换一个问题，或先完成文献扫描与「建立索引」。",
+    "en": "The knowledge base does not contain sufficient evidence to support an answer. Try rephrasing your question, or scan and index your library first.",
+}
 
 CONTEXTS = "contexts AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS ref, md5(conv_id || ':' || turn) AS chunk_id, coalesce(text, '') AS evidence FROM conversations WHERE role = 'user')"
 CLAIMS = rf"""parts AS (SELECT conv_id, turn, unnest(p) AS s, unnest(range(len(p))) AS i FROM (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_replace({STRIPPED.replace('x,', 'answer,')}, '([。！？.!?])\s*', '\1' || chr(1), 'g'), chr(1)), lambda x: {STRIPPED}), lambda x: x <> '') AS p FROM a)),
