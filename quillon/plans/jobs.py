@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import models
 from quillon.functions import text as T
-from quillon.operators import chunking, search
+from quillon.operators import chunking, phases, search
 from quillon.plans.base import registrar
 from quillon.plans.corpus import TYPED, chunks
 from quillon.plans.corpus import ORACLES as TEXT_SQL
@@ -92,6 +92,39 @@ def phase_progress(spark, sf_dir):
     return tasks.select("user_id", "day", F.floor(100 * whole / F.size("p") + 0.5).cast("bigint").alias("percent"), F.size(F.filter("s", lambda s: s.isin("done", "skipped"))).cast("bigint").alias("finished"), F.array_join(named, ",").alias("phases"))
 
 
+@query(
+    f"""WITH e AS (SELECT user_id, ts::DATE AS day, ts, event_id, event_type, (props::JSON ->> '$.k')::INT AS k FROM events),
+m AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) IS DISTINCT FROM event_type AS turn FROM e),
+s AS (SELECT *, sum(turn::INT) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS no FROM m),
+g AS (SELECT user_id, day, no, any_value(event_type) AS phase, min(ts) AS a, arg_max(k, (ts, event_id)) AS done FROM s GROUP BY ALL),
+h AS (SELECT *, done % 7 * 20 AS total, lead(a) OVER (PARTITION BY user_id, day ORDER BY no) AS b FROM g),
+hist AS (SELECT *, CASE no % 3 WHEN 0 THEN 0 WHEN 2 THEN (epoch_us(b) // 1000 - epoch_us(a) // 1000)::DOUBLE / 1000 + 0.5::DOUBLE END AS seconds FROM h WHERE b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id, day, phase ORDER BY no DESC) = 1),
+cur AS (SELECT user_id, day, phase, CASE WHEN user_id % 5 <> 0 THEN a END AS a, done, total, a + ((user_id % 4) * 40 + 10)::INT * INTERVAL 1 SECOND AS as_of, ([{", ".join(str(list(t)) for t in TEMPLATES)}])[user_id % 3 + 1] AS p FROM h WHERE b IS NULL),
+t AS (SELECT c.*, unnest(p) AS each, unnest(range(len(p))) AS place FROM cur c),
+x AS (SELECT t.user_id, t.day, place, each AS phase, CASE WHEN h.phase IS NOT NULL THEN 'done' WHEN each = t.phase THEN 'running' WHEN place < list_position(p, t.phase) - 1 THEN 'skipped' ELSE 'pending' END AS status,
+  CASE WHEN h.seconds > 0 THEN round(h.seconds * 1000)::BIGINT ELSE greatest(0, epoch_us(h.b) // 1000 - epoch_us(h.a) // 1000) END AS spent, epoch_us(as_of) // 1000 - epoch_us(coalesce(t.a, as_of)) // 1000 AS now, h.done AS hd, h.total AS ht, t.done AS cd, t.total AS ct
+  FROM t LEFT JOIN hist h ON h.user_id = t.user_id AND h.day = t.day AND h.phase = each),
+y AS (SELECT user_id, day, place, phase, status, CASE status WHEN 'done' THEN spent WHEN 'running' THEN now END AS elapsed_ms, CASE status WHEN 'done' THEN coalesce(hd, 0) WHEN 'running' THEN coalesce(cd, 0) END AS done, CASE status WHEN 'done' THEN coalesce(ht, 0) WHEN 'running' THEN coalesce(ct, 0) END AS total FROM x),
+z AS (SELECT *, CASE WHEN elapsed_ms >= 1000 AND done > 0 THEN done::DOUBLE / (elapsed_ms / 1000) END AS r, elapsed_ms // 1000 AS sec FROM y)
+SELECT user_id, day, place, phase, status, elapsed_ms, done, total, round(r, 9) AS rate, round(CASE WHEN status = 'running' AND total > 0 AND done < total THEN (total - done) / r END, 6) AS eta,
+  CASE WHEN elapsed_ms < 1000 THEN '<1 秒' WHEN sec < 60 THEN sec || ' 秒' WHEN sec < 3600 THEN (sec // 60) || ' 分' || CASE WHEN sec % 60 > 0 THEN ' ' || (sec % 60) || ' 秒' ELSE '' END WHEN sec IS NOT NULL THEN (sec // 3600) || ' 时' || CASE WHEN sec // 60 % 60 > 0 THEN ' ' || (sec // 60 % 60) || ' 分' ELSE '' END END AS shown FROM z"""
+)
+def phase_rates(spark, sf_dir):
+    """Rates and remaining times of the phases of each task (a user's day).
+
+    Some closed spans know their seconds, some only start and end; some current phases have no known start.
+    """
+    task = ["user_id", "day"]
+    events = read(spark, sf_dir, "events").withColumns({"day": F.to_date("ts"), "k": F.get_json_object("props", "$.k").cast("int")})
+    found = phases.spans(events, task, ["ts", "event_id"], "event_type", "k").withColumn("total", F.col("done") % 7 * 20)
+    seconds = F.when(F.col("no") % 3 == 0, 0.0).when(F.col("no") % 3 == 2, (phases.millis(F.col("ended_at")) - phases.millis(F.col("started_at"))) / 1000 + 0.5)
+    template = F.element_at(F.array(*[F.array(*map(F.lit, t)) for t in TEMPLATES]), (F.col("user_id") % 3).cast("int") + 1)
+    as_of = F.col("started_at") + F.make_dt_interval(secs=((F.col("user_id") % 4) * 40 + 10).cast("decimal(18,6)"))
+    now = found.filter("ended_at is null").withColumns({"as_of": as_of, "phases": template}).withColumn("started_at", F.when(F.col("user_id") % 5 != 0, F.col("started_at")))
+    rows = phases.rates(now, found.filter("ended_at is not null").withColumn("seconds", seconds), task)
+    return rows.withColumn("shown", phases.duration(F.col("elapsed_ms")))
+
+
 PREFIXES, ROOT = ("/library", "/mnt/archive"), "/data/store"
 
 
