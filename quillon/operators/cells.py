@@ -12,24 +12,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators.search import broadcast_if_small, ranked
+from quillon.operators.search import SLACK, broadcast_if_small, directed, ranked
 from quillon.sources import sinks
 
 SAMPLE, MOST_CELLS = 20_000, 4_096
 #: The recall that the number of read cells is fitted to, with so many of the sample's vectors asking for so many neighbours in it.
 TARGET, ASKING, NEIGHBOURS = 0.95, 256, 10
-#: Cosines are rounded to six digits, so what is cut off must be further away than that.
-SLACK = 2e-6
-
-
-def directed(vector: Column, size: int) -> Column:
-    """Whether a vector has `size` finite components that are not all zero."""
-    ends = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > 1e30)
-    return F.coalesce((F.size(vector) == size) & ~F.exists(vector, ends) & F.exists(vector, lambda x: F.abs(x) > 1e-30), F.lit(False))
 
 
 def fit(vectors: DataFrame, sample: int = SAMPLE, most: int = MOST_CELLS) -> tuple[np.ndarray, int]:

@@ -91,3 +91,16 @@ def test_dense_in_blocks(spark):
     rows = spark.createDataFrame([(str(i), "p", [1.0, float(i)]) for i in range(5)], "chunk_id string, paper_id string, vector array<double>")
     one, many = (sorted(map(tuple, search.dense(ask, rows, n).collect())) for n in (100, 2))
     assert one == many and len(one) == 35 and search.dense(ask.limit(0), rows).count() == 0
+
+
+def test_nearest_holds_the_best_of_dense(spark):
+    vectors = [(f"c{i}", f"p{i % 3}", [float(i % 7 - 3), float(i % 5), 1.0]) for i in range(60)]
+    odd = [("z", "p", [0.0, 0.0, 0.0]), ("n", "p", None), ("s", "p", [1.0]), ("f", "p", [float("nan"), 1.0, 1.0]), ("x", "p", [None, 1.0, 1.0])]
+    rows = spark.createDataFrame(vectors + odd, "chunk_id string, paper_id string, vector array<float>").repartition(3)
+    ask = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [-1.0, 0.5, 0.0]), (3, [0.0, 0.0, 0.0]), (4, None), (5, [1.0])], "query_id bigint, vector array<float>")
+    best = lambda df: sorted(map(str, search.ranked(df, F.col("score"), 4).collect()))
+    found = search.nearest(ask, rows, 4)
+    assert best(found) == best(search.dense(ask, rows))
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    good = spark.createDataFrame(vectors, "chunk_id string, paper_id string, vector array<float>").coalesce(1)
+    assert search.nearest(ask.limit(1), good, 4).count() < 60
