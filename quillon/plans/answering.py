@@ -61,8 +61,7 @@ def fused_candidates(lexical: DataFrame, vectors: DataFrame, asking: DataFrame,
     a vector (asking: query_id, vector) keeps its lexical order; one without lexical hits gets the dense one.
     """
     listed = lambda df, no: df.select("query_id", F.lit(no).alias("list_no"), "chunk_id", "rank")
-    near = search.dense(asking, vectors.select(F.lit("").alias("chunk_id"), "paper_id", "vector")).drop("chunk_id")
-    every = search.ranked(near.join(placed, "paper_id"), F.col("score"), CANDIDATES)
+    every = search.near_chunks(asking, vectors, placed, CANDIDATES)
     mine = lexical.select("query_id", "chunk_id", "paper_id").join(asking.withColumnRenamed("vector", "q"), "query_id").join(vectors, "paper_id")
     among = search.ranked(mine.select("query_id", "chunk_id", F.round(T.cosine(F.col("q"), F.col("vector")), 6).alias("score")), F.col("score"), CANDIDATES)
     return search.fuse(listed(lexical, 0).unionByName(listed(every, 1)).unionByName(listed(among, 2)))
