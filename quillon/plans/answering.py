@@ -48,7 +48,7 @@ def lexical_candidates(asked: DataFrame, path: str, texts: DataFrame) -> DataFra
     missed = own.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.transform(F.slice(tokens, 1, TOKENS), lambda x: x["t"]).alias("tokens")).filter("size(tokens) > 0")
     missed = sinks.kept(missed)
     if not missed.isEmpty():
-        found = search.containing(missed, texts, F.lower("body"), ["chunk_id", "paper_id"]).withColumn("score", F.lit(0.0))
+        found = search.containing(missed, texts, F.lower("body"), ["chunk_id", "paper_id"], first=CANDIDATES, order=(F.col("chunk_id"),)).withColumn("score", F.lit(0.0))
         hits = hits.unionByName(search.ranked(found, F.col("score"), CANDIDATES))
     best = hits.join(search.broadcast_if_small(each.select(F.col("vid").alias("query_id"), F.col("query_id").alias("of"), "least")), "query_id").filter("rank <= least")
     return search.ranked(best.groupBy(F.col("of").alias("query_id"), "chunk_id", "paper_id").agg(F.max("score").alias("score")), F.col("score"), CANDIDATES)
