@@ -16,10 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators import search
 from quillon.operators.search import SLACK, broadcast_if_small, directed, ranked
 from quillon.sources import sinks
 
 SAMPLE, MOST_CELLS = 20_000, 4_096
+#: Angles between queries and centres that the driver holds at once.
+ANGLES = 4 << 20
 #: The recall that the number of read cells is fitted to, with so many of the sample's vectors asking for so many neighbours in it.
 TARGET, ASKING, NEIGHBOURS = 0.95, 256, 10
 
@@ -32,8 +35,9 @@ def fit(vectors: DataFrame, sample: int = SAMPLE, most: int = MOST_CELLS) -> tup
     sizes = vectors.groupBy(F.size("vector").alias("size")).count().filter("size > 0").orderBy(F.desc("count"), "size").first()
     if sizes is None:
         return np.zeros((0, 0)), 1
+    spread = vectors.sparkSession.sparkContext.defaultParallelism
     drawn = vectors.filter(directed(F.col("vector"), sizes["size"])).orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(sample)
-    drawn = drawn.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")).persist()
+    drawn = drawn.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")).repartition(spread).persist()  # else the limit leaves one task
     try:
         rows = _units(np.array([r["features"].toArray() for r in drawn.collect()]).reshape(-1, sizes["size"]))  # at most `sample`
         if len(rows) < 2:
@@ -67,6 +71,10 @@ def _angles(vectors: pd.Series, centres: np.ndarray) -> np.ndarray:
     for i, v in enumerate(vectors):
         if v is not None:
             rows[i] = v
+    return _between(rows, centres)
+
+
+def _between(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(_units(rows) @ centres.T, -1.0, 1.0))
 
 
@@ -77,8 +85,9 @@ def placed(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 
     @F.pandas_udf("cell int, angle double")
     def nearest(v: pd.Series) -> pd.DataFrame:
-        found = _angles(v, centres)
-        return pd.DataFrame({"cell": found.argmin(axis=1).astype("int32"), "angle": found.min(axis=1)})
+        step = max(1, ANGLES // len(centres))
+        parts = [_angles(v.iloc[at : at + step], centres) for at in range(0, max(1, len(v)), step)]
+        return pd.DataFrame({"cell": np.concatenate([x.argmin(axis=1) for x in parts]).astype("int32"), "angle": np.concatenate([x.min(axis=1) for x in parts])})
 
     good = directed(F.col("vector"), centres.shape[1])
     rows = vectors.withColumn("_at", nearest(F.when(good, F.col("vector"))))
@@ -130,6 +139,52 @@ def topk(spark: SparkSession, path: str, queries: DataFrame, k: int, read: int |
     read = read or fitted
     width = centres.shape[1] if len(centres) else 0
     good = directed(F.col("vector"), width)
+    held = search.held(queries.filter(good), width)
+    if held is None:
+        return _joined(spark, path, queries, k, read, exact, centres, radii)
+    kind, vectors = queries.schema["query_id"].dataType, _vectors(spark, path)
+    bits = _asking(held[1], centres, lambda angles, _: _first(angles, read))
+    found = _met(held, kind, vectors, k, bits)
+    if not exact:
+        return ranked(found, F.col("score"), k)
+    found = sinks.kept(ranked(found, F.col("score"), k).drop("rank"))
+    place, reach = {q: i for i, q in enumerate(held[0])}, np.full(len(held[0]), 4.0)
+    for r in found.groupBy("query_id").agg(F.min("score").alias("worst"), F.count("*").alias("n")).collect():  # at most the held queries
+        if r["n"] >= k:
+            reach[place[r["query_id"]]] = np.arccos(np.clip(r["worst"] - SLACK, -1.0, 1.0)) + SLACK
+    more = _asking(held[1], centres, lambda angles, at: np.maximum(angles - radii, 0.0) <= reach[at][:, None])
+    out = found.unionByName(_met(held, kind, vectors, k, more & ~bits))
+    odd = vectors.filter("cell = -1")
+    for some, rest in ((queries.filter(~good), vectors), (queries.filter(good), odd)):
+        if not some.isEmpty() and not rest.isEmpty():
+            out = out.unionByName(search.dense(some, rest))
+    return ranked(out, F.col("score"), k)
+
+
+def _first(angles: np.ndarray, read: int) -> np.ndarray:
+    """Which are the `read` least of each row; of equal ones the first."""
+    out = np.zeros(angles.shape, bool)
+    np.put_along_axis(out, np.argsort(angles, axis=1, kind="stable")[:, :read], True, axis=1)
+    return out
+
+
+def _asking(rows: np.ndarray, centres: np.ndarray, chosen) -> np.ndarray:
+    """For each cell the bits of the queries that read it, packed, by what `chosen` says of their angles to the centres and of their places."""
+    step = max(8, ANGLES // len(centres) // 8 * 8)
+    places = [np.arange(at, min(at + step, len(rows))) for at in range(0, len(rows), step)]
+    return np.concatenate([np.packbits(chosen(_between(rows[at], centres), at).T, axis=1) for at in places], axis=1)
+
+
+def _met(held: tuple[list, np.ndarray], kind, vectors: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
+    """Of the cells that any query reads what may be among the k best of each query."""
+    asked = np.flatnonzero(bits.any(axis=1)).tolist()
+    return search.near(held, kind, vectors.filter(F.col("cell").isin(asked)), k, bits)
+
+
+def _joined(spark: SparkSession, path: str, queries: DataFrame, k: int, read: int, exact: bool, centres: np.ndarray, radii: np.ndarray) -> DataFrame:
+    """`topk` of queries that tasks can't hold, or of none: they meet the vectors of their cells by a join."""
+    width = centres.shape[1] if len(centres) else 0
+    good = directed(F.col("vector"), width)
 
     @F.pandas_udf("array<double>")
     def angles(v: pd.Series) -> pd.Series:

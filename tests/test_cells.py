@@ -52,3 +52,17 @@ def test_no_vectors_or_only_odd_ones(spark, tmp_path):
         cells.build(spark, vectors, str(tmp_path / name))
         want = rows_of(search.ranked(search.dense(ask, vectors), F.col("score"), 10))
         assert rows_of(cells.topk(spark, str(tmp_path / name), ask, 10, exact=True)) == want
+
+
+def test_held_queries_meet_the_same_cells_as_joined_ones(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(f"c{i:04}", "p", v.tolist()) for i, v in enumerate(rng.normal(size=(900, 6)))] + [("z", "p", [0.0] * 6)], SCHEMA)
+    cells.build(spark, vectors, str(tmp_path / "c"))
+    ask = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(37, 6)))] + [(90, None)], "query_id int, vector array<double>")
+    monkeypatch.setattr(cells, "ANGLES", 300)
+    found = [rows_of(cells.topk(spark, str(tmp_path / "c"), ask, 10, read=3, exact=e)) for e in (False, True)]
+    assert found[0] and found[0] != found[1]
+    plan = cells.topk(spark, str(tmp_path / "c"), ask, 10, read=3)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
+    monkeypatch.setattr(search, "HELD", 12)
+    assert [rows_of(cells.topk(spark, str(tmp_path / "c"), ask, 10, read=3, exact=e)) for e in (False, True)] == found
