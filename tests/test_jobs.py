@@ -1,6 +1,8 @@
 """Models, streams into tables, databases and vectors on small inputs."""
 
 import datetime as dt
+import hashlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -94,3 +96,19 @@ def test_scans_replace_a_root(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "d"))
     tasks.stream_inventory(files_stream(spark, tmp_path / "d", schema), str(tmp_path / "t"), str(tmp_path / "state")).awaitTermination()
     assert sorted((r["root"], r["path"], r["size"]) for r in sinks.table(spark, str(tmp_path / "t")).collect()) == [("r", "a", 2), ("s", "c", 1)]
+
+
+def test_hashed_vectors_sum_the_words_of_a_key(spark, monkeypatch):
+    texts = [("a", "one two one Three"), ("a", "two four"), ("b", ""), ("c", None), ("d", "ünï 能量 " * 50), ("e", "x y"), (None, "x")]
+    monkeypatch.setattr(models, "KNOWN", 1)
+    want = {}
+    for key, words in (("a", "one two one three two four"), ("d", "uni 能量 " * 50), ("e", "x y"), (None, "x")):
+        sums = Counter()
+        for w in words.split():
+            m = hashlib.md5(w.encode()).hexdigest()
+            sums[int(m[:2], 16) % 64] += 1 if int(m[2], 16) % 2 == 0 else -1
+        norm = sum(s * s for s in sums.values()) ** 0.5
+        want |= {(key, d): round(s / norm, 6) for d, s in sums.items() if s}
+    made = models.hashed_vectors(spark.createDataFrame(texts, "k string, t string").repartition(3), "k", F.col("t"))
+    assert {(r["k"], r["dim"]): r["weight"] for r in made.collect()} == want
+    assert "Generate explode(" not in made._jdf.queryExecution().optimizedPlan().toString()
