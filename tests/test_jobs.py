@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import models
 from quillon.functions import text as T
+from quillon.operators import chunking
 from quillon.sources import files, sinks
 from quillon.streaming import tasks
 
@@ -112,3 +113,13 @@ def test_hashed_vectors_sum_the_words_of_a_key(spark, monkeypatch):
     made = models.hashed_vectors(spark.createDataFrame(texts, "k string, t string").repartition(3), "k", F.col("t"))
     assert {(r["k"], r["dim"]): r["weight"] for r in made.collect()} == want
     assert "Generate explode(" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plain_texts_lose_repeated_chunks_without_a_shuffle(spark):
+    page = "".join(f"word{i % 9} " for i in range(3000))[:3100]
+    docs = spark.createDataFrame([(1, page * 4), (2, "a b"), (3, ""), (4, None), (5, page * 2 + "tail")], "doc_id bigint, text string")
+    want = chunking.dedupe_chunks(chunking.chunks(docs))
+    made = chunking.chunks(docs, once=True)
+    rows = lambda df: sorted(tuple(r) for r in df.select(*want.columns).collect())
+    assert rows(made) == rows(want) and made.count() < chunking.chunks(docs).count()
+    assert "Exchange" not in chunking.indexed(docs)._jdf.queryExecution().executedPlan().toString()
