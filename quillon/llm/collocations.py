@@ -1,7 +1,8 @@
 """Phrases that stand together more often than their parts suggest, mined by stripes.
 
 A stripe belongs to a prefix and holds a counter of its next words. Tasks make the stripes of their
-share of the texts; stripes of one prefix are merged elementwise. Everything is read off the merged
+share of the texts and send them packed, those of a group of prefixes in one row; stripes of one prefix
+are merged elementwise, a group at a time. Everything is read off the merged
 stripes: entries are extensions, the entry of a prefix's last word in the stripe of the words before
 it is the prefix's total, and the largest entry by prefix and by the phrase without its first word
 tells what a longer phrase subsumes. The stripe of the empty prefix has an entry (null) for all words that
@@ -39,6 +40,8 @@ BITS, HOT, PARTS = 1 << 24, 2000, 512
 SECOND = 1640531527
 #: Bytes of text that a task counts together, entries and hashes that it holds before it sends them, and groups of hashes.
 PIECE, HELD, HASHES, RANGES = 2 << 20, 1_000_000, 1_000_000, 1024
+#: Groups of stripes of a language, and groups that a task sends in a batch.
+GROUPS, SENT = 512, 64
 UNKNOWN = "und"
 
 U = np.uint64
@@ -47,7 +50,10 @@ _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?"] + [*range(0x0A, 0x0E)]] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-STRIPES = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("next", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
+_strings, _numbers = pa.list_(pa.string()), pa.list_(pa.int32())
+#: Stripes of a group in one row: prefix, part and size of each stripe, then the entries of one stripe after the other.
+PACKED = pa.schema([("lang", pa.string()), ("group", pa.int32()), ("prefix", _strings), ("part", _numbers), ("size", _numbers), ("next", _strings), ("n", pa.list_(pa.int64()))])
+MERGED = pa.schema([("lang", pa.string()), ("prefix", pa.string()), ("part", pa.int32()), ("total", pa.int64()), ("next", pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())])))])
 
 
 def _words(raw: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -245,9 +251,10 @@ class _Counters:
         return sum(len(n) for held in self.held for _, n in held)
 
     def striped(self, lang: str, hot: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """The stripes of all that is held."""
+        """The stripes of all that is held, packed by group."""
         self.merge()
         names = pa.array([*self.words], pa.string())
+        made: list[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         of_name = _hashed([*self.words], int(_hashed([lang], 7)[0] >> U(1)))
         for k, held in enumerate(self.held, 1):
             for columns, n in held:
@@ -270,14 +277,78 @@ class _Counters:
                 shown = pa.array([""] * len(first)) if k == 1 else names.take(pa.array(columns[order[first], 0]))
                 for j in range(1, k - 1):
                     shown = pc.binary_join_element_wise(shown, names.take(pa.array(columns[order[first], j])), " ")
-                cuts = pa.array(np.append(first, len(n)).astype(np.int32))
-                following = names.take(pa.array(last[order], mask=last[order] < 0))
-                lists = [pa.ListArray.from_arrays(cuts, following), pa.ListArray.from_arrays(cuts, pa.array(n[order]))]
-                yield from pa.Table.from_arrays([pa.array([lang] * len(first), pa.string()), shown, pa.array(part[order[first]].astype(np.int32)), *lists], schema=STRIPES).to_batches(max_chunksize=20_000)
+                own, at = part[order[first]], np.zeros(len(first), U) if h is None else h[order[first]]
+                group = (mix(at + (own + 2).astype(U)) % U(GROUPS)).astype(np.int64)
+                made.append((shown, names.take(pa.array(last[order], mask=last[order] < 0)), own, np.diff(np.append(first, len(n))), group, n[order]))
+        if made:
+            prefixes, following = (pa.concat_arrays([m[i] for m in made]) for i in (0, 1))
+            own, size, group, n = (np.concatenate([m[i] for m in made]) for i in (2, 3, 4, 5))
+            order, start = np.argsort(group, kind="stable"), np.cumsum(size) - size
+            sizes, group = size[order], group[order]
+            ends = np.append(0, np.cumsum(sizes))
+            entry = np.repeat(start[order] - ends[:-1], sizes) + np.arange(len(n))
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            stripe = np.append(first, len(group))
+            listed = lambda cuts, values: pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
+            lists = [listed(stripe, prefixes.take(pa.array(order)))] + [listed(stripe, pa.array(x.astype(np.int32))) for x in (own[order], sizes)]
+            lists += [listed(ends[stripe], following.take(pa.array(entry))), listed(ends[stripe], pa.array(n[entry]))]
+            yield from pa.Table.from_arrays([pa.array([lang] * len(first), pa.string()), pa.array(group[first].astype(np.int32)), *lists], schema=PACKED).to_batches(max_chunksize=SENT)
+
+
+def _entries(batch: pa.RecordBatch) -> pa.Table:
+    """The entries of packed stripes as rows."""
+    stripes = pc.list_value_length(batch["prefix"]).to_numpy(zero_copy_only=False)
+    size = batch["size"].flatten().to_numpy(zero_copy_only=False)
+    stripe = pa.array(np.repeat(np.arange(len(size)), size))
+    row = pa.array(np.repeat(np.repeat(np.arange(batch.num_rows), stripes), size))
+    named = {c: batch[c].take(row) for c in ("lang", "group")} | {c: batch[c].flatten().take(stripe) for c in ("prefix", "part")}
+    return pa.table(named | {c: batch[c].flatten() for c in ("next", "n")})
+
+
+def _added(entries: pa.Table) -> pa.Table:
+    """Entries of equal stripes and words as one."""
+    keys = ["lang", "group", "prefix", "part", "next"]
+    return entries.group_by(keys).aggregate([("n", "sum")]).select([*keys, "n_sum"]).rename_columns([*keys, "n"])
+
+
+def _merged(often: int):
+    """The task's function: packed stripes, sorted by language and group, to merged stripes; a group and a batch are held at once."""
+
+    def whole(entries: pa.Table) -> Iterator[pa.RecordBatch]:
+        entries = _added(entries).sort_by([(c, "ascending") for c in ("lang", "prefix", "part")]).combine_chunks()
+        if not entries.num_rows:
+            return
+        new = np.zeros(entries.num_rows - 1, bool)
+        for c in ("lang", "prefix", "part"):
+            new |= pc.not_equal(entries[c][1:], entries[c][:-1]).to_numpy(zero_copy_only=False) if len(new) else new
+        first = np.append(0, np.flatnonzero(new) + 1)
+        n = entries["n"].to_numpy()
+        frequent = (n >= often) & entries["next"].is_valid().to_numpy()
+        ends = np.append(0, np.cumsum(np.add.reduceat(frequent.astype(np.int64), first)))
+        kept = entries.filter(pa.array(frequent)).combine_chunks()
+        pairs = pa.StructArray.from_arrays([kept[c].combine_chunks() if kept.num_rows else pa.array([], kept[c].type) for c in ("next", "n")], names=["word", "n"])
+        stripes = [entries[c].take(pa.array(first)) for c in ("lang", "prefix", "part")]
+        out = pa.Table.from_arrays([*stripes, pa.array(np.add.reduceat(n, first)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pairs)], schema=MERGED)
+        yield from out.filter(pc.or_(pc.equal(out["prefix"], ""), pc.greater(pc.list_value_length(out["next"]), 0))).to_batches(max_chunksize=20_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            entries = _entries(batch)
+            held = entries if held is None else pa.concat_tables([held, entries])
+            open_ = pc.and_(pc.equal(held["lang"], batch["lang"][-1]), pc.equal(held["group"], batch["group"][-1]))
+            yield from whole(held.filter(pc.invert(open_)))
+            held = _added(held.filter(open_))
+        if held is not None:
+            yield from whole(held)
+
+    return run
 
 
 def _stripes(longest: int, bits: list[bytes], hot: list[list[tuple[int, int]]]):
-    """The task's function: texts (lang, text) to stripes of prefixes of less than `longest` words."""
+    """The task's function: texts (lang, text) to packed stripes of prefixes of less than `longest` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, marked = [np.frombuffer(b, U) for b in bits], [np.array(x, np.int64).reshape(-1, 2) for x in hot]
@@ -301,8 +372,8 @@ def stripes(texts: DataFrame, longest: int, often: int) -> DataFrame:
     """(lang, prefix, part, total, next): merged stripes of the prefixes of less than `longest` words of texts (lang, text).
 
     `next` holds (word, n) of the words that follow at least `often` times; total is the sum of all
-    entries, which for the empty prefix is the number of words; part is -1 where a stripe is not cut. A stripe is merged by its rows' key, so its words
-    meet without another shuffle.
+    entries, which for the empty prefix is the number of words; part is -1 where a stripe is not cut. A task sends at most a
+    row for each group of each language, so rows grow with the tasks, and has no more entries than phrases whose hashes it counted.
     """
     bits: list[bytes] = []
     hot: list[list[tuple[int, int]]] = []
@@ -310,13 +381,9 @@ def stripes(texts: DataFrame, longest: int, often: int) -> DataFrame:
         table, cut = _told(texts, k, often, bits)
         bits.append(table)
         hot.append(cut)
-    keys = ["lang", "prefix", "part"]
-    made = texts.mapInArrow(_stripes(longest, bits, hot), "lang string, prefix string, part int, next array<string>, n array<bigint>")
-    each = made.repartition(*keys).select(*keys, F.explode(F.arrays_zip("next", "n")).alias("e")).select(*keys, "e.next", "e.n")
-    merged = each.groupBy(*keys, "next").agg(F.sum("n").alias("n"))
-    entry = F.when(F.col("next").isNotNull() & (F.col("n") >= often), F.struct(F.col("next").alias("word"), "n"))
-    out = merged.groupBy(*keys).agg(F.sum("n").alias("total"), F.collect_list(entry).alias("next"))
-    return out.filter((F.col("prefix") == "") | (F.size("next") > 0))
+    made = texts.mapInArrow(_stripes(longest, bits, hot), "lang string, group int, prefix array<string>, part array<int>, size array<int>, next array<string>, n array<bigint>")
+    sent = made.repartition("lang", "group").sortWithinPartitions("lang", "group")
+    return sent.mapInArrow(_merged(often), "lang string, prefix string, part int, total bigint, next array<struct<word:string,n:bigint>>")
 
 
 def mined(docs: DataFrame, often: int = OFTEN, longest: int = LONGEST, inside: int = INSIDE, first: int = FIRST) -> DataFrame:

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import centroids, collocations, line_dedup
@@ -198,6 +199,23 @@ def test_collocations_with_cut_stripes_and_small_pieces(spark, monkeypatch):
     assert sorted(tuple(r) for r in collocations.mined(df, often=4).collect()) == brute_collocations(rows, 4)
 
 
+def test_tasks_send_stripes_by_group():
+    """However many prefixes are frequent, a task sends a row for each group of a language; merged groups have all counts."""
+    words = [f"w{x}" for x in range(3000)]
+    text = " ".join(words * 2)
+    bits, hot = [np.full(collocations.BITS // 64, -1, np.int64).tobytes()] * 3, [[], [], []]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"]), pa.array([text, text])], names=["lang", "text"])
+    made = pa.Table.from_batches([*collocations._stripes(3, bits, hot)(iter([batch]))] * 2)
+    assert made.num_rows <= 2 * 2 * 512
+    rows = made.sort_by([("lang", "ascending"), ("group", "ascending")]).to_batches(max_chunksize=7)
+    merged = pa.Table.from_batches([*collocations._merged(4)(iter(rows))]).to_pylist()
+    assert sum(r["total"] for r in merged if r["prefix"] == "" and r["lang"] == "de") == 12000
+    found = {(r["lang"], r["prefix"], e["word"]): e["n"] for r in merged for e in r["next"]}
+    follow = list(zip(words, words[1:], words[2:], strict=False))
+    want = {(lang, "", w): 4 for lang in ("en", "de") for w in words} | {(lang, a, b): 4 for lang in ("en", "de") for a, b in zip(words, words[1:], strict=False)}
+    assert found == want | {(lang, f"{a} {b}", c): 4 for lang in ("en", "de") for a, b, c in follow}
+
+
 def test_scores_pass_64_bits(spark):
     """floor(1000 * a * n / (l * r)) with products beyond 64 bits stays exact."""
     a, n, left, right = 9_000_000_000_007, 90_000_000_000_000_003, 9_000_000_000_011, 77_000_000_000_017
